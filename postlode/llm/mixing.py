@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlode.llm._tables import cut
+
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 GROUP_ROWS = 10_000
@@ -60,31 +62,30 @@ def with_copies(docs: DataFrame, seed: int = SEED, text: str = "text", size: F.C
     rows count each; rows that tie in doc_id are told apart by their text, and where that ties too they are alike.
     """
     sized = docs.withColumn("__size", n_words(F.col(text)) if size is None else size)
-    found = targets(sized.select("source", F.col("__size").alias("size")))
+    # Words are counted once for all sums: the narrow columns are written down, the texts are not.
+    narrow = cut(sized.select("source", "doc_id", "__size"), "sizes")
+    found = targets(narrow.select("source", F.col("__size").alias("size")))
     by = found.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / GROUP_ROWS)).alias("__salts"))
     join = F.col("source").eqNullSafe(F.col("__source"))
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     salt = F.pmod(F.pmod(number, F.lit(2147483648)) * 2654435761, F.lit(4294967296)) % F.col("__salts")
-    rows = sized.where("__size > 0").join(by, join).withColumn("__salt", salt)
-    groups = rows.groupBy("source", "__size", "__salt").agg(F.count(F.lit(1)).alias("n"))
+    groups = narrow.where("__size > 0").join(by, join).withColumn("__salt", salt).groupBy("source", "__size", "__salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("__size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(F.col("source").alias("__g"), F.col("__size").alias("__gs"), F.col("__salt").alias("__gt"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    rows = sized.join(by, join).withColumn("__salt", salt)
     within = Window.partitionBy("source", "__size", "__salt").orderBy("doc_id", *([text] if text in docs.columns else []))
-    ranked = rows.withColumn("__rank", F.row_number().over(within)).join(groups, F.col("source").eqNullSafe(F.col("__g")) & (F.col("__size") == F.col("__gs")) & (F.col("__salt") == F.col("__gt")))
+    ranked = rows.withColumn("__rank", F.row_number().over(within)).join(groups, F.col("source").eqNullSafe(F.col("__g")) & (F.col("__size") == F.col("__gs")) & (F.col("__salt") == F.col("__gt")), "left")
     each = F.col("__target") / F.col("__source_size")
     upto = F.col("__before") + F.col("__rank")
-    crossed = lambda x: F.floor(x * F.col("__each") + F.col("__offset"))
-    ranked = ranked.withColumn("__each", each).withColumn("__offset", _offset(seed))
-    taken = ranked.withColumn("__copies", (crossed(upto) - crossed(upto - 1)).cast("long"))
-    none = sized.where("__size = 0").join(by, join).withColumn("__copies", F.lit(0).cast("long"))
-    own = ["__size", "__source_size", "__target", "__copies"]
-    return taken.select(*docs.columns, *own).unionByName(none.select(*docs.columns, *own))
+    crossed = lambda x: F.floor(x * each + _offset(seed))
+    copies = F.when(F.col("__size") == 0, F.lit(0)).otherwise(crossed(upto) - crossed(upto - 1)).cast("long")
+    return ranked.withColumn("__copies", copies).select(*docs.columns, "__size", "__source_size", "__target", "__copies")
 
 
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs; the texts stay at the scan."""
-    narrow = docs.select("doc_id", "source", n_words(F.col("text")).alias("words"))
-    out = with_copies(narrow, seed, text="words", size=F.col("words"))
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), "sizes")
+    out = with_copies(sized, seed, text="words", size=F.col("words"))
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
