@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlode.llm import classifier, mixing, near_dup, packing, quality_rules, token_store
+from postlode.llm import classifier, line_dedup, mixing, near_dup, packing, quality_rules, substring_dedup, token_store
 from postlode.llm._tables import table
 
 
@@ -32,7 +33,16 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_minhash_near_dedup, op4_source_mixing, op8_best_fit_packing, op9_token_output, op10_quality_classifier)}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_minhash_near_dedup, op4_source_mixing, op5_line_dedup, op7_substring_dedup, op8_best_fit_packing, op9_token_output, op10_quality_classifier)}
 
 #: DuckDB SQL over the tables of the same names. The other operators fit models, pack, or tokenize.
-SQL = {"op4_source_mixing": mixing.ORACLE_SQL}
+SQL = {"op4_source_mixing": mixing.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
