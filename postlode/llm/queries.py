@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import classifier, line_dedup, mixing, near_dup, packing, quality_rules, substring_dedup, token_store
+from postlode.llm import classifier, html_extract, knn, line_dedup, mixing, near_dup, packing, quality_rules, substring_dedup, token_store
 from postlode.llm._tables import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
 
@@ -37,12 +41,28 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_minhash_near_dedup, op4_source_mixing, op5_line_dedup, op7_substring_dedup, op8_best_fit_packing, op9_token_output, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_rules, op3_minhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_html_extraction, op7_substring_dedup, op8_best_fit_packing, op9_token_output, op10_quality_classifier)}
+
+OP1_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
 
 #: DuckDB SQL over the tables of the same names. The other operators fit models, pack, or tokenize.
-SQL = {"op4_source_mixing": mixing.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+SQL = {"op1_exact_top_k": OP1_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
