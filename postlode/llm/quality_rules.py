@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postlode.llm._tables import cut
 from postlode.llm._text import buffer, pieces, spans, span_hashes, window_hashes
@@ -201,7 +202,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     model = judge(cut(with_counts(docs.select("text")), "quality-counts"), threshold)
     bad = [r[0] for r in model.where(~F.col("kept") & ~F.col("base_failed")).select("votes").distinct().collect()]
-    schema = docs.schema
+    schema = StructType(list(docs.schema.fields))
     for c in COUNTS:
         schema = schema.add(f"__{c}", "long")
 
