@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,14 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _POINT = np.zeros(256, bool)
 _POINT[33:48] = _POINT[58:65] = _POINT[91:97] = _POINT[123:127] = True
 _POINT[39] = False
-CACHE = 500_000
-PIECE_BYTES = 12_000_000
+CACHE = 200_000
+PIECE_BYTES = 4_000_000
+
+
+@lru_cache(2)
+def encoder(path: str, spaces: bool) -> Encoder:
+    """One encoder a worker process: loading the vocabulary costs more than a small task, and the cache stays warm."""
+    return Encoder(path, spaces)
 
 
 class Encoder:
@@ -97,10 +104,12 @@ class Encoder:
         self.cache.update(zip(new, self.whole(new), strict=True))
         own = [self.cache[x] for x in known]
         flat = np.frombuffer(b"".join(own), "<u2")
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 2
-        start = np.cumsum(size) - size
+        # A text has fewer ids than bytes, and an Arrow string column fewer than 2^31 of these.
+        size = np.fromiter(map(len, own), np.int32, len(own)) // 2
+        start = np.cumsum(size, dtype=np.int32) - size
         codes = coded.indices.to_numpy()
         length = size[codes]
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(start[codes] - (ends - length), length) + np.arange(ends[-1])]
-        return ids, np.concatenate(([0], ends))[np.searchsorted(bounds, offsets)]
+        ends = np.cumsum(length, dtype=np.int32)
+        at = np.repeat(start[codes] - (ends - length), length)
+        at += np.arange(len(at), dtype=np.int32)
+        return flat[at], np.concatenate(([0], ends)).astype(np.int64)[np.searchsorted(bounds, offsets)]

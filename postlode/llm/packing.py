@@ -190,12 +190,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from postlode.llm._text import pieces
-        from postlode.llm._tokens import PIECE_BYTES, Encoder
+        from postlode.llm._tokens import PIECE_BYTES, encoder
 
-        encoder = None
+        tokens = encoder(vocabulary, spaces=False)
         for batch in pieces(batches, "text", PIECE_BYTES):
-            encoder = encoder or Encoder(vocabulary, spaces=False)
-            ids, at = encoder.encode(batch.column("text"))
+            ids, at = tokens.encode(batch.column("text"))
             ids = np.insert(ids, at[1:], END_ID).astype("<u4")
             ends = at[1:] + np.arange(1, len(at))
             out: list[tuple] = []

@@ -51,9 +51,9 @@ def _open(folder: str):
 
 
 def _encoder(vocabulary: str):
-    from postlode.llm._tokens import Encoder
+    from postlode.llm._tokens import encoder
 
-    return Encoder(vocabulary, spaces=True)
+    return encoder(vocabulary, spaces=True)
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
@@ -82,14 +82,13 @@ def _write_shards(folder: str, vocabulary: str, dictionary: bytes):
         from postlode.llm._text import pieces
         from postlode.llm._tokens import PIECE_BYTES
 
-        encoder, shard = None, TaskContext.get().partitionId()
+        encoder, shard = _encoder(vocabulary), TaskContext.get().partitionId()
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True)
         fs, base = _open(folder)
         path, out, at, index, total = f"{base}/{shard:06d}-{uuid.uuid4().hex}.bin", None, 40, [], 0
         end = struct.pack("<H", END_ID)
         for batch in pieces(batches, "text", PIECE_BYTES):
-            encoder = encoder or _encoder(vocabulary)
             if out is None:
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(path, compression=None)
