@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from postlode.llm._text import buffer, lowered
+from postlode.llm._text import buffer, lowered, span_hashes
 
 #: White space (or what some definitions take for it) other than space, \t, \n, \r.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
@@ -27,7 +27,8 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _POINT = np.zeros(256, bool)
 _POINT[33:48] = _POINT[58:65] = _POINT[91:97] = _POINT[123:127] = True
 _POINT[39] = False
-CACHE = 200_000
+CACHE = 1_500_000
+AT_ONCE = 10_000
 PIECE_BYTES = 4_000_000
 
 
@@ -52,13 +53,40 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids do not fit 16 bits")
-        self.spaces, self.cache = spaces, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(itertools.chain.from_iterable(found), "<u2").tobytes()
-        at = list(itertools.accumulate((2 * len(x) for x in found), initial=0))
-        return [flat[a:b] for a, b in itertools.pairwise(at)]
+        self.spaces = spaces
+        self._forget()
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(texts), AT_ONCE):
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+        return out
+
+    def _forget(self) -> None:
+        """The cache: chunks by 128 bits of hash, in order of the first 64, and where their ids lie in one array."""
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u2")
+
+    def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids of each of some distinct chunks, after encoding those that are new."""
+        data, offsets = buffer(chunks)
+        key = span_hashes(data, offsets[:-1], offsets[1:])
+        check = span_hashes(data ^ np.uint8(0x5A), offsets[:-1], offsets[1:])
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = (self.key[at] == key) & (self.check[at] == check) if len(self.key) else np.zeros(len(key), bool)
+        start, size = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32)
+        start[hit], size[hit] = self.start[at[hit]], self.size[at[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            found = self.whole(chunks.take(pa.array(new)).to_pylist())
+            size[new] = np.fromiter(map(len, found), np.int32, len(found))
+            start[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+            self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(found), "<u2")))
+            new = new[np.argsort(key[new], kind="stable")]
+            place = np.searchsorted(self.key, key[new])
+            for name, values in (("key", key), ("check", check), ("start", start), ("size", size)):
+                setattr(self, name, np.insert(getattr(self, name), place, values[new]))
+        return start, size
 
     def _bounds(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         blank, n = _BLANK[data], len(data)
@@ -86,7 +114,7 @@ class Encoder:
             mask[odd] = False
             ids, at = self.encode(texts.filter(pa.array(mask)))
             plain = iter(np.split(ids, at[1:-1]) if len(at) > 1 else [])
-            special = iter(np.frombuffer(x, "<u2") for x in self.whole([texts[i].as_py() for i in odd]))
+            special = iter(np.array(x, "<u2") for x in self.whole([texts[i].as_py() for i in odd]))
             each = [next(plain if ok else special) for ok in mask]
             return np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
         data, offsets = buffer(texts)
@@ -97,19 +125,13 @@ class Encoder:
         bounds = self._bounds(data, offsets)
         chunks = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = chunks.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = [x for x in known if x not in self.cache]
-        self.cache.update(zip(new, self.whole(new), strict=True))
-        own = [self.cache[x] for x in known]
-        flat = np.frombuffer(b"".join(own), "<u2")
+        if len(self.key) > CACHE:
+            self._forget()
         # A text has fewer ids than bytes, and an Arrow string column fewer than 2^31 of these.
-        size = np.fromiter(map(len, own), np.int32, len(own)) // 2
-        start = np.cumsum(size, dtype=np.int32) - size
+        start, size = self._known(coded.dictionary)
         codes = coded.indices.to_numpy()
         length = size[codes]
         ends = np.cumsum(length, dtype=np.int32)
         at = np.repeat(start[codes] - (ends - length), length)
         at += np.arange(len(at), dtype=np.int32)
-        return flat[at], np.concatenate(([0], ends)).astype(np.int64)[np.searchsorted(bounds, offsets)]
+        return self.ids[at], np.concatenate(([0], ends)).astype(np.int64)[np.searchsorted(bounds, offsets)]

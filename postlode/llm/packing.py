@@ -8,7 +8,7 @@ multiset of lengths is all that matters, so the search runs on counts by length.
 Search (after Korf's bin completion): best-fit decreasing gives the first incumbent. Then, always for the largest
 piece left, the fillings of its sequence are enumerated, dominated ones left out, those of least waste first, and
 each is followed depth-first. A branch is cut when the space wasted so far leaves no packing with fewer sequences
-than the incumbent's. The search ends at the lower bound or after NODES nodes; the incumbent is then the result.
+than the incumbent's. The search ends at the lower bound or after NODES nodes beyond the first packing; the incumbent is then the result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from postlode.llm._tables import cut
 
 CAPACITY, END_ID = 2048, 0
-BLOCK, NODES, WIDTH = 4_096, 12_000, 6
+BLOCK, NODES, WIDTH = 4_096, 1_500, 6
 
 
 def default_vocabulary() -> str:
@@ -156,7 +156,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> li
         stack.append((iter(_fillings(sizes, counts, capacity - x, budget) if budget >= 0 else []), x, wasted))
 
     branch()
-    while stack and seen < nodes + len(lengths):
+    while stack and seen < nodes + 2 * len(incumbent):
         fillings, x, before = stack[-1]
         if len(chosen) == len(stack):
             for y in chosen.pop()[1:]:
@@ -240,5 +240,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
     pieces = cut(token_pieces(docs, capacity, vocabulary), "pieces")
     blocks = max(1, round(pieces.count() / BLOCK))
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks))
-    packed = pieces.withColumn("block", salt).groupBy("block").applyInPandas(_pack_block(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # Blocks are work, not bytes: their number decides that of the tasks, else a few small partitions would hold them.
+    tasks = min(blocks, 20_000)
+    packed = pieces.withColumn("block", salt).repartition(tasks, "block").groupBy("block").applyInPandas(_pack_block(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return packed
