@@ -44,6 +44,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             last = min(n, max(first + 1, last))
             yield batch.slice(first, last - first)
             first = last
+        del batch, array
+        pa.default_memory_pool().release_unused()
 
 
 def buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

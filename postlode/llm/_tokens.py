@@ -27,7 +27,7 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _POINT = np.zeros(256, bool)
 _POINT[33:48] = _POINT[58:65] = _POINT[91:97] = _POINT[123:127] = True
 _POINT[39] = False
-CACHE = 1_500_000
+CACHE = 800_000
 AT_ONCE = 10_000
 PIECE_BYTES = 4_000_000
 
