@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from postlode.llm._tables import cut
 
-MIN_CHARS = 20
+MIN_CHARS, FILTER_BITS = 20, 1 << 25
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -60,6 +60,19 @@ def _variants(found: DataFrame) -> DataFrame:
     return each.select("key", F.xxhash64(part).alias("part"), F.when(F.col("same"), F.col("i")).otherwise(-1).alias("drop"), (F.col("i") < 0).alias("whole"), "place")
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id may be in ids: a bitmap of FILTER_BITS bits at most, whatever the number of ids.
+
+    It keeps most other texts out of the shuffle of the exact join behind it; when it fills up, it lets them through.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bucket, bit = F.floor(slot / 32768), F.pmod(slot, F.lit(32768))
+    bits = ids.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    found = docs.join(F.broadcast(bits), bucket == F.col("__bucket"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*docs.columns)
+
+
 def kept_lines(docs: DataFrame) -> DataFrame:
     """doc_id, number, hash of the lines with words that stay. docs: doc_id, text, no nulls."""
     lines = _lines(docs)
@@ -71,7 +84,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("which").alias("least")).where("n > 1 and least < 2").select("key")
     wanted = cut(keyed.join(shared, "key").select("place.doc_id", "place.number", "which", "key"), "line-keys")
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("number", "which", "key")).alias("own"))
-    joined = docs.join(per_doc, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("own").alias("own"))
+    joined = _among(docs, wanted.select("doc_id")).join(per_doc, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("own").alias("own"))
     texts = joined.select(F.struct("doc_id", F.col("own.number").alias("number")).alias("place"), "own.which", "own.key", F.get("lines", F.col("own.number")).alias("line")).where("line is not null")
     texts = cut(texts, "line-texts")
     variants = _variants(texts)
