@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlode.llm._tables import cut
 from postlode.llm._text import pieces
 
 MIN_PAGES, MIN_SHARE, BROADCAST_HASHES = 5, 0.2, 100_000
@@ -196,7 +197,7 @@ def host_of(url: F.Column) -> F.Column:
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host, templates (hashes of subtrees). pages: host, html."""
-    counts = pages.select("host", "html").mapInArrow(_count, "host string, subtree long").groupBy("host", "subtree").count()
+    counts = cut(pages.select("host", "html").mapInArrow(_count, "host string, subtree long").groupBy("host", "subtree").count(), "subtrees")
     sums = counts.groupBy("host").agg(F.max(F.when(F.col("subtree") == 0, F.col("count"))).alias("pages"))
     often = counts.join(sums, "host").where((F.col("subtree") != 0) & (F.col("count") >= min_pages) & (F.col("count") >= min_share * F.col("pages")))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
@@ -208,8 +209,6 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     A null html is empty; a null or odd url has the empty host. Repeated rows count as pages each. Other columns take
     no part. The hosts' lists are broadcast if they hold BROADCAST_HASHES hashes at most in all, else joined.
     """
-    from postlode.llm._tables import cut
-
     pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     found = cut(templates(pages, min_pages, min_share), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("templates") + 4), F.lit(0))).first()[0]
