@@ -8,8 +8,8 @@ the coordinate 0; then |q - s|^2 = |q|^2 + M - 2 q.s, and the largest inner prod
    vectors: PIVOTS * (k + 1) rows at most, whatever the data.
 3. Each query scores the summaries' vectors; its k-th best is a bound that its k-th neighbour can't exceed. By the
    triangle inequality a member of a cell is needed by a query only if its distance to the pivot is at least the
-   query's distance to the pivot less the bound. The least such distance over a group of queries (the queries of one
-   cell, in blocks of QUERY_BLOCK) decides which members are replicated to it.
+   query's distance to the pivot less the bound. The least such distance over a group of queries (those of one or
+   more neighbouring cells, up to QUERY_BLOCK) decides which members are replicated to it.
 4. Groups meet the data in blocks of DATA_BLOCK vectors, score them by a matrix product, and send k rows a query on;
    these are merged per query.
 
@@ -196,9 +196,17 @@ def top_k(rows: DataFrame, queries: F.Column | None = None, k: int = 5, scale: i
     known = _matrix(pa.array([r["v"] for r in merged], pa.list_(pa.int64())), width)
     known_ids = np.array([r["vec_id"] for r in merged], np.int64)
     bounded = cut(asked.mapInArrow(_bounds(space, known, known_ids, farthest, k), "vec_id long, v array<long>, cell int, needs array<double>"), "queries")
-    sizes = {r["cell"]: -(-r["count"] // QUERY_BLOCK) for r in bounded.groupBy("cell").count().collect()}
-    blocks = F.element_at(F.create_map(*(F.lit(x) for p in sizes.items() for x in p)), F.col("cell")) if sizes else F.lit(1)
-    grouped = bounded.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    # Neighbouring cells share a group until it has QUERY_BLOCK queries; a cell with more is dealt into blocks.
+    sizes = {r["cell"]: r["count"] for r in bounded.groupBy("cell").count().collect()}
+    near_first = np.argsort(_distances(space.pivots, space.pivots[:1], space.extra, space.extra[:1])[:, 0], kind="stable")
+    group_of, blocks_of, filled, group = {}, {}, 0, 0
+    for cell in (int(c) for c in near_first if int(c) in sizes):
+        if filled and filled + sizes[cell] > QUERY_BLOCK:
+            filled, group = 0, group + 1
+        filled += sizes[cell]
+        group_of[cell], blocks_of[cell] = group, -(-sizes[cell] // QUERY_BLOCK)
+    lookup = lambda m: F.element_at(F.create_map(*(F.lit(x) for p in m.items() for x in p)), F.col("cell")) if m else F.lit(0)
+    grouped = bounded.withColumn("block", F.pmod(F.xxhash64("vec_id"), lookup(blocks_of)).cast("int")).withColumn("cell", lookup(group_of))
     each = grouped.select("cell", "block", F.posexplode("needs").alias("of", "need")).groupBy("cell", "block", "of").agg(F.min("need").alias("need")).where(F.col("need") < float("inf"))
     data_blocks = max(1, -(-n // DATA_BLOCK))
     dealt = celled.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(data_blocks)).cast("int"))
