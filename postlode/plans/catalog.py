@@ -1,5 +1,7 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from postlode.plans.queries import QUERIES, SQL
+
+FLAGSHIP = "dedup_cross_source"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
