@@ -42,20 +42,25 @@ def where_valid(df: DataFrame, valid: Column, step) -> DataFrame:
     return step(df.where(ok)).unionByName(df.where(~ok))
 
 
-def token_set_ratio(a: str, b: str) -> float:
-    """100 for equal word sets or a set within the other; else the best of three indel ratios (the public definition)."""
-    x, y = set(a.split()), set(b.split())
+def token_set_ratio(a: str | frozenset, b: str | frozenset, cutoff: float = 0.0) -> float:
+    """100 for equal word sets or a set within the other; else the best of three indel ratios (the public definition).
+
+    Below cutoff the result is 0, found by lengths alone where they suffice.
+    """
+    x, y = (frozenset(s.split()) if isinstance(s, str) else s for s in (a, b))
     if not x or not y:
         return 0.0
-    both, only_x, only_y = " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if both and (not only_x or not only_y):
+    shared, left, right = x & y, x - y, y - x
+    if shared and (not left or not right):
         return 100.0
-    s, p = len(both), 1 if both else 0
-    lx, ly = s + p + len(only_x), s + p + len(only_y)
-    best = 100 * (1 - _indel(only_x, only_y) / (lx + ly))
-    if both:
-        best = max(best, 100 * (1 - (p + len(only_x)) / (s + lx)), 100 * (1 - (p + len(only_y)) / (s + ly)))
-    return best
+    size = lambda words: sum(map(len, words)) + max(0, len(words) - 1)
+    s, p, n, m = size(shared), 1 if shared else 0, size(left), size(right)
+    total = 2 * (s + p) + n + m
+    best = max(100 * (1 - (p + n) / (2 * s + p + n)), 100 * (1 - (p + m) / (2 * s + p + m))) if shared else 0.0
+    if best < cutoff and 100 * (1 - abs(n - m) / total) < cutoff:
+        return 0.0
+    best = max(best, 100 * (1 - _indel(" ".join(sorted(left)), " ".join(sorted(right))) / total))
+    return best if best >= cutoff else 0.0
 
 
 def _indel(a: str, b: str) -> int:
@@ -76,9 +81,9 @@ def _fuzzy(threshold: float, cap: int, keep: list[str]):
             return rows[keep]
         rows = rows.sort_values(["priority", "row_order"], kind="stable")
         kept: list[int] = []
-        titles, sources = rows["title_raw"].fillna("").tolist(), rows["source"].tolist()
+        titles, sources = [frozenset(x.split()) for x in rows["title_raw"].fillna("")], rows["source"].tolist()
         for i in range(len(rows)):
-            if not any(sources[j] != sources[i] and token_set_ratio(titles[j], titles[i]) >= threshold for j in kept):
+            if not any(sources[j] != sources[i] and token_set_ratio(titles[j], titles[i], threshold) >= threshold for j in kept):
                 kept.append(i)
         return rows.iloc[kept][keep]
 

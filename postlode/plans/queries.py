@@ -40,10 +40,10 @@ def query(sql: str | None):
 # Search and look-ups
 
 
-@query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'part') AND contains(lower(p_type), 'e')")
+@query("SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_type), 'e')")
 def search_literal(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", "p_brand", F.col("p_name").alias("title"), F.col("p_type").alias("location"))
-    return search.search(rows, title="PART", location="E").select("p_partkey", F.col("title").alias("p_name"), "p_brand")
+    return search.search(rows, title="RING", location="E").select("p_partkey", F.col("title").alias("p_name"), "p_brand")
 
 
 @query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality = 1 OR (l.quality IS NULL AND contains(lower(d.source), '1'))")
@@ -219,8 +219,11 @@ def similarity_join_blocked(t: Tables) -> DataFrame:
 @query(r"""SELECT c_custkey, s_suppkey, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE len(list_intersect(ta, tb)) / CAST(len(list_distinct(list_concat(ta, tb))) AS DOUBLE) END AS similarity FROM (
 SELECT *, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb FROM (SELECT c_custkey, s_suppkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey))""")
 def company_similarity(t: Tables) -> DataFrame:
-    pairs = t.customer.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey"))
-    return pairs.select("c_custkey", "s_suppkey", classify.company_similarity(F.col("c_name"), F.col("s_name")).alias("similarity"))
+    # Names are normalised once a row, before the join makes pairs of them.
+    a = t.customer.select("c_custkey", "c_nationkey", classify.company_parts(F.col("c_name")).alias("a"))
+    b = t.supplier.select("s_suppkey", "s_nationkey", classify.company_parts(F.col("s_name")).alias("b"))
+    pairs = a.join(b, F.col("c_nationkey") == F.col("s_nationkey"))
+    return pairs.select("c_custkey", "s_suppkey", classify.company_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
 _ROLES = [("brass", "metal", 80), ("steel", "metal", 90), ("economy", "grade", 70), ("small", "size", 100), ("promo", "grade", 95)]

@@ -1,0 +1,111 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from postlode.operators import classify, dedup, search, state
+from postlode.sources import adapters, readers, writers
+
+POSTING = "source string, row_order long, url string, title string, company string, location string, country_iso string, ats_id string"
+
+
+def survivors(spark, rows):
+    return {(r["source"], r["row_order"]) for r in dedup.survivors(spark.createDataFrame(rows, POSTING)).collect()}
+
+
+def test_mirrors_of_a_direct_source_go(spark):
+    rows = [(s, i, f"https://{s}/{i}", f"Title {i}", "Acme", "Berlin", None, None) for s in ("workday", "eightfold") for i in range(3)]
+    assert survivors(spark, rows) == {("workday", i) for i in range(3)}
+
+
+def test_passes(spark):
+    base = [("eures", 0, "u0", "Welder (m/w/d) (Welder/in)", "Bau AG", "DE (DEA58)", None, None), ("bundesagentur", 1, "u1", "Welder (m/w/d)", "Bau AG", "Köln, Deutschland", None, None)]
+    assert survivors(spark, base) == {("eures", 0)}  # the last of two groups in brackets goes, so the cores are equal
+    near = [("eures", 0, "u0", "Senior Data Engineer Platform", "Bau AG", "DE (DEA58)", None, None), ("bundesagentur", 1, "u1", "Sr. Data Engineer Platform", "Bau AG", "Köln, Deutschland", None, None)]
+    assert survivors(spark, near) == {("eures", 0)}
+    same = [(s, i, f"u{i}", t, "Bau AG", "DE (DEA58)", None, None) for i, (s, *_) in enumerate([("eures",), ("eures",)]) for t in [("Senior Data Engineer Platform", "Sr. Data Engineer Platform")[i]]]
+    assert len(survivors(spark, same)) == 2
+    ids = [("lever", 0, "a", "X", "Acme Inc", "", None, "7"), ("seek", 1, "b", "Y", "ACME inc", "", None, "7"), ("seek", 2, "", "Z", "", "", None, ""), ("lever", 3, "", "Z", "", "", None, "")]
+    assert survivors(spark, ids) == {("lever", 0), ("seek", 2), ("lever", 3)}
+
+
+def test_large_blocks_stay(spark):
+    rows = spark.createDataFrame([(s, i, f"{s}{i}", f"Word number {i % 20} here", "Acme", "USA", None, None) for i, s in enumerate(["eures"] * 20 + ["gem"] * 20)], POSTING)
+    ready = rows.withColumn("title_raw", F.col("title")).withColumn("priority", dedup.priority(F.col("source")))
+    assert dedup.fuzzy(ready, ["company"], cap=30).count() == 40
+    assert dedup.fuzzy(ready, ["company"], cap=100).count() < 40
+
+
+def test_token_set_ratio():
+    assert dedup.token_set_ratio("a b c", "c b a") == 100
+    assert dedup.token_set_ratio("a b", "a b c") == 100
+    assert dedup.token_set_ratio("", "a") == 0
+    assert dedup.token_set_ratio("Senior Data Engineer Platform", "Sr. Data Engineer Platform") >= 90
+    assert dedup.token_set_ratio("alpha", "omega", 90) == 0
+
+
+def test_search(spark):
+    rows = spark.createDataFrame([("ML Engineer", "Remote", None, 10.0, None), ("Sales", "Berlin", True, None, 50.0), ("C++ Dev", None, False, 90.0, 95.0)], "title string, location string, is_remote boolean, salary_min double, salary_max double")
+    titles = lambda **k: {r["title"] for r in search.search(rows, **k).collect()}
+    assert titles(title="ml") == {"ML Engineer"} and titles(title="c++") == {"C++ Dev"}
+    assert titles(title="(unclosed") == titles(title=".*") == titles(title="ML|Sales") == set()
+    assert titles(remote=True) == {"ML Engineer", "Sales"} and titles(remote=False) == {"C++ Dev"}
+    assert titles(salary_min=50) == {"Sales", "C++ Dev"} and titles(salary_max=20) == {"ML Engineer"}
+    assert {r["title"] for r in search.search(rows.drop("is_remote"), remote=True).collect()} == {"ML Engineer"}
+    names = spark.createDataFrame([("OpenX Labs", "openx-labs"), ("OpenX", "openx"), ("Other", None)], "name string, slug string")
+    assert [r["name"] for r in search.find_company(names, " openx ").collect()] == ["OpenX", "OpenX Labs"]
+    assert search.find_company(names, " ").count() == 0
+
+
+def test_state(spark):
+    old = spark.createDataFrame([("a", "x", 1, 1, 1, "MISSING"), ("b", "y", 1, 1, 1, "ACTIVE")], "id string, title string, first_seen int, last_seen int, check_count int, status string")
+    new = spark.createDataFrame([("a", "x1", 0), ("a", "x2", 1), ("c", "z", 2)], "id string, title string, __order int")
+    rows = {r["id"]: r for r in state.upsert(old, new, "id", F.lit(9)).collect()}
+    assert (rows["a"]["title"], rows["a"]["first_seen"], rows["a"]["last_seen"], rows["a"]["check_count"], rows["a"]["status"]) == ("x2", 1, 9, 2, "ACTIVE")
+    assert (rows["b"]["last_seen"], rows["c"]["first_seen"], rows["c"]["check_count"]) == (1, 9, 1)
+
+
+def test_match_score_bounds(spark):
+    rows = spark.createDataFrame([("Data Analyst", 0, 90, "near"), ("Software Intern", 0, 100, "x"), ("Senior Dev", 0, 90, "x"), ("Data Analyst", 4, 90, "x"), (None, 0, 1, "x"), ("Data Analyst", 0, 90, None)], "title string, years int, prio int, place string")
+    m = classify.match(F.col("title"), F.col("place"), F.col("years"), F.lit(None).cast("string"), F.col("prio"), F.col("place") == "near", F.col("place") == "far")
+    found = [tuple(r["m"]) for r in rows.select(m.alias("m")).collect()]
+    assert found[0] == ("MATCHED", 71, "MAYBE") and found[1] == ("MATCHED", 95, "STRONG")
+    assert [f[0] for f in found[2:]] == ["SENIOR_OR_EXPERIENCED_TITLE", "EXPERIENCE_REQUIREMENT_NOT_FRESHER", "NO_TITLE", "OUTSIDE"]
+
+
+def test_adapters(spark):
+    feed = "<rss><channel><item><guid>7</guid><title><![CDATA[Dev & Ops]]></title><link>https://a/7</link><pubDate>Fri, 01 Mar 2024 10:00:00 +0000</pubDate></item></channel></rss>"
+    landed = spark.createDataFrame([("acme", json.dumps({"jobs": [{"id": 1, "title": "Dev", "absolute_url": "https://x/1", "location": {"name": "Berlin"}}]})), ("bad", "not json")], "company string, payload string")
+    rows = adapters.parse("greenhouse", landed).collect()
+    assert [(r["company"], r["ats_id"], r["location"], r["global_id"]) for r in rows] == [("acme", "1", "Berlin", "greenhouse:1")]
+    row = adapters.parse("rss", spark.createDataFrame([("acme", feed)], "company string, payload string")).first()
+    assert (row["ats_id"], row["title"], row["posted_at"].year) == ("7", "Dev & Ops", 2024)
+    with pytest.raises(KeyError):
+        adapters.parse("unknown", landed)
+
+
+def test_publish_and_read(spark, tmp_path):
+    for s, rows in {"workday": ["u1,Dev,Berlin,Acme,01"], "eightfold": ["u2,Dev,Berlin,Acme,02", "u3,Ops,Berlin,Acme,03"]}.items():
+        (tmp_path / "in" / s).mkdir(parents=True)
+        (tmp_path / "in" / s / "jobs.csv").write_text("url,title,location,company,ats_id\n" + "\n".join(rows) + "\n")
+    posts = readers.postings(spark, str(tmp_path / "in"))
+    assert {(r["ats_type"], r["ats_id"]) for r in posts.collect()} == {("workday", "01"), ("eightfold", "02"), ("eightfold", "03")}
+    out = f"file://{tmp_path}/out"
+    manifest = writers.publish(posts, out, "t1", {"companies": {"kept": 1}, "by_date": {}})
+    assert manifest["all"]["rows"] == 2 and manifest["by_ats"]["eightfold"]["jobs"]["rows"] == 2 and manifest["companies"] == {"kept": 1} and "by_date" not in manifest
+    data = readers.Dataset(spark, out)
+    assert data.load().count() == 2 and data.load(source="eightfold").count() == 2
+    with pytest.raises(ValueError):
+        data.load(source="workday", date="x")
+    with pytest.raises(ValueError, match="workday"):
+        writers.publish(posts.where("ats_type = 'eightfold'"), out, "t2", manifest)
+    assert readers.Dataset(spark, out).manifest["generated_at"] == "t1"
+    assert writers.checksums(spark, f"{out}/runs/t1/all.parquet").where("length(sha256) = 64").count() > 0
+
+
+def test_json_and_registry(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"results": [{"title": "x"}, None]}))
+    (tmp_path / "b.json").write_text(json.dumps([{"title": "y"}]))
+    assert {r["title"] for r in readers.json_records(spark, str(tmp_path / "*.json"), "title string").collect()} == {"x", "y"}
+    (tmp_path / "c.csv").write_text("﻿Name,url\nAcme,https://a\n,https://b\n")
+    assert [tuple(r) for r in readers.registry(spark, str(tmp_path / "c.csv")).collect()] == [(None, "https://a", "Acme")]
