@@ -64,17 +64,19 @@ def with_copies(docs: DataFrame, seed: int = SEED, text: str = "text", size: F.C
     sized = docs.withColumn("__size", n_words(F.col(text)) if size is None else size)
     # Words are counted once for all sums: the narrow columns are written down, the texts are not.
     narrow = cut(sized.select("source", "doc_id", "__size"), "sizes")
-    found = targets(narrow.select("source", F.col("__size").alias("size")))
-    by = found.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / GROUP_ROWS)).alias("__salts"))
-    join = F.col("source").eqNullSafe(F.col("__source"))
+    # Written down, the sources' table has a known size, so that the planner broadcasts it only if it is small.
+    found = cut(targets(narrow.select("source", F.col("__size").alias("size"))), "targets")
+    source = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  never null, so one partitioning serves window and join
+    by = found.select(source(F.col("source")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / GROUP_ROWS)).alias("__salts"))
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     salt = F.pmod(F.pmod(number, F.lit(2147483648)) * 2654435761, F.lit(4294967296)) % F.col("__salts")
-    groups = narrow.where("__size > 0").join(by, join).withColumn("__salt", salt).groupBy("source", "__size", "__salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("__size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(F.col("source").alias("__g"), F.col("__size").alias("__gs"), F.col("__salt").alias("__gt"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    rows = sized.join(by, join).withColumn("__salt", salt)
-    within = Window.partitionBy("source", "__size", "__salt").orderBy("doc_id", *([text] if text in docs.columns else []))
-    ranked = rows.withColumn("__rank", F.row_number().over(within)).join(groups, F.col("source").eqNullSafe(F.col("__g")) & (F.col("__size") == F.col("__gs")) & (F.col("__salt") == F.col("__gt")), "left")
+    place = ["__source", "__size", "__salt"]
+    keyed = lambda df: df.withColumn("__source", source(F.col("source"))).join(by, "__source").withColumn("__salt", salt)
+    groups = keyed(narrow.where("__size > 0")).groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__source").orderBy("__size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*place).orderBy("doc_id", *([text] if text in docs.columns else []))
+    ranked = keyed(sized).withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
     each = F.col("__target") / F.col("__source_size")
     upto = F.col("__before") + F.col("__rank")
     crossed = lambda x: F.floor(x * each + _offset(seed))
