@@ -453,3 +453,48 @@ def stream_dedup(t: Tables) -> DataFrame:
     from postlode.streaming.streams import run_first_seen
 
     return run_first_seen(t.spark, t.dir, "events", ["user_id", "event_type"])
+
+
+# Discovery and resolution
+
+
+@query("""SELECT DISTINCT substr(sha256('engine|' || lower(p_type) || ' ' || m || ' ' || lower(r_name)), 1, 16) AS query_id, lower(p_type) || ' ' || m || ' ' || lower(r_name) AS query
+FROM (SELECT DISTINCT p_type FROM part) CROSS JOIN region CROSS JOIN (VALUES ('fresher'), ('intern')) v(m)""")
+def discovery_queries(t: Tables) -> DataFrame:
+    from postlode.operators import discovery
+
+    roles = t.part.select(F.col("p_type").alias("role")).distinct()
+    engines = t.spark.createDataFrame([("engine",)], "source string")
+    made = discovery.generate(roles, engines, t.region.select(F.col("r_name").alias("place")), ("fresher", "intern"))
+    return made.select("query_id", "query")
+
+
+@query("""SELECT event_id, CASE WHEN value > 90 THEN 'transient' WHEN value > 80 THEN 'permanent' ELSE 'unknown' END AS failure, event_type = 'error' OR value > 95 AS is_blocked FROM events""")
+def failure_classes(t: Tables) -> DataFrame:
+    from postlode.operators import discovery
+
+    message = F.when(F.col("value") > 90, "Read Timeout: page not found").when(F.col("value") > 80, "company NOT FOUND").otherwise("odd")
+    status_code = F.when(F.col("event_type") == "error", 429).otherwise(200)
+    body = F.when(F.col("value") > 95, "please solve this CAPTCHA").otherwise("welcome")
+    return t.events.select("event_id", discovery.failure(message).alias("failure"), discovery.blocked(status_code, body).alias("is_blocked"))
+
+
+@query("""WITH pairs AS (SELECT a.o_orderkey AS id, b.o_orderkey AS official_id, CAST(30 + CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 35 ELSE 0 END + CASE WHEN a.o_orderstatus = b.o_orderstatus THEN 20 ELSE 0 END + 0 AS DOUBLE) AS score
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey % 10 = 1 AND b.o_orderkey % 10 = 2)
+SELECT id, official_id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, official_id) AS rn FROM pairs WHERE score >= 40) WHERE rn <= 2""")
+def entity_resolution(t: Tables) -> DataFrame:
+    from postlode.operators import resolution
+
+    word = F.regexp_extract("o_orderpriority", "([A-Z]+)", 1)
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("company"), word.alias("title"), F.concat(F.lit("place"), F.lower("o_orderstatus")).alias("location"), F.lit(None).cast("string").alias("requisition_id"), F.lit(False).alias("is_ats"))
+    return resolution.candidates(rows.where("id % 10 = 1"), rows.where("id % 10 = 2"), k=2)
+
+
+@query("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'REJECTED' WHEN quality = 1 AND n_chars > 1000 THEN 'VERIFIED' WHEN n_chars > 1000 THEN 'UNCERTAIN' ELSE 'NOT_VERIFIED' END AS status
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def verification_status(t: Tables) -> DataFrame:
+    from postlode.operators import resolution
+
+    rows = t.documents.join(t.labels, "doc_id", "left")
+    score = F.when(F.col("n_chars") > 1000, 80).otherwise(10)
+    return rows.select("doc_id", resolution.status(score, F.coalesce(F.col("quality") == 1, F.lit(False)), F.lit(False), F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("status"))
