@@ -65,3 +65,20 @@ def sparse_update(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     fields = [c for c in new.columns if c != key and c in df.columns]
     joined = df.join(new.select(key, *(F.col(c).alias(f"__{c}") for c in fields)), key, "left")
     return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in df.columns))
+
+
+def mark(queue: DataFrame, done: DataFrame, key: str, now: Column) -> DataFrame:
+    """queue with started_at, processed_at, result, error of the rows in done (key, result, error) set."""
+    new = done.select(key, F.col("result").alias("__result"), F.col("error").alias("__error"), F.lit(True).alias("__done"))
+    joined = queue.join(new, key, "left")
+    hit = F.coalesce("__done", F.lit(False))
+    put = {"processed_at": now, "result": F.col("__result"), "error": F.col("__error"), "started_at": F.coalesce("started_at", now)}
+    return joined.select(*(F.when(hit, put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in queue.columns))
+
+
+def quarantine(held: DataFrame, failed: DataFrame, healed: DataFrame, key: str, now: Column) -> DataFrame:
+    """held (key, reason, failure_count, last_failure) with one failure more for those in failed, without those healed."""
+    one = failed.groupBy(key).agg(F.max("reason").alias("reason")).select(key, "reason", F.lit(1).cast("long").alias("failure_count"), now.alias("last_failure"))
+    both = held.select(key, "reason", F.col("failure_count").cast("long").alias("failure_count"), "last_failure").unionByName(one)
+    merged = both.groupBy(key).agg(F.max_by("reason", F.coalesce("last_failure", F.lit(0))).alias("reason"), F.sum("failure_count").alias("failure_count"), F.max("last_failure").alias("last_failure"))
+    return merged.join(healed.select(key), key, "left_anti")

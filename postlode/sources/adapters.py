@@ -50,6 +50,13 @@ PARSERS["smartrecruiters"] = json_list("content", "id string, name string, ref s
 PARSERS["workable"] = json_list("jobs", "shortcode string, title string, url string, city string, country string, telecommuting boolean, published_on string, department string", ats_id="j.shortcode", title="j.title", url="j.url", location="concat_ws(', ', j.city, j.country)", is_remote="j.telecommuting", department="j.department", posted_at="try_to_timestamp(j.published_on)")
 PARSERS["recruitee"] = json_list("offers", "id string, title string, careers_url string, location string, remote boolean, created_at string, description string, department string", ats_id="j.id", title="j.title", url="j.careers_url", location="j.location", is_remote="j.remote", department="j.department", description="j.description", posted_at="try_to_timestamp(j.created_at)")
 
+PARSERS["breezy"] = json_list("", "id string, name string, url string, published_date string, location struct<name: string>, department string", ats_id="j.id", title="j.name", url="j.url", location="j.location.name", department="j.department", posted_at="try_to_timestamp(j.published_date)")
+PARSERS["bamboohr"] = json_list("result", "id string, jobOpeningName string, departmentLabel string, location struct<city: string, state: string>", ats_id="j.id", title="j.jobOpeningName", url="cast(null as string)", location="concat_ws(', ', j.location.city, j.location.state)", department="j.departmentLabel")
+PARSERS["pinpoint"] = json_list("data", "id string, title string, url string, location struct<name: string>, employment_type string", ats_id="j.id", title="j.title", url="j.url", location="j.location.name", commitment="j.employment_type")
+PARSERS["rippling"] = json_list("", "uuid string, name string, url string, workLocation struct<label: string>, department struct<label: string>", ats_id="j.uuid", title="j.name", url="j.url", location="j.workLocation.label", department="j.department.label")
+PARSERS["arbetsformedlingen"] = json_list("hits", "id string, headline string, webpage_url string, publication_date string, description struct<text: string>, workplace_address struct<municipality: string>", ats_id="j.id", title="j.headline", url="j.webpage_url", location="j.workplace_address.municipality", description="j.description.text", posted_at="try_to_timestamp(j.publication_date)")
+PARSERS["bundesagentur"] = json_list("stellenangebote", "refnr string, titel string, externeUrl string, aktuelleVeroeffentlichungsdatum string, arbeitsort struct<ort: string, region: string, land: string>", ats_id="j.refnr", title="j.titel", url="j.externeUrl", location="concat_ws(', ', j.arbeitsort.ort, j.arbeitsort.region, j.arbeitsort.land)", posted_at="try_to_timestamp(j.aktuelleVeroeffentlichungsdatum)")
+
 
 @parser("rss", "teamtailor", "personio_feed")
 def rss(landed: DataFrame) -> DataFrame:
@@ -62,3 +69,21 @@ def rss(landed: DataFrame) -> DataFrame:
         return F.nullif(x, F.lit(""))
 
     return rows.select("company", field("guid").alias("ats_id"), text.html_text(field("title")).alias("title"), field("link").alias("url"), field("location").alias("location"), field("description").alias("description"), values.feed_time(field("pubDate")).alias("posted_at"))
+
+
+@parser("personio")
+def personio(landed: DataFrame) -> DataFrame:
+    """The XML feed of positions."""
+    items = F.regexp_extract_all("payload", F.lit(r"(?is)<position>(.*?)</position>"), F.lit(1))
+    rows = landed.select("company", F.explode(items).alias("item"))
+    field = lambda name: F.nullif(text.html_text(F.regexp_extract("item", rf"(?is)<{name}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1)), F.lit(""))
+    return rows.select("company", field("id").alias("ats_id"), field("name").alias("title"), F.lit(None).cast("string").alias("url"), field("office").alias("location"), field("department").alias("department"), field("employmentType").alias("commitment"), values.iso_time(field("createdAt")).alias("posted_at"))
+
+
+def job_posting(landed: DataFrame) -> DataFrame:
+    """company, url, ats_id, title, location, posted_at from schema.org JobPosting objects in pages (company, url, payload)."""
+    blocks = F.regexp_extract_all("payload", F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))
+    kind = "struct<`@type`: string, title: string, identifier: struct<value: string>, datePosted: string, jobLocation: struct<address: struct<addressLocality: string, addressCountry: string>>>"
+    rows = landed.select("company", "url", F.explode(blocks).alias("block")).select("company", "url", F.from_json("block", kind).alias("j"))
+    place = F.col("j.jobLocation.address")
+    return rows.where(F.col("j.`@type`") == "JobPosting").select("company", "url", F.col("j.identifier.value").alias("ats_id"), F.col("j.title").alias("title"), F.concat_ws(", ", place["addressLocality"], place["addressCountry"]).alias("location"), values.iso_time(F.col("j.datePosted")).alias("posted_at"))

@@ -84,6 +84,27 @@ def test_adapters(spark):
         adapters.parse("unknown", landed)
 
 
+def test_more_formats(spark):
+    xml = "<workzag-jobs><position><id>4</id><office>Berlin</office><name><![CDATA[Dev]]></name><createdAt>2024-03-01T10:00:00+00:00</createdAt></position></workzag-jobs>"
+    row = adapters.parse("personio", spark.createDataFrame([("acme", xml)], "company string, payload string")).first()
+    assert (row["ats_id"], row["title"], row["location"], row["posted_at"].day) == ("4", "Dev", "Berlin", 1)
+    found = {"stellenangebote": [{"refnr": "r1", "titel": "Koch", "arbeitsort": {"ort": "Bonn", "land": "Deutschland"}}]}
+    row = adapters.parse("bundesagentur", spark.createDataFrame([("acme", json.dumps(found))], "company string, payload string")).first()
+    assert (row["ats_id"], row["location"]) == ("r1", "Bonn, Deutschland")
+    page = '<script type="application/ld+json">{"@type":"JobPosting","title":"Ops","identifier":{"value":"9"},"datePosted":"2024-03-01"}</script><script type="application/ld+json">{"@type":"Thing"}</script>'
+    row = adapters.job_posting(spark.createDataFrame([("acme", "https://a/9", page)], "company string, url string, payload string")).collect()
+    assert [(r["ats_id"], r["title"], r["url"]) for r in row] == [("9", "Ops", "https://a/9")]
+
+
+def test_queue_and_quarantine(spark):
+    queue = spark.createDataFrame([(1, None, None, None, None), (2, 5, None, None, None)], "id int, started_at int, processed_at int, result string, error string")
+    done = spark.createDataFrame([(1, "MATCHED", None)], "id int, result string, error string")
+    assert sorted(map(tuple, state.mark(queue, done, "id", F.lit(9)).collect())) == [(1, 9, 9, "MATCHED", None), (2, 5, None, None, None)]
+    held = spark.createDataFrame([("a", "404", 2, 1), ("b", "404", 1, 1)], "slug string, reason string, failure_count int, last_failure int")
+    failed, healed = spark.createDataFrame([("a", "410"), ("c", "404")], "slug string, reason string"), spark.createDataFrame([("b",)], "slug string")
+    assert sorted(map(tuple, state.quarantine(held, failed, healed, "slug", F.lit(9)).collect())) == [("a", "410", 3, 9), ("c", "404", 1, 9)]
+
+
 def test_publish_and_read(spark, tmp_path):
     for s, rows in {"workday": ["u1,Dev,Berlin,Acme,01"], "eightfold": ["u2,Dev,Berlin,Acme,02", "u3,Ops,Berlin,Acme,03"]}.items():
         (tmp_path / "in" / s).mkdir(parents=True)
