@@ -19,7 +19,7 @@ import pyarrow as pa
 from postlode.llm._text import buffer, lowered, span_hashes
 
 #: White space (or what some definitions take for it) other than space, \t, \n, \r.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028-\u2029\u202f\u205f-\u2060\u3000\ufeff]")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
 _LETTER = np.zeros(256, bool)
