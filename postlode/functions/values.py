@@ -31,6 +31,8 @@ COUNTRY_NAMES = {
     "CA": ("canada",),
 }
 REMOTE_WORDS = ("remote", "anywhere", "work from home", "wfh", "telework")
+#: Month names, English ones by their first three letters.
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12, "janvier": 1, "février": 2, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12, "decembre": 12}
 _NUMBER = r"(\d[\d.,  ]*)"
 _SYMBOL = r"(?:[A-Z]{0,3}[$€£¥₹]|USD|EUR|GBP)?\s*"
 _UNIT = r"(thousand|million|k|m)?"
@@ -102,6 +104,19 @@ def epoch_time(c: Column) -> Column:
     return F.when(n.isNotNull(), F.timestamp_millis(F.when(F.abs(n) >= 100_000_000_000, n).otherwise(n * 1000)))
 
 
+def local_date(c: Column, day_first: bool | Column = False) -> Column:
+    """Date from d/m/y or m/d/y (dots and dashes too), y-m-d, or a day with an English or French month name; else null."""
+    part = lambda p, i: F.nullif(F.regexp_extract(F.lower(c), p, i), F.lit(""))
+    numbers, iso, word = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})\s*$", r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})", r"(?U)\b(\d{1,2})(?:er|st|nd|rd|th)?\.?\s+(\p{L}+)\.?,?\s+(\d{4})\b"
+    swapped = r"(?U)\b(\p{L}+)\.?\s+(\d{1,2})(?:st|nd|rd|th)?,\s*(\d{4})\b"
+    known = F.create_map(*(F.lit(x) for name, n in MONTHS.items() for x in (name, n)))
+    a, b = part(numbers, 1).try_cast("int"), part(numbers, 2).try_cast("int")
+    first = F.lit(day_first) if isinstance(day_first, bool) else day_first
+    date = lambda y, m, d: F.try_make_timestamp(y.try_cast("int"), m.try_cast("int"), d.try_cast("int"), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    named = lambda p, day, month: date(part(p, 3), F.coalesce(known[part(p, month)], known[F.substring(part(p, month), 1, 3)]), part(p, day))
+    return F.coalesce(date(part(numbers, 3), F.when(first, b).otherwise(a), F.when(first, a).otherwise(b)), date(part(iso, 1), part(iso, 2), part(iso, 3)), named(word, 1, 2), named(swapped, 2, 1))
+
+
 def relative_time(c: Column, now: Column) -> Column:
     """"3 weeks ago", "16 days", "yesterday", "today" before a given time."""
     n, unit = F.regexp_extract(F.lower(c), r"(\d+)\s*\+?\s*(hour|day|week|month|year)", 1).try_cast("int"), F.regexp_extract(F.lower(c), r"(\d+)\s*\+?\s*(hour|day|week|month|year)", 2)

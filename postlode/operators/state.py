@@ -82,3 +82,35 @@ def quarantine(held: DataFrame, failed: DataFrame, healed: DataFrame, key: str,
     both = held.select(key, "reason", F.col("failure_count").cast("long").alias("failure_count"), "last_failure").unionByName(one)
     merged = both.groupBy(key).agg(F.max_by("reason", F.coalesce("last_failure", F.lit(0))).alias("reason"), F.sum("failure_count").alias("failure_count"), F.max("last_failure").alias("last_failure"))
     return merged.join(healed.select(key), key, "left_anti")
+
+
+def set_status(df: DataFrame, changes: DataFrame, key: str, column: str, now: Column, always: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(df with the new values of column, history rows: key, old_value, new_value, changed_at).
+
+    changes: key (unique), column. Keys that df lacks do nothing; an equal value makes no history unless always.
+    """
+    joined = df.join(changes.select(key, F.col(column).alias("__new")), key, "left")
+    put = joined.select(*(F.coalesce("__new", c).alias(c) if c == column else F.col(c) for c in df.columns))
+    moved = F.col("__new").isNotNull() & (F.lit(always) | ~F.col("__new").eqNullSafe(F.col(column)))
+    return put, joined.where(moved).select(key, F.col(column).alias("old_value"), F.col("__new").alias("new_value"), now.alias("changed_at"))
+
+
+def finish_scans(scans: DataFrame, results: DataFrame, key: str, now: Column) -> DataFrame:
+    """Open scans (key, started_at, finished_at, status, and counters) closed by results: key, error, and counters."""
+    counters = [c for c in results.columns if c not in (key, "error") and c in scans.columns]
+    joined = scans.join(results.select(key, F.col("error").alias("__error"), *(F.col(c).alias(f"__{c}") for c in counters), F.lit(True).alias("__done")), key, "left")
+    hit = F.coalesce("__done", F.lit(False)) & F.col("finished_at").isNull()
+    put = {"finished_at": now, "status": F.when(F.col("__error").isNull(), "COMPLETED").otherwise("FAILED")} | {c: F.coalesce(f"__{c}", c) for c in counters}
+    return joined.select(*(F.when(hit, put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in scans.columns))
+
+
+def repair(queue: DataFrame, rows: DataFrame, key: str, columns: list[str], broken: Column) -> DataFrame:
+    """Broken queue rows with the missing values among columns filled from rows (key unique); others as they are."""
+    joined = queue.join(rows.select(key, *(F.col(c).alias(f"__{c}") for c in columns)), key, "left")
+    return joined.select(*(F.when(broken, F.coalesce(c, f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in queue.columns))
+
+
+def add_counts(totals: DataFrame, cycle: DataFrame, key: str) -> DataFrame:
+    """Counters per key carried on: totals plus the rows of one cycle."""
+    counters = [c for c in totals.columns if c != key]
+    return totals.select(key, *counters).unionByName(cycle.select(key, *counters)).groupBy(key).agg(*(F.sum(c).alias(c) for c in counters))

@@ -31,13 +31,19 @@ def parse(provider: str, landed: DataFrame) -> DataFrame:
     return PARSERS[provider](landed).withColumn("ats_type", F.lit(provider)).withColumn("global_id", values.global_id(F.col("ats_type"), F.col("ats_id")))
 
 
-def json_list(items: str, schema: str, **columns: str):
-    """A parser of a JSON list (at items, or the root where it is "") by column expressions over its fields."""
+def json_list(items: str, schema: str, explode: str | None = None, **columns: str):
+    """A parser of a JSON list (at items, a path with dots, or the root where it is "") by column expressions over its fields."""
 
     def run(landed: DataFrame) -> DataFrame:
         kind = f"array<struct<{schema}>>"
-        whole = F.from_json("payload", kind) if not items else F.from_json("payload", f"struct<{items}: {kind}>")[items]
+        for name in reversed(items.split(".") if items else []):
+            kind = f"struct<{name}: {kind}>"
+        whole = F.from_json("payload", kind)
+        for name in items.split(".") if items else []:
+            whole = whole[name]
         rows = landed.select("company", F.explode(whole).alias("j")).where("j is not null")
+        if explode:  # lists within the list's elements: their own elements are r
+            rows = rows.select("company", F.explode(F.col("j")[explode]).alias("r"))
         return rows.select("company", *(F.expr(e).alias(c) for c, e in columns.items()))
 
     return run
@@ -56,6 +62,13 @@ PARSERS["pinpoint"] = json_list("data", "id string, title string, url string, lo
 PARSERS["rippling"] = json_list("", "uuid string, name string, url string, workLocation struct<label: string>, department struct<label: string>", ats_id="j.uuid", title="j.name", url="j.url", location="j.workLocation.label", department="j.department.label")
 PARSERS["arbetsformedlingen"] = json_list("hits", "id string, headline string, webpage_url string, publication_date string, description struct<text: string>, workplace_address struct<municipality: string>", ats_id="j.id", title="j.headline", url="j.webpage_url", location="j.workplace_address.municipality", description="j.description.text", posted_at="try_to_timestamp(j.publication_date)")
 PARSERS["bundesagentur"] = json_list("stellenangebote", "refnr string, titel string, externeUrl string, aktuelleVeroeffentlichungsdatum string, arbeitsort struct<ort: string, region: string, land: string>", ats_id="j.refnr", title="j.titel", url="j.externeUrl", location="concat_ws(', ', j.arbeitsort.ort, j.arbeitsort.region, j.arbeitsort.land)", posted_at="try_to_timestamp(j.aktuelleVeroeffentlichungsdatum)")
+PARSERS["amazon"] = json_list("jobs", "id_icims string, id string, title string, job_path string, location string, description string, posted_date string, job_category string, job_schedule_type string", ats_id="coalesce(j.id_icims, j.id)", title="j.title", url="concat('https://www.amazon.jobs', j.job_path)", location="j.location", department="j.job_category", commitment="j.job_schedule_type", description="j.description", posted_at="try_to_timestamp(j.posted_date, 'MMMM d, yyyy')")
+PARSERS["remoteok"] = json_list("", "id string, position string, company string, url string, location string, salary_min double, salary_max double, description string, epoch bigint", ats_id="j.id", title="j.position", url="j.url", location="j.location", salary_min="nullif(j.salary_min, 0)", salary_max="nullif(j.salary_max, 0)", is_remote="true", description="j.description", posted_at="timestamp_seconds(j.epoch)")
+PARSERS["usajobs"] = json_list("SearchResult.SearchResultItems", "MatchedObjectDescriptor struct<PositionID: string, PositionTitle: string, PositionURI: string, OrganizationName: string, PublicationStartDate: string, PositionLocation: array<struct<LocationName: string>>, PositionRemuneration: array<struct<MinimumRange: string, MaximumRange: string>>>", ats_id="j.MatchedObjectDescriptor.PositionID", title="j.MatchedObjectDescriptor.PositionTitle", url="j.MatchedObjectDescriptor.PositionURI", location="array_join(j.MatchedObjectDescriptor.PositionLocation.LocationName, '; ')", department="j.MatchedObjectDescriptor.OrganizationName", salary_min="try_cast(get(j.MatchedObjectDescriptor.PositionRemuneration, 0).MinimumRange as double)", salary_max="try_cast(get(j.MatchedObjectDescriptor.PositionRemuneration, 0).MaximumRange as double)", posted_at="try_to_timestamp(j.MatchedObjectDescriptor.PublicationStartDate)")
+PARSERS["workday"] = json_list("jobPostings", "title string, externalPath string, locationsText string, postedOn string, bulletFields array<string>", ats_id="coalesce(get(j.bulletFields, 0), nullif(regexp_extract(j.externalPath, '([^/]+)$', 1), ''))", title="coalesce(nullif(j.title, ''), 'Untitled')", url="j.externalPath", location="j.locationsText", posted_text="j.postedOn")
+PARSERS["oracle"] = json_list("items", "requisitionList array<struct<Id: string, Title: string, PrimaryLocation: string, PostedDate: string, ExternalURL: string>>", ats_id="r.Id", title="r.Title", url="r.ExternalURL", location="r.PrimaryLocation", posted_at="try_to_timestamp(r.PostedDate)", explode="requisitionList")
+PARSERS["gem"] = json_list("data.oatsExternalJobPostings.jobPostings", "extId string, title string, locations array<struct<name: string, city: string, isoCountry: string, isRemote: boolean>>, job struct<employmentType: string, department: struct<name: string>>", ats_id="j.extId", title="j.title", url="cast(null as string)", location="array_join(j.locations.name, '; ')", country_iso="get(j.locations, 0).isoCountry", is_remote="exists(j.locations, x -> x.isRemote)", department="j.job.department.name", commitment="j.job.employmentType")
+PARSERS["ycombinator"] = json_list("jobPostings", "id string, title string, url string, location string, salaryRange string, minExperience string, type string, createdAt string, prettyRole string", ats_id="j.id", title="j.title", url="concat('https://www.ycombinator.com', j.url)", location="j.location", department="j.prettyRole", commitment="j.type", salary_text="j.salaryRange", experience_text="j.minExperience", posted_text="j.createdAt")
 
 
 @parser("rss", "teamtailor", "personio_feed")
