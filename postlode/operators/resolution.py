@@ -54,3 +54,36 @@ def page_match(title: Column, page: Column) -> Column:
 def status(score: Column, official: Column, closed: Column, scam: Column) -> Column:
     """CLOSED and REJECTED before all scores; VERIFIED needs an official page."""
     return F.when(closed, "CLOSED").when(scam, "REJECTED").when((score >= 75) & official, "VERIFIED").when(score >= 45, "UNCERTAIN").otherwise("NOT_VERIFIED")
+
+
+def tier(share: Column, steps: tuple[tuple[float, int], ...]) -> Column:
+    """Points of the first step (least share, points) that the share reaches, else 0."""
+    out = F.when(F.lit(False), 0)
+    for least, points in steps:
+        out = out.when(share >= least, points)
+    return out.otherwise(0)
+
+
+#: Least share of words found, and points for it.
+COMPANY_STEPS = ((1.0, 30), (0.5, 15))
+TITLE_STEPS = ((0.8, 30), (0.55, 18), (0.35, 8))
+
+
+def verify_page(company: Column, title: Column, place: Column, page: Column, official: Column, direct: Column, scams: Column) -> Column:
+    """struct(score, status): a posting against the text of the page that should show it.
+
+    Points for the company's and title's words on the page, the place (20 as it is, 10 for 0.6 of its words), an
+    official page (10) and a direct application (10), less 10 for each fraud signal, 40 at most. VERIFIED needs 75
+    points, all three, an official page, a direct application and no signal.
+    """
+    words = text.tokens(text.match_text(page))
+    c = tier(text.containment(text.tokens(text.company_words(company)), words), COMPANY_STEPS)
+    t = tier(text.containment(text.tokens(text.match_text(title)), words), TITLE_STEPS)
+    spot = text.match_text(place)
+    p = F.when((spot != "") & F.contains(text.match_text(page), spot), 20).when(text.containment(text.tokens(spot), words) >= 0.6, 10).otherwise(0)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    total = c + t + p + F.when(yes(official), 10).otherwise(0) + F.when(yes(direct), 10).otherwise(0) - F.least(10 * F.coalesce(scams, F.lit(0)), F.lit(40))
+    score = F.greatest(F.lit(0), F.least(total, F.lit(100))).cast("int")
+    both, every = (c > 0) & (t > 0), (c > 0) & (t > 0) & (p > 0) & yes(official)
+    verdict = F.when(every & yes(direct) & (score >= 75) & (F.coalesce(scams, F.lit(0)) == 0), "VERIFIED").when((every & (score >= 55)) | (both & (score >= 40)), "UNCERTAIN").otherwise("REJECTED")
+    return F.struct(score.alias("score"), verdict.alias("status"))

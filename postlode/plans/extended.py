@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlode.functions import money, urls, values
-from postlode.operators import signals, state
+from postlode.functions import money, places, urls, values
+from postlode.operators import normalise, resolution, signals, state
 from postlode.plans.queries import Tables, query
 from postlode.sources import adapters
 
@@ -84,3 +84,37 @@ def payload_parse(t: Tables) -> DataFrame:
     item = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("position"), F.col("p_type").alias("location"))
     landed = t.part.select(F.col("p_brand").alias("company"), F.to_json(F.array(item)).alias("payload"))
     return adapters.parse("remoteok", landed).select("ats_id", "title", "location", "global_id")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Nation ' || n_name || ' | Port' WHEN s_suppkey % 3 = 1 THEN n_name || ', ' || r_name ELSE 'Old Town' END AS place, s_suppkey % 3 = 1 AND contains(lower(r_name), 'asia') AS near
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def place_forms(t: Tables) -> DataFrame:
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    k, nation = F.col("s_suppkey") % 3, F.concat(F.lit("Nation "), F.col("n_name"))
+    summary = F.when(k == 0, "2 Locations").when(k == 1, places.written(F.col("n_name"), F.lit(" "), F.col("r_name"), F.col("r_name"))).otherwise("Old  Town ")
+    place = places.canonical(places.resolve_roll_up(summary, F.array(nation, F.lit("Port"), nation)), {"Old": "New"})
+    return rows.select("s_suppkey", place.alias("place"), (places.is_near(place, ("asia",), ("port", "town")) & (k == 1)).alias("near"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS ats_id, CASE doc_id % 3 WHEN 0 THEN 'REMOTE' WHEN 1 THEN 'ONSITE' ELSE 'UNKNOWN' END AS work_mode, sha256('docs:' || doc_id) AS fingerprint, 'https://x.org/' || doc_id AS apply_url
+FROM documents WHERE trim(source) <> ''""")
+def store_rows(t: Tables) -> DataFrame:
+    k, own = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    rows = t.documents.select(own.alias("ats_id"), F.concat(F.lit("docs:"), own).alias("global_id"), F.col("source").alias("title"), F.concat(F.lit("https://x.org/"), own).alias("url"), F.when(k == 0, "yes").when(k == 1, "no").alias("is_remote"))
+    return normalise.to_store(rows, F.current_timestamp()).select("ats_id", "work_mode", "fingerprint", "apply_url")
+
+
+@query("""SELECT d.doc_id, CASE WHEN d.doc_id % 2 = 0 THEN 'own' ELSE coalesce(l.x, '') END AS description FROM documents d LEFT JOIN (SELECT doc_id, max('quality ' || quality) AS x FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""")
+def description_backfill(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "own").otherwise("").alias("description"))
+    cache = t.labels.select("doc_id", F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("description"))
+    return normalise.fill_descriptions(rows, cache, ["doc_id"])
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 80 WHEN 2 THEN 70 ELSE 10 END AS score, CASE s_suppkey % 4 WHEN 0 THEN 'VERIFIED' WHEN 3 THEN 'REJECTED' ELSE 'UNCERTAIN' END AS status FROM supplier""")
+def page_verification(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey") % 4
+    page = F.when(k == 3, "about us").otherwise("Acme hires a data engineer in Pune. Apply now.")
+    place = F.when(k == 1, "Oslo").otherwise("Pune")
+    x = resolution.verify_page(F.lit("Acme Inc"), F.lit("Data Engineer"), place, page, k < 4, k < 2, F.when(k == 2, 2).when(k == 3, 0))
+    return t.supplier.select("s_suppkey", x.alias("x")).select("s_suppkey", "x.score", "x.status")

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from postlode.functions import money, urls, values
-from postlode.operators import signals, state
+from postlode.functions import money, places, urls, values
+from postlode.operators import normalise, resolution, signals, state
 from postlode.sources import adapters
 
 
@@ -112,3 +112,38 @@ def test_parsers(spark, provider, payload, ats_id, title, location):
     landed = spark.createDataFrame([("c", json.dumps(payload)), ("c", "broken"), ("c", None)], "company string, payload string")
     (row,) = adapters.parse(provider, landed).collect()
     assert (row["ats_id"], row["title"], row["location"], row["global_id"]) == (ats_id, title, location, f"{provider}:{ats_id}")
+
+
+def test_places(spark):
+    assert every(spark, ["Bombay", "  New   Delhi ", "", None], lambda c: places.canonical(c, {"Bombay": "Mumbai"})) == ["Mumbai", "New Delhi", "", ""]
+    assert every(spark, ["Indiana", "Pune", "Pune, USA", "Oslo", None], lambda c: places.is_near(c, ("india", "pune"), ("usa",))) == [True, True, False, False, False]
+    many = F.array(F.lit("A"), F.lit(" B"), F.lit("A"), F.lit(None).cast("string"))
+    assert every(spark, ["2 Locations", "Paris", None], lambda c: places.resolve_roll_up(c, many)) == ["A | B", "Paris", None]
+    assert every(spark, ["2 Locations"], lambda c: places.resolve_roll_up(c, F.array().cast("array<string>"))) == ["2 Locations"]
+    assert every(spark, ["Berlin", "", None], lambda c: places.written(c, F.lit("Berlin"), F.lit("DE"))) == ["Berlin, DE", "Berlin, DE", "Berlin, DE"]
+    assert every(spark, ["", None], lambda c: places.written(c)) == [None, None]
+
+
+def test_to_store(spark):
+    rows = spark.createDataFrame([(" T ", None, "https://a/1", "true", "x:1"), ("T", "", " ", None, None), ("", "https://a/2", None, None, None), ("U", "https://a/3", None, "0", "")], "title string, url string, apply_url string, is_remote string, global_id string")
+    out = sorted(normalise.to_store(rows, F.current_timestamp()).collect(), key=lambda r: r["url"])
+    assert [(r["title"], r["url"], r["apply_url"], r["work_mode"]) for r in out] == [("T", "https://a/1", "https://a/1", "REMOTE"), ("U", "https://a/3", "https://a/3", "ONSITE")]
+    assert len({r["fingerprint"] for r in out}) == 2
+    assert normalise.to_store(rows.limit(0), F.current_timestamp()).count() == 0
+
+
+def test_descriptions(spark):
+    rows = spark.createDataFrame([(1, "own"), (2, " "), (3, None), (None, None)], "k int, description string")
+    cache = spark.createDataFrame([(1, "other"), (2, "a"), (2, "abc"), (4, "x"), (None, "y")], "k int, description string")
+    assert sorted(normalise.fill_descriptions(rows, cache, ["k"], 2).collect(), key=str) == sorted([(1, "own"), (2, "ab"), (3, None), (None, None)], key=lambda r: str(spark.createDataFrame([r], rows.schema).first()))
+    assert [r.k for r in normalise.to_fetch(rows, cache, ["k"]).orderBy("k").collect()] == [None, 3]
+
+
+def test_verify_page(spark):
+    page = "Acme hires a data engineer in Pune."
+    yes, none = F.lit(True), F.lit(0)
+    check = lambda place, direct, scams: every(spark, [page], lambda c: resolution.verify_page(F.lit("Acme"), F.lit("Data engineer"), F.lit(place), c, yes, direct, scams))[0]
+    assert tuple(check("Pune", yes, none)) == (100, "VERIFIED")
+    assert tuple(check("Pune", yes, F.lit(9))) == (60, "UNCERTAIN")
+    assert tuple(check("Oslo", yes, none)) == (80, "UNCERTAIN")
+    assert every(spark, [None], lambda c: resolution.verify_page(c, c, c, c, F.lit(None).cast("boolean"), yes, F.lit(None).cast("int")))[0]["status"] == "REJECTED"
