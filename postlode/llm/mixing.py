@@ -6,8 +6,9 @@ added, and a document is emitted once for each integer its stretch of the sum cr
 taken from a source differ from its target by about one document.
 
 The order inside a source is never computed in one task: counts by (source, size, salt) are pre-aggregated and summed
-up, and only the rank within such a group is a window over documents. The number of salts of a source follows its
-number of documents, so that no group grows with the input even if a third of all rows are alike.
+up, and only the rank within such a group is a window over documents. The number of salts follows the number of a
+source's documents of one size, so that no group grows with the input even if a third of all rows are alike, and a
+source has no more groups to sum up than sizes and GROUP_ROWS-th parts of its documents.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ def n_words(text: F.Column) -> F.Column:
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """source, source_size, n_docs, target: one row a source, by water-filling.
+    """source, source_size, target: one row a source, by water-filling.
 
     With every source at min(most * size, level * weight), the level that spends all words is found on the sources
     sorted by most * size / weight: those up to some point are full, the others share what is left by weight.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (place % len(weights) + 1).cast("int"))
     by = by.withColumn("weight", weight).withColumn("most", most * F.col("source_size"))
@@ -46,7 +47,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     # Levels fall as long as sources fill up; the first that its own source can hold is the level of all behind it.
     fits = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct((F.col("most") / F.col("weight")).alias("at"), F.col("source").isNull().alias("last"), "source", "level"))).over(Window.partitionBy())
     level = fits["level"]
-    return by.select("source", "source_size", "n_docs", F.least(level * F.col("weight"), F.col("most").cast("double")).alias("target"))
+    return by.select("source", "source_size", F.least(level * F.col("weight"), F.col("most").cast("double")).alias("target"))
 
 
 def _offset(seed: int) -> F.Column:
@@ -64,19 +65,21 @@ def with_copies(docs: DataFrame, seed: int = SEED, text: str = "text", size: F.C
     sized = docs.withColumn("__size", n_words(F.col(text)) if size is None else size)
     # Words are counted once for all sums: the narrow columns are written down, the texts are not.
     narrow = cut(sized.select("source", "doc_id", "__size"), "sizes")
-    # Written down, the sources' table has a known size, so that the planner broadcasts it only if it is small.
-    found = cut(targets(narrow.select("source", F.col("__size").alias("size"))), "targets")
+    # Written down, the counts and the sources' table have a known size, so that the planner broadcasts them only if small.
+    counts = cut(narrow.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n")), "counts")
+    found = cut(targets(counts.select("source", (F.col("__size") * F.col("n")).alias("size"))), "targets")
     source = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  never null, so one partitioning serves window and join
-    by = found.select(source(F.col("source")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / GROUP_ROWS)).alias("__salts"))
+    by = found.select(source(F.col("source")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    many = counts.where(F.col("n") > GROUP_ROWS).select(source(F.col("source")).alias("__source"), "__size", F.ceil(F.col("n") / GROUP_ROWS).alias("__salts"))
     number = F.coalesce(F.col("doc_id"), F.lit(0))
-    salt = F.pmod(F.pmod(number, F.lit(2147483648)) * 2654435761, F.lit(4294967296)) % F.col("__salts")
+    salt = F.pmod(F.pmod(number, F.lit(2147483648)) * 2654435761, F.lit(4294967296)) % F.coalesce("__salts", F.lit(1))
     place = ["__source", "__size", "__salt"]
-    keyed = lambda df: df.withColumn("__source", source(F.col("source"))).join(by, "__source").withColumn("__salt", salt)
+    keyed = lambda df: df.withColumn("__source", source(F.col("source"))).join(many, ["__source", "__size"], "left").withColumn("__salt", salt)
     groups = keyed(narrow.where("__size > 0")).groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("__source").orderBy("__size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*place).orderBy("doc_id", *([text] if text in docs.columns else []))
-    ranked = keyed(sized).withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
+    ranked = keyed(sized).join(by, "__source").withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
     each = F.col("__target") / F.col("__source_size")
     upto = F.col("__before") + F.col("__rank")
     crossed = lambda x: F.floor(x * each + _offset(seed))
@@ -102,7 +105,7 @@ _PLACED_SQL = r"""
 WITH sized AS (
   SELECT *, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM {docs}),
 per_source AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source),
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, 3 * source_size AS most,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
@@ -112,14 +115,15 @@ levels AS (
             / CAST(sum(weight) OVER (ORDER BY CAST(most AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
   FROM weighed),
 target AS (
-  SELECT l.*, least((SELECT level FROM levels WHERE level * weight <= most ORDER BY CAST(most AS DOUBLE) / weight, source NULLS LAST LIMIT 1) * weight, CAST(most AS DOUBLE)) AS target,
-         greatest(1, CAST(ceil(n_docs / 10000.0) AS BIGINT)) AS salts
+  SELECT l.*, least((SELECT level FROM levels WHERE level * weight <= most ORDER BY CAST(most AS DOUBLE) / weight, source NULLS LAST LIMIT 1) * weight, CAST(most AS DOUBLE)) AS target
   FROM levels l),
+salted AS (
+  SELECT *, greatest(1, CAST(ceil(count(*) OVER (PARTITION BY source, size) / 10000.0) AS BIGINT)) AS salts FROM sized),
 placed AS (
   SELECT s.*, t.source_size, t.target,
-         row_number() OVER (PARTITION BY s.source, s.size = 0 ORDER BY s.size, (((((coalesce(s.doc_id, 0) % 2147483648) + 2147483648) % 2147483648) * 2654435761) % 4294967296) % t.salts, s.doc_id NULLS FIRST, s.text) AS upto,
+         row_number() OVER (PARTITION BY s.source, s.size = 0 ORDER BY s.size, (((((coalesce(s.doc_id, 0) % 2147483648) + 2147483648) % 2147483648) * 2654435761) % 4294967296) % s.salts, s.doc_id NULLS FIRST, s.text) AS upto,
          CAST(CAST('0x' || substr(md5('17:' || coalesce(s.source, '(none)')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS shift
-  FROM sized s JOIN target t ON s.source IS NOT DISTINCT FROM t.source),
+  FROM salted s JOIN target t ON s.source IS NOT DISTINCT FROM t.source),
 mixed AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(floor(upto * (target / source_size) + shift) - floor((upto - 1) * (target / source_size) + shift) AS BIGINT) END AS copies
   FROM placed)

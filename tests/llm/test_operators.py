@@ -178,6 +178,22 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix_report(empty).count() == mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_mixing_splits_large_groups(spark, monkeypatch, most):
+    """Many documents of one size, over several salts, against the SQL with the same group size."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(mixing, "GROUP_ROWS", most)
+    texts = ["a b c", "d e f", "", None, "one two", " x "]
+    rows = [(i, texts[i % 3 if i % 4 else i % 6], "hot" if i % 3 else None) for i in range(60)] + [(60, "a b c", "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    told = con.execute("SELECT doc_id, size, source_size, target, taken FROM (" + mixing.ORACLE_SQL.replace("10000.0", f"{most}.0") + ")").fetchall()
+    found = mixing.mix_report(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, found)) == sorted(told)
+
+
 # lines
 
 
