@@ -21,6 +21,8 @@ from postlode.llm._tables import cut
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 GROUP_ROWS = 10_000
+#: Large groups that are broadcast at most, of about 50 bytes each.
+BROADCAST_GROUPS = 100_000
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,6 +73,7 @@ def with_copies(docs: DataFrame, seed: int = SEED, text: str = "text", size: F.C
     source = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  never null, so one partitioning serves window and join
     by = found.select(source(F.col("source")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     many = counts.where(F.col("n") > GROUP_ROWS).select(source(F.col("source")).alias("__source"), "__size", F.ceil(F.col("n") / GROUP_ROWS).alias("__salts"))
+    many = F.broadcast(many) if many.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else many
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     salt = F.pmod(F.pmod(number, F.lit(2147483648)) * 2654435761, F.lit(4294967296)) % F.coalesce("__salts", F.lit(1))
     place = ["__source", "__size", "__salt"]
@@ -79,7 +82,8 @@ def with_copies(docs: DataFrame, seed: int = SEED, text: str = "text", size: F.C
     before = Window.partitionBy("__source").orderBy("__size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*place).orderBy("doc_id", *([text] if text in docs.columns else []))
-    ranked = keyed(sized).join(by, "__source").withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
+    # Dealt by all of the place: a join's deal by source and size would serve the window, but hold a large group's salts together.
+    ranked = keyed(sized).join(by, "__source").repartition(*place).withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
     each = F.col("__target") / F.col("__source_size")
     upto = F.col("__before") + F.col("__rank")
     crossed = lambda x: F.floor(x * each + _offset(seed))
