@@ -26,16 +26,19 @@ def requisition_similarity(a: Column, b: Column) -> Column:
     return F.when((x != "") & (x == y), 1.0).otherwise(0.0)
 
 
-def candidates(found: DataFrame, official: DataFrame, k: int = 3, least: float = 40.0) -> DataFrame:
+def candidates(found: DataFrame, official: DataFrame, k: int = 3, least: float = 40.0, others: bool = False) -> DataFrame:
     """The k best official rows of each posting, of those with its company key, with score and rank.
 
     found and official: id, company, title, location, requisition_id; official has is_ats as well. The score is
     30 company + 35 title + 20 location + 15 requisition, + 5 for a known applicant system, at most 100, half-even to
-    two digits. Blocks are companies: pairs are made within them only, of rows that both have a key.
+    two digits. Blocks are companies: pairs are made within them only, of rows that both have a key. others leaves out
+    the pairs of a row with its own id, for a table that is resolved against itself.
     """
     a = found.select("id", "company", "title", "location", "requisition_id", text.company_key(F.col("company")).alias("block"), classify.company_parts(F.col("company")).alias("parts")).where("block <> ''")
     b = official.select(F.col("id").alias("official_id"), F.col("title").alias("o_title"), F.col("location").alias("o_location"), F.col("requisition_id").alias("o_requisition"), "is_ats", text.company_key(F.col("company")).alias("block"), classify.company_parts(F.col("company")).alias("o_parts")).where("block <> ''")
     pairs = a.join(b, "block")
+    if others:
+        pairs = pairs.where(~F.col("id").eqNullSafe(F.col("official_id")))
     score = 30 * classify.company_similarity(F.col("parts"), F.col("o_parts")) + 35 * title_similarity(F.col("title"), F.col("o_title")) + 20 * location_similarity(F.col("location"), F.col("o_location"))
     score = score + 15 * requisition_similarity(F.col("requisition_id"), F.col("o_requisition")) + F.when(F.col("is_ats"), 5).otherwise(0)
     scored = pairs.withColumn("score", F.bround(F.least(score, F.lit(100.0)), 2)).where(F.col("score") >= least)

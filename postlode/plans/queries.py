@@ -485,11 +485,27 @@ SELECT id, official_id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_n
 def entity_resolution(t: Tables) -> DataFrame:
     from postlode.operators import resolution
 
-    word = F.regexp_extract("o_orderpriority", "([A-Z]+)", 1)
-    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("company"), word.alias("title"), F.concat(F.lit("place"), F.lower("o_orderstatus")).alias("location"), F.lit(None).cast("string").alias("requisition_id"), F.lit(False).alias("is_ats"))
+    rows = _order_postings(t)
     return resolution.candidates(rows.where("id % 10 = 1"), rows.where("id % 10 = 2"), k=2)
 
 
+def _order_postings(t: Tables) -> DataFrame:
+    """Orders as postings: the customer is the company."""
+    word = F.regexp_extract("o_orderpriority", "([A-Z]+)", 1)
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("company"), word.alias("title"), F.concat(F.lit("place"), F.lower("o_orderstatus")).alias("location"), F.lit(None).cast("string").alias("requisition_id"), F.lit(False).alias("is_ats"))
+
+
+@query("""WITH pairs AS (SELECT a.o_orderkey AS id, b.o_orderkey AS official_id, CAST(30 + CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 35 ELSE 0 END + CASE WHEN a.o_orderstatus = b.o_orderstatus THEN 20 ELSE 0 END + 0 AS DOUBLE) AS score
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey IS DISTINCT FROM b.o_orderkey)
+SELECT id, official_id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, official_id) AS rn FROM pairs WHERE score >= 40) WHERE rn <= 2""")
+def entity_resolution_all(t: Tables) -> DataFrame:
+    """Every order against every other order of its customer."""
+    from postlode.operators import resolution
+
+    rows = _order_postings(t)
+    return resolution.candidates(rows, rows, k=2, others=True)
+
+
 @query("""SELECT doc_id, CASE WHEN toxic = 1 THEN 'REJECTED' WHEN quality = 1 AND n_chars > 1000 THEN 'VERIFIED' WHEN n_chars > 1000 THEN 'UNCERTAIN' ELSE 'NOT_VERIFIED' END AS status
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def verification_status(t: Tables) -> DataFrame:

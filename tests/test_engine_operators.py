@@ -130,3 +130,12 @@ def test_json_and_registry(spark, tmp_path):
     assert {r["title"] for r in readers.json_records(spark, str(tmp_path / "*.json"), "title string").collect()} == {"x", "y"}
     (tmp_path / "c.csv").write_text("﻿Name,url\nAcme,https://a\n,https://b\n")
     assert [tuple(r) for r in readers.registry(spark, str(tmp_path / "c.csv")).collect()] == [(None, "https://a", "Acme")]
+
+
+def test_every_order_is_resolved(spark, tmp_path):
+    from postlode.plans.catalog import QUERIES
+
+    rows = [(10, 1, "O", "1-URGENT"), (20, 1, "O", "1-URGENT"), (35, 1, "F", "1-URGENT"), (47, 2, "O", "5-LOW"), (48, 3, "O", "5-LOW"), (58, 3, "F", "2-HIGH")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["entity_resolution_all"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(10, 20, 85.0, 1), (10, 35, 65.0, 2), (20, 10, 85.0, 1), (20, 35, 65.0, 2), (35, 10, 65.0, 1), (35, 20, 65.0, 2)]
