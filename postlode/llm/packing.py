@@ -6,8 +6,8 @@ pieces, what a block wastes over one packing of everything is a fraction of its
 multiset of lengths is all that matters, so the search runs on counts by length.
 
 Search (after Korf's bin completion): best-fit decreasing gives the first incumbent. Then, always for the largest
-piece left, the fillings of its sequence are enumerated, dominated ones left out, those of least waste first, and
-each is followed depth-first. A branch is cut when the space wasted so far leaves no packing with fewer sequences
+piece left, the fillings of its sequence by any number of pieces are enumerated, dominated ones left out, those of
+least waste first, and each is followed depth-first. A branch is cut when the space wasted so far leaves no packing with fewer sequences
 than the incumbent's. The search ends at the lower bound or after NODES nodes beyond the first packing; the incumbent is then the result.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from postlode.llm._tables import cut
 
 CAPACITY, END_ID = 2048, 0
-BLOCK, NODES, WIDTH = 4_096, 1_500, 6
+BLOCK, NODES = 4_096, 1_500
 
 
 def default_vocabulary() -> str:
@@ -70,55 +70,72 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return best if total else 0
 
 
-def _fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of `room` from the lengths at hand, as (waste, lengths), of least waste first.
+def _fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[int, tuple[int, ...] | None]]:
+    """All fillings of `room` from the lengths at hand, as (waste, lengths), of least waste first; None for a dominated one.
 
-    sizes is ascending. One piece that fills the room dominates every other filling. Otherwise the largest single
-    piece dominates all smaller ones; pairs and triples count if they waste less than it does.
+    sizes is ascending and, with counts, the same at each next(). The sums that the largest lengths reach are kept as
+    bits, a number for each count of lengths, so no walk ends without a filling; those without waste come as soon as
+    the lengths seen reach the room. One piece that fills the room dominates every other filling.
     """
-    if not sizes or sizes[0] > room:
-        return [(room, ())] if room <= most_waste else []
-    i = bisect_left(sizes, room + 1) - 1
-    single = sizes[i]
-    if single == room:
-        return [(0, (single,))]
-    found = [(room - single, (single,))]
-    # Two pieces: walk the larger down, find the best partner by bisection.
-    pairs = 0
-    for j in range(i, -1, -1):
-        a = sizes[j]
-        if 2 * a < room - found[0][0] and pairs >= 4 * WIDTH or room - a < sizes[0]:
-            if room - a < sizes[0]:
-                continue
-            break
-        m = bisect_left(sizes, room - a + 1) - 1
-        m = min(m, j)
-        if m == j and counts[a] < 2:
-            m -= 1
-        if m < 0:
-            continue
-        b = sizes[m]
-        pairs += 1
-        if room - a - b < room - single:
-            found.append((room - a - b, (a, b)))
-            if room == a + b:
-                break
-        # Three pieces below the pair's waste.
-        left = room - a
-        for t in range(m, max(-1, m - 3), -1):
-            c = sizes[t]
-            r = left - c
-            if r < sizes[0]:
-                continue
-            u = min(bisect_left(sizes, r + 1) - 1, t)
-            while u >= 0 and counts[sizes[u]] < 1 + (sizes[u] == a) + (sizes[u] == c):
-                u -= 1
-            if u >= 0 and (c != a or counts[a] >= 2):
-                found.append((r - sizes[u], (a, c, sizes[u])))
-        if pairs > 12 * WIDTH:
-            break
-    found = sorted({f for f in found if f[0] <= most_waste}, key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
-    return found[:WIDTH]
+    own = sizes[bisect_left(sizes, room + 1) - 1 :: -1] if sizes and sizes[0] <= room else []
+    if own and own[0] == room:
+        yield 0, (room,)
+        return
+    held = [counts[x] for x in own]
+    reach, mask = [1], (1 << room + 1) - 1
+
+    def sums(k: int, target: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of target whose smallest length is own[k], then."""
+        x = own[k]
+        for c in range(1, min(held[k], target // x) + 1):
+            rest = target - c * x
+            if reach[k] >> rest & 1:
+                for filling in below(k, rest):
+                    yield (*filling, *[x] * c)
+
+    def below(k: int, target: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of target from the k largest lengths."""
+        if not target:
+            yield ()
+            return
+        for i in range(bisect_left(reach, 1, 0, k + 1, key=lambda r: r >> target & 1) - 1, k):
+            yield from sums(i, target)
+
+    def undominated(filling: tuple[int, ...], waste: int) -> bool:
+        """Whether no piece left fits the waste or the place of one or two pieces, with theirs or more."""
+
+        def left(low: int, high: int) -> bool:
+            for z in sizes[bisect_left(sizes, low) : bisect_left(sizes, high + 1)]:
+                if counts[z] > filling.count(z):
+                    return True
+            return False
+
+        if left(1, waste):
+            return False
+        kinds = sorted(set(filling))
+        if waste and any(left(x + 1, x + waste) for x in kinds):
+            return False
+        return not any(left(x + y, x + y + waste) for a, x in enumerate(kinds) for y in kinds[a:] if x != y or filling.count(x) > 1)
+
+    for k, x in enumerate(own):
+        found, m, step = reach[-1], min(held[k], room // x), 1
+        while m:
+            step = min(step, m)
+            found |= found << step * x
+            m -= step
+            step *= 2
+        reach.append(found & mask)
+        if reach[-1] >> room & 1:
+            for filling in sums(k, room):
+                yield 0, filling if undominated(filling, 0) else None
+    found = reach[-1] & mask >> 1
+    while found:
+        target = found.bit_length() - 1
+        if room - target > most_waste:
+            return
+        for filling in below(len(own), target):
+            yield room - target, filling if undominated(filling, room - target) else None
+        found ^= 1 << target
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
@@ -169,6 +186,8 @@ def pack(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> li
             continue
         seen += 1
         waste, filling = found
+        if filling is None:
+            continue
         wasted = before + waste
         for y in filling:
             take(y)

@@ -355,6 +355,16 @@ def test_branch_and_bound_beats_best_fit():
         assert packing.lower_bound(lengths, 100) <= len(bins) <= len(packing.best_fit(lengths, 100))
 
 
+def test_sequences_of_five_and_more_pieces():
+    lengths = [420] * 2048 + [400] * 2048
+    bins = packing.pack(lengths)
+    assert len(packing.best_fit(lengths, 2048)) == 922 and len(bins) <= 854
+    assert sorted(x for b in bins for x in b) == sorted(lengths) and all(sum(b) <= 2048 for b in bins)
+    # Two nines and six sevens fill sixty; best-fit puts the nines together.
+    lengths = [9, 9, 7, 7, 7, 7, 7, 7] * 4
+    assert len(packing.best_fit(lengths, 60)) == 5 and len(packing.pack(lengths, 60)) == 4
+
+
 # classifier
 
 
