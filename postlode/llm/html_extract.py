@@ -1,13 +1,14 @@
 """Main text of web pages, with templates found by counting element subtrees per host.
 
-1. Each page is parsed; the hash of every element's subtree (tags and texts) is emitted once a page, together with
-   one mark for the page itself. Spark counts both per host, so a host with a third of all pages is a sum like any.
-2. A subtree on at least MIN_PAGES pages and MIN_SHARE of a host's pages is a template of this host. At most
+1. Each page is parsed; the hash of every element's subtree (tags and texts) is emitted once a page with the hash of
+   the page's body (the text it has before templates go), together with one mark for the page itself. Spark counts
+   the bodies of both per host, so a host with a third of all pages is a sum like any, and copies count as one page.
+2. A subtree in at least MIN_PAGES bodies and MIN_SHARE of a host's bodies is a template of this host. At most
    1 / MIN_SHARE times the subtrees of an average page reach that share, so a host's list doesn't grow with its pages.
 3. Each page is parsed again; templates of its host are deleted, as are elements that never hold the article (menus,
    footers, forms, scripts, elements named as advert, notice or comments, ...). If the page has article, main or
-   role=main, the text comes from there, and its paragraphs and headings are kept even if the host repeats them:
-   copies of an article are no template.
+   role=main, the text comes from there, and its paragraphs, headings, lists, tables and figures, and the elements
+   that hold them, are kept even if the host repeats them: copies of an article are no template.
 
 Text is cut into blocks at block elements; white space inside a block becomes one space, blocks are joined by \\n.
 """
@@ -31,6 +32,8 @@ MIN_PAGES, MIN_SHARE, BROADCAST_HASHES = 5, 0.2, 100_000
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: What is kept in the main part, with all around and within it.
+KEPT = TEXT | frozenset("ul ol dl table figure".split())
 NEVER = frozenset("script style noscript template nav footer aside form button select textarea iframe svg canvas head title object dialog menu".split())
 #: Parts of class names and ids that name something other than the article.
 NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored banner promo cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar widget widgets related share sharing social breadcrumb breadcrumbs menu nav navbar navigation toolbar comment comments reply replies disqus respond pagination pager hidden".split())
@@ -44,10 +47,10 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "never", "main", "hash", "size", "digest")
+    __slots__ = ("tag", "up", "never", "main", "kept", "holds", "hash", "size", "digest")
 
     def __init__(self, tag: str, up: Node | None):
-        self.tag, self.up, self.never, self.main, self.size, self.digest = tag, up, False, False, 0, 0
+        self.tag, self.up, self.never, self.main, self.kept, self.holds, self.size, self.digest = tag, up, False, False, False, False, 0, 0
         self.hash = hashlib.blake2b(tag.encode(), digest_size=8)
 
 
@@ -75,6 +78,8 @@ class Page(HTMLParser):
         if up.hash is not None:
             up.hash.update(raw)
         up.size += node.size
+        if node.main and not node.never and node.size and (node.tag in KEPT or node.holds):
+            up.holds = True
         if node.tag in BLOCK:
             self._cut()
 
@@ -114,6 +119,7 @@ class Page(HTMLParser):
         if tag in ("html", "body"):
             node.never = False
         node.main = inside or not node.never and (tag in ("article", "main") or role == "main")
+        node.kept = node.main and (tag in KEPT or node.up.kept)
         self.stack.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.nodes.append(node)
@@ -136,8 +142,8 @@ class Page(HTMLParser):
             node.size += len(data)
 
     def subtrees(self) -> set[int]:
-        """Digests of the subtrees that may be templates: with text, and not a paragraph of the main part."""
-        return {n.digest for n in self.nodes if n.size and n.tag not in ("html", "body") and not (n.main and (n.tag in TEXT or any_text(n) or n.up.main is False))}
+        """Digests of the subtrees that may be templates."""
+        return {n.digest for n in self.nodes if n.size and may_be_template(n)}
 
     def text(self, templates: frozenset[int]) -> str:
         has_main = any(n.main for n in self.nodes)
@@ -150,8 +156,7 @@ class Page(HTMLParser):
                 node = node.up
             state = gone.get(id(node), False)
             for n in reversed(chain):
-                template = n.digest in templates and n.tag not in ("html", "body") and not (n.main and (n.tag in TEXT or any_text(n) or n.up.main is False))
-                state = state or n.never or template
+                state = state or n.never or n.digest in templates and may_be_template(n)
                 gone[id(n)] = state
             return state
 
@@ -164,23 +169,22 @@ class Page(HTMLParser):
         return "\n".join(out)
 
 
-def any_text(node: Node) -> bool:
-    """Whether the node lies in a paragraph or heading."""
-    while node.up is not None:
-        node = node.up
-        if node.tag in TEXT:
-            return True
-    return False
+def may_be_template(node: Node) -> bool:
+    """Not the main part itself, and in it nothing that is, holds or lies in a paragraph, list, table or figure."""
+    return node.tag not in ("html", "body") and not (node.main and (node.kept or node.holds or not node.up.main))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        hosts, found = [], []
+        hosts, bodies, found = [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            own = Page(html).subtrees() - {0}
+            page = Page(html)
+            own = page.subtrees() - {0}
+            body = hashlib.blake2b(page.text(frozenset()).encode("utf-8", "replace"), digest_size=8).digest()
             found += [0, *own]
             hosts += [host] * (len(own) + 1)
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "subtree": pa.array(found, pa.int64())})
+            bodies += [int.from_bytes(body, "little", signed=True)] * (len(own) + 1)
+        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "body": pa.array(bodies, pa.int64()), "subtree": pa.array(found, pa.int64())})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +201,7 @@ def host_of(url: F.Column) -> F.Column:
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """host, templates (hashes of subtrees). pages: host, html."""
-    counts = cut(pages.select("host", "html").mapInArrow(_count, "host string, subtree long").groupBy("host", "subtree").count(), "subtrees")
+    counts = cut(pages.select("host", "html").mapInArrow(_count, "host string, body long, subtree long").groupBy("host", "subtree").agg(F.count_distinct("body").alias("count")), "subtrees")
     sums = counts.groupBy("host").agg(F.max(F.when(F.col("subtree") == 0, F.col("count"))).alias("pages"))
     often = counts.join(sums, "host").where((F.col("subtree") != 0) & (F.col("count") >= min_pages) & (F.col("count") >= min_share * F.col("pages")))
     return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
@@ -206,7 +210,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars: one row a row of pages.
 
-    A null html is empty; a null or odd url has the empty host. Repeated rows count as pages each. Other columns take
+    A null html is empty; a null or odd url has the empty host. Rows of one body count as one page. Other columns take
     no part. The hosts' lists are broadcast if they hold BROADCAST_HASHES hashes at most in all, else joined.
     """
     pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))

@@ -402,6 +402,20 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found.values()) and html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_copied_articles_stay(spark):
+    page = "<html><body><nav>menu</nav>{}</body></html>"
+    wrapped = "<article><div class=body><p>One</p><section>Bare</section></div><ul><li>item</ul><table><tr><td>cell</table><figure><figcaption>caption</figcaption></figure></article>"
+    rows = [(i, f"https://a.example/{i}", page.format(wrapped)) for i in range(8)]
+    near = "<article><div class=body><p>Two</p></div><div><ul><li>item</ul></div><table><tr><td>cell</table><h2>Views {}</h2></article>"
+    rows += [(20 + i, "https://b.example/", page.format(near.format(i))) for i in range(8)]
+    rows += [(40 + i, "https://c.example/", page.format("<div><p>Copied</p></div>")) for i in range(8)]
+    rows += [(60 + i, "https://d.example/", page.format(f"<article><p>Own {i}</p><div>Read more from us</div></article>")) for i in range(8)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == "One\nBare\nitem\ncell\ncaption" for i in range(8))
+    assert all(found[20 + i] == f"Two\nitem\ncell\nViews {i}" for i in range(8))
+    assert all(found[40 + i] == "Copied" and found[60 + i] == f"Own {i}" for i in range(8))
+
+
 # vectors
 
 
