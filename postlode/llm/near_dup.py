@@ -89,8 +89,8 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (equal - by_chance) / (1 - by_chance)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a digest of the set), registers (binary; null for an empty set)."""
+def sketches(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (a digest of the set), registers (binary; null for an empty set), or text in their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -99,11 +99,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(found))
                 d1.append(int(found.sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
-                regs.append(registers(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64()), "registers": pa.array(regs, pa.binary())})
+                if not with_text:
+                    regs.append(registers(found).tobytes() if len(found) else None)
+            last = {"text": batch.column("text")} if with_text else {"registers": pa.array(regs, pa.binary())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n, pa.int64()), "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64())} | last)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, registers binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, " + ("text string" if with_text else "registers binary"))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +222,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows that share a doc_id are judged by their own text; if it is the smallest of several classes, these are one.
     """
     own = cut(sketches(docs), "sketches")
-    classes = own.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"))
-    named = cut(classes.where("id is not null"), "classes")
-    bands = named.select("id", "registers").mapInArrow(_bands, "band long, id long")
+    classes = own.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.first("registers").alias("registers"))
+    # A class without a doc_id goes by a hash of its digest, which names no component.
+    inner = F.xxhash64("d1", "d2", "n_shingles", F.lit("no doc_id"))
+    classes = cut(classes.withColumn("id", F.coalesce("first_id", inner)), "classes")
+    bands = classes.select("id", "registers").mapInArrow(_bands, "band long, id long")
     stars = bands.groupBy("band").agg(F.min("id").alias("v"), F.max("id").alias("last")).where("v < last").select("band", "v")
     groups = components(bands.join(stars, "band").where("id <> v").select(F.col("id").alias("u"), "v"))
-    grouped = groups.select(F.col("node").alias("id"), F.col("component").alias("group")).join(named.select("id", "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
+    grouped = groups.select(F.col("node").alias("id"), F.col("component").alias("group")).join(classes.select("id", "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     # A block is a range of set sizes of one component, or a salted part of one; documents of a component are counted
     # by size first, so this too is a sum and not a window over documents.
     by_size = grouped.groupBy("group", "n").count()
@@ -240,12 +244,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     a, b = blocks.alias("a"), blocks.select(F.col("group").alias("g"), F.col("block").alias("other"), F.col("least").alias("other_least")).alias("b")
     pairs = a.join(b, (F.col("group") == F.col("g")) & (F.col("block") <= F.col("other")) & (100 * F.col("most") >= percent * F.col("other_least"))).select("group", F.col("block").alias("low"), F.col("other").alias("high"))
     each = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
-    members = placed.select("id", "group", "block").join(each, ["group", "block"]).select(F.col("id").alias("doc_id"), "group", "low", "high", "block")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(members, "doc_id").withColumnRenamed("doc_id", "id")
+    members = placed.select("id", "group", "block").join(each, ["group", "block"]).select("id", "group", "low", "high", "block")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    unnamed = sketches(docs.where(F.col("doc_id").cast("long").isNull()), with_text=True).where("n_shingles > 0")
+    unnamed = unnamed.select(inner.alias("id"), "text").dropDuplicates(["id"])
+    texts = texts.join(members, "id").unionByName(unnamed.join(members, "id"))
     sets = texts.where("text is not null").mapInArrow(_with_shingles, "id long, group long, low int, high int, block int, shingles binary, registers binary").where("length(shingles) > 0")
     links = sets.groupBy("group", "low", "high").applyInPandas(_link(percent), "u long, v long")
     found = components(links)
-    joined = classes.select("d1", "d2", "n_shingles", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "id").alias("component"))
+    names = found.join(classes.select(F.col("id").alias("node"), "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("name"))
+    found = found.join(names, "component").select("node", "name")
+    joined = classes.join(found, F.col("id") == F.col("node"), "left").select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("name", "first_id").alias("component"))
     matched = own.drop("registers").join(joined, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return matched.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -117,6 +117,16 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dup.near_duplicates(empty).count() == near_dup.drop_near_duplicates(empty).count() == 0
 
 
+def test_rows_without_doc_id_are_linked(spark):
+    rng = random.Random(8)
+    words = [prose(rng, 200).split() for _ in range(3)]
+    near = lambda i, k: " ".join(words[i][:-k] if k else words[i])
+    rows = [(7, near(0, 0)), (None, near(0, 20)), (9, near(0, 38)), (None, near(1, 0)), (None, near(1, 10)), (3, near(2, 0))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in found), key=str)
+    assert got == sorted([(7, 7, True), (None, 7, False), (9, 7, False), (None, None, True), (None, None, True), (3, 3, True)], key=str)
+
+
 def test_blocks_lose_no_link(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.choice(WORDS) + str(k) for k in range(200)]
