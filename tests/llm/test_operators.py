@@ -466,3 +466,13 @@ def test_pipeline(spark, docs, empty, tmp_path):
         assert (now.count() > 0) == (name == "docs")
     frame.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_pipeline_links_from_four_fifths(spark):
+    import corpus_pipeline
+
+    words = prose(random.Random(8), 200).split()
+    a, b, c = (" ".join(words[:n]) for n in (200, 164, 120))
+    assert 80 <= 100 * len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 85
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == [1, 3]
