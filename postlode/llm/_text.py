@@ -1,18 +1,19 @@
 """Words of many texts at once, on the bytes of Arrow string columns.
 
 A word is a run of bytes outside of the six ASCII white-space characters (0x20, 0x09-0x0D). All functions work on
-pieces of a few MB, so a worker's memory doesn't follow the size of Spark's batches; one text is never split.
+pieces of half a MB, so a worker's memory doesn't follow the size of Spark's batches; one text is never split.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES, STRETCH = 500_000, 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
@@ -79,7 +80,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+    """A 64-bit hash of each span of bytes (spans in order). Long data are hashed stretch by stretch, to the same values."""
+    if len(data) <= STRETCH:
+        return _span_hashes(data, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    turns = np.append(np.searchsorted(starts, np.arange(0, len(data), STRETCH)), len(starts))
+    for a, b in itertools.pairwise(turns.tolist()):
+        if a < b:
+            low = starts[a]
+            out[a:b] = _span_hashes(data[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(1 << max(12, int(len(data)).bit_length()))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT)
@@ -90,6 +103,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
+def blanks(data: np.ndarray) -> np.ndarray:
+    """White space as 0x20, all other bytes as they are."""
+    return np.where(_SPACE[data], np.uint8(32), data)
+
+
 _STEPS = [np.uint64(pow(_BASE, i + 1, 1 << 64)) for i in range(64)]
 
 

@@ -24,6 +24,20 @@ class BitVector:
         below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[at] + np.bitwise_count(self.words[at] & below)
 
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """Where the one number k lies (from 0); beyond the last, n."""
+        at = np.maximum(np.searchsorted(self.before, k, "right") - 1, 0)
+        rest = np.asarray(k - self.before[at])
+        word, out = self.words[at].copy(), (at << 6).astype(np.int64)
+        gone = rest >= np.bitwise_count(word)
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & ((np.uint64(1) << np.uint64(half)) - np.uint64(1)))
+            over = rest >= low
+            rest = rest - np.where(over, low, 0)
+            out = out + np.where(over, half, 0)
+            word = np.where(over, word >> np.uint64(half), word)
+        return np.where(gone, self.n, out)
+
 
 class WaveletTree:
     """rank(symbol, i): occurrences of a symbol among the first i of a sequence (a wavelet matrix, top bit first)."""
@@ -31,7 +45,7 @@ class WaveletTree:
     def __init__(self, sequence: np.ndarray, sigma: int):
         self.levels, self.zeros = [], []
         self.depth = max(1, int(sigma - 1).bit_length())
-        now = sequence.astype(np.int64)
+        now = sequence.astype(np.int32)
         for level in range(self.depth - 1, -1, -1):
             bit = ((now >> level) & 1).astype(np.uint8)
             self.levels.append(BitVector(bit))
@@ -60,19 +74,21 @@ class FMIndex:
     """Over sequences, each followed by an end mark (symbol 0; the sequences' own symbols start at 1).
 
     Suffixes are sorted by their first `depth` symbols. A pattern of up to `depth` symbols is found by backward
-    search; one of `depth` symbols is cut to depth - 1 by widen() before it is extended on the left again.
+    search; one of `depth` symbols is cut to depth - 1 by widen() before it is extended on the left again. The suffix
+    array lives while the index is built only: what stays is the wavelet tree, two bit vectors that mark where suffixes
+    of new first `depth` (or depth - 1) symbols begin, and the least value of each group of equal ones.
     """
 
-    def __init__(self, sequences: list[np.ndarray], depth: int):
+    def __init__(self, sequences: list[np.ndarray], depth: int, values: np.ndarray):
         lengths = np.array([len(s) + 1 for s in sequences])
-        text = np.zeros(int(lengths.sum()), np.int64)
-        self.starts = np.cumsum(lengths) - lengths
+        text = np.zeros(int(lengths.sum()), np.int32)
+        starts = np.cumsum(lengths) - lengths
         inside = np.ones(len(text), bool)
-        inside[self.starts + lengths - 1] = False
+        inside[starts + lengths - 1] = False
         text[inside] = np.concatenate(sequences)
         n, sigma = len(text), int(text.max()) + 1
         # Prefix doubling; what lies behind an end mark never counts.
-        left = np.repeat(self.starts + lengths, lengths) - np.arange(n)  # symbols to the end, mark included
+        left = (np.repeat(starts + lengths, lengths) - np.arange(n)).astype(np.int32)  # symbols to the end, mark included
         rank, span = text, 1
         while span < depth - 1:
             step = min(span, depth - 1 - span)
@@ -80,13 +96,14 @@ class FMIndex:
             span += step
         full = self._pair(rank, 1, left)
         self.depth, self.n, self.sigma = depth, n, sigma
-        self.suffixes = np.argsort(full, kind="stable")
-        self.group, _ = self._groups(full)
-        _, self.wide_starts = self._groups(rank)
-        self.wide = np.searchsorted(self.wide_starts, np.arange(n), "right") - 1
+        suffixes = np.argsort(full, kind="stable").astype(np.int32)
+        new = self._turns(full[suffixes])
+        self.groups = BitVector(new)
+        self.wide = BitVector(self._turns(rank[suffixes]))
+        self.least = np.minimum.reduceat(np.repeat(values, lengths)[suffixes], np.flatnonzero(new))
         first = np.zeros(n, bool)
-        first[self.starts] = True
-        bwt = np.where(first[self.suffixes], 0, text[self.suffixes - 1])
+        first[starts] = True
+        bwt = np.where(first[suffixes], 0, text[suffixes - 1])
         self.counts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.tree = WaveletTree(bwt, sigma)
 
@@ -96,12 +113,15 @@ class FMIndex:
         behind = np.zeros(n, np.int64)
         behind[: n - step] = rank[step:] + 1
         behind[left <= step] = 0
-        return np.unique(rank * (int(behind.max()) + 1) + behind, return_inverse=True)[1]
+        return np.unique(rank.astype(np.int64) * (int(behind.max()) + 1) + behind, return_inverse=True)[1].astype(np.int32)
+
+    @staticmethod
+    def _turns(ordered: np.ndarray) -> np.ndarray:
+        return np.append(True, ordered[1:] != ordered[:-1])
 
-    def _groups(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ordered = rank[self.suffixes]
-        new = np.append(True, ordered[1:] != ordered[:-1])
-        return np.cumsum(new) - 1, np.flatnonzero(new)
+    def group(self, low: np.ndarray) -> np.ndarray:
+        """The number of the group (equal first `depth` symbols) of the suffix at rank low."""
+        return self.groups.ones(low + 1) - 1
 
     def extend(self, bound: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Backward search: from a bound of the suffixes that start with a pattern to that of symbol + pattern."""
@@ -109,8 +129,8 @@ class FMIndex:
 
     def widen(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All suffixes that share their first depth - 1 symbols with the suffix at rank low."""
-        g = self.wide[low]
-        return self.wide_starts[g], np.append(self.wide_starts, self.n)[g + 1]
+        g = self.wide.ones(low + 1)
+        return self.wide.place(g - 1), self.wide.place(g)
 
     def matches(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """For each sequence and each of its runs of `depth` symbols, the rank of the first suffix it starts, or -1.
