@@ -42,6 +42,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_from_files(df: DataFrame) -> bool:
+    """Whether df is Parquet files as they were read, so that a row's file and place in it are known."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().toString() == "parquet"
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a frame that cut() made, when nothing reads them any more."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlode.llm._tables import cut
+from postlode.llm._tables import cut, read_from_files
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -58,17 +58,15 @@ def _offset(seed: int) -> F.Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def with_copies(docs: DataFrame, seed: int = SEED, text: str = "text", size: F.Column | None = None) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies (how often the mix takes the row).
+def with_copies(sized: DataFrame, seed: int = SEED, ties: tuple[str, ...] = ()) -> DataFrame:
+    """sized (source, doc_id, __size and ties) with __source_size, __target and __copies (how often the mix takes the row).
 
-    A null or empty text has size 0 and is taken 0 times. A null source is a source of its own, the last. Repeated
-    rows count each; rows that tie in doc_id are told apart by their text, and where that ties too they are alike.
+    sized is narrow and read more than once, so it should be a written table. A size of 0 is taken 0 times. A null source
+    is a source of its own, the last. Repeated rows count each; rows that tie in doc_id are told apart by the columns
+    of ties, and where these tie too they are alike.
     """
-    sized = docs.withColumn("__size", n_words(F.col(text)) if size is None else size)
-    # Words are counted once for all sums: the narrow columns are written down, the texts are not.
-    narrow = cut(sized.select("source", "doc_id", "__size"), "sizes")
     # Written down, the counts and the sources' table have a known size, so that the planner broadcasts them only if small.
-    counts = cut(narrow.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n")), "counts")
+    counts = cut(sized.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n")), "counts")
     found = cut(targets(counts.select("source", (F.col("__size") * F.col("n")).alias("size"))), "targets")
     source = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  never null, so one partitioning serves window and join
     by = found.select(source(F.col("source")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
@@ -77,31 +75,43 @@ def with_copies(docs: DataFrame, seed: int = SEED, text: str = "text", size: F.C
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     salt = F.pmod(F.pmod(number, F.lit(2147483648)) * 2654435761, F.lit(4294967296)) % F.coalesce("__salts", F.lit(1))
     place = ["__source", "__size", "__salt"]
-    keyed = lambda df: df.withColumn("__source", source(F.col("source"))).join(many, ["__source", "__size"], "left").withColumn("__salt", salt)
-    groups = keyed(narrow.where("__size > 0")).groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    keyed = sized.withColumn("__source", source(F.col("source"))).join(many, ["__source", "__size"], "left").withColumn("__salt", salt)
+    groups = keyed.where("__size > 0").groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("__source").orderBy("__size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*place).orderBy("doc_id", *([text] if text in docs.columns else []))
+    within = Window.partitionBy(*place).orderBy("doc_id", *ties)
     # Dealt by all of the place: a join's deal by source and size would serve the window, but hold a large group's salts together.
-    ranked = keyed(sized).join(by, "__source").repartition(*place).withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
+    ranked = keyed.join(by, "__source").repartition(*place).withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
     each = F.col("__target") / F.col("__source_size")
     upto = F.col("__before") + F.col("__rank")
     crossed = lambda x: F.floor(x * each + _offset(seed))
     copies = F.when(F.col("__size") == 0, F.lit(0)).otherwise(crossed(upto) - crossed(upto - 1)).cast("long")
-    return ranked.withColumn("__copies", copies).select(*docs.columns, "__size", "__source_size", "__target", "__copies")
+    return ranked.withColumn("__copies", copies).select(*sized.columns, "__source_size", "__target", "__copies")
 
 
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs; the texts stay at the scan."""
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), "sizes")
-    out = with_copies(sized, seed, text="words", size=F.col("words"))
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("__size")), "sizes")
+    out = with_copies(sized, seed)
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    out = with_copies(docs, seed).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    A row is known by its file and its place in it, so all sums, sorts and windows run on narrow rows and a text moves
+    once, to the row that holds its number of copies. docs that are no plain reading of files are written down first.
+    A null or empty text is taken 0 times. Rows that tie in doc_id are told apart by the hash of their text, then by
+    their place; an empty table gives an empty mix; columns of any name are passed on.
+    """
+    docs = docs if read_from_files(docs) else cut(docs, "mix-input")
+    file = docs.metadataColumn("_metadata")
+    row = (F.xxhash64(file["file_path"]).alias("__file"), file["row_index"].alias("__row"))
+    sized = cut(docs.select("source", "doc_id", n_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__text"), *row), "sizes")
+    taken = with_copies(sized, seed, ("__text", "__file", "__row")).where("__copies > 0").select("__file", "__row", "__copies")
+    # The few bytes of a taken row are the side that is hashed; the texts stream past and are not sorted.
+    found = docs.select(F.struct(*docs.columns).alias("__doc"), *row).join(cut(taken, "copies").hint("shuffle_hash"), ["__file", "__row"])
+    return found.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select("__doc.*")
 
 
 #: The rows of mix_report(), one row a document, with the place in the source's order as `upto`.
