@@ -3,7 +3,9 @@
 Both tokenizers split a text by a pattern before they merge letters, and no token spans two of its matches. Texts are
 cut where the pattern is sure to cut: around white space, and between an ASCII letter and ASCII punctuation other than
 an apostrophe. Equal chunks are encoded once as long as they stay in the cache. Texts with white space on which the
-pattern and this module might differ are encoded whole. Either way all ids come from the tokenizers library.
+pattern and this module might differ, and those that hold the string of an added token, are encoded whole. Either way
+all ids come from the tokenizers library, as it gives them with add_special_tokens=False: the string of a special token
+in a text is that token.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.I)
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids do not fit 16 bits")
         self.spaces = spaces
@@ -108,7 +110,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (with the end). Null and empty texts have none."""
-        odd = [i for i, x in enumerate(texts.to_pylist()) if x and _ODD.search(x)]
+        odd = [i for i, x in enumerate(texts.to_pylist()) if x and (_ODD.search(x) or self.added.search(x))]
         if odd:
             mask = np.ones(len(texts), bool)
             mask[odd] = False

@@ -6,11 +6,11 @@ A shard is one file:
     sha256 of the dictionary  32 bytes
     a zstandard frame for each document, one behind the other, made with the shared dictionary
     the index: for each document doc_id int64, offset of its frame uint64, n_ids uint64 (little-endian)
-    number of documents uint64, offset of the index uint64
+    number of documents uint64, of these without doc_id (the first ones, 0 in the index) uint64, offset of the index uint64
 
 A frame holds the document's ids, the end id included, as little-endian unsigned 16-bit integers. The dictionary is a
-file beside the shards, named by its hash. Documents lie in ascending doc_id order within a shard and shards cover
-ascending ranges, so ids before a document are the shards' totals before it and the index entries before it.
+file beside the shards, named by its hash. Documents lie in ascending doc_id order, null first, within a shard and shards
+cover ascending ranges, so ids before a document are the shards' totals before it and the index entries before it.
 
 Each task attempt writes a file of a new name and returns a row about it; readers open only files that such a row in
 the manifest names. What a lost executor or a second attempt left behind is never read.
@@ -57,16 +57,14 @@ def _encoder(vocabulary: str):
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
-    """A dictionary from the id arrays of DICT_DOCS documents at most, of up to DICT_CHARS characters, by hash of doc_id.
-
-    Longer documents need no dictionary to compress well; they are written with it all the same.
+    """A dictionary from the id arrays of DICT_DOCS documents, by hash of doc_id; of a longer one, its first DICT_CHARS characters.
 
     Empty bytes where there are too few ids to train on: frames are then made without a dictionary.
     """
     import zstandard
 
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICT_DOCS)
-    some = docs.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= DICT_CHARS).select("text").orderBy(F.xxhash64("text")).limit(DICT_DOCS)
+    some = docs.join(F.broadcast(chosen), "doc_id").select(F.substring("text", 1, DICT_CHARS).alias("text")).orderBy(F.xxhash64("text")).limit(DICT_DOCS)
     ids, at = _encoder(vocabulary).encode(pa.array([r[0] for r in some.collect()], pa.string()))
     try:
         return zstandard.train_dictionary(DICT_BYTES, [ids[a:b].tobytes() for a, b in itertools.pairwise(at) if b > a]).as_bytes()
@@ -87,6 +85,7 @@ def _write_shards(folder: str, vocabulary: str, dictionary: bytes):
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True)
         fs, base = _open(folder)
         path, out, at, index, total = f"{base}/{shard:06d}-{uuid.uuid4().hex}.bin", None, 40, [], 0
+        nulls = 0
         end = struct.pack("<H", END_ID)
         for batch in pieces(batches, "text", PIECE_BYTES):
             if out is None:
@@ -97,12 +96,13 @@ def _write_shards(folder: str, vocabulary: str, dictionary: bytes):
             for doc_id, (first, last) in zip(batch.column("doc_id").to_pylist(), itertools.pairwise(bounds.tolist()), strict=True):
                 frame = packer.compress(ids[first:last].tobytes() + end)
                 out.write(frame)
-                index.append((doc_id, at, last - first + 1))
+                index.append((doc_id or 0, at, last - first + 1))
+                nulls += doc_id is None
                 at += len(frame)
                 total += index[-1][2]
         if out is not None:
             table = np.array(index, np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")]))
-            out.write(table.tobytes() + struct.pack("<QQ", len(index), at))
+            out.write(table.tobytes() + struct.pack("<QQQ", len(index), nulls, at))
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [len(index)], "n_ids": [total]})
 
@@ -113,10 +113,10 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, sha
     """Writes docs (doc_id, text) into folder; returns the manifest (shard, path, n_docs, n_ids), also kept there.
 
     Null and empty texts give the end id alone; repeated doc_ids lie side by side, ordered by text; rows without a
-    doc_id are left out, as nothing could look them up. Columns other than doc_id and text take no part.
+    doc_id come before all others, and only their place can look them up. Other columns take no part.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dictionary = train_dictionary(docs, vocabulary)
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
@@ -125,7 +125,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, sha
     # Bounds from doc_id alone: sampling the texts themselves for a range partitioning would read them twice.
     count = docs.select("doc_id").count() if shards is None else 0
     shards = shards or max(1, -(-count // ROWS_PER_SHARD), min(count, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    laid = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    laid = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "text")
     laid.mapInArrow(_write_shards(folder, vocabulary, dictionary), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -151,7 +151,7 @@ class Shard:
         if head[:8] != MAGIC:
             raise ValueError(f"{path} is no token shard")
         size = self.file.size()
-        n, self.end = struct.unpack("<QQ", self.file.read_at(16, size - 16))
+        n, self.nulls, self.end = struct.unpack("<QQQ", self.file.read_at(24, size - 24))
         self.index = np.frombuffer(self.file.read_at(24 * n, self.end), np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")]))
         dictionary = _fetch(folder, head[8:])
         self.unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -162,7 +162,7 @@ class Shard:
         return np.frombuffer(self.unpacker.decompress(self.file.read_at(last - first, first)), "<u2")
 
     def ids(self, doc_id: int) -> np.ndarray:
-        i = int(np.searchsorted(self.index["doc_id"], doc_id))
+        i = self.nulls + int(np.searchsorted(self.index["doc_id"][self.nulls :], doc_id))
         if i == len(self.index) or self.index["doc_id"][i] != doc_id:
             raise KeyError(doc_id)
         return self.at(i)
@@ -186,7 +186,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                 n = len(shard.index)
                 for first in range(0, n, 512):
                     rows = range(first, min(n, first + 512))
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.index["doc_id"][first : rows.stop]), "start": pa.array(starts[first : rows.stop]), "ids": pa.array([shard.at(i).tobytes() for i in rows], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(shard.index["doc_id"][first : rows.stop], mask=np.arange(first, rows.stop) < shard.nulls), "start": pa.array(starts[first : rows.stop]), "ids": pa.array([shard.at(i).tobytes() for i in rows], pa.binary())})
                 shard.close()
 
     # A shard a task: the manifest is a few rows, the work behind each is not.
