@@ -3,12 +3,14 @@
 A document of more than `capacity` tokens is cut into full pieces and a rest; nothing else is cut. Pieces are dealt
 into blocks of about BLOCK pieces at random (by hash), and each block is packed on its own: beside thousands of
 pieces, what a block wastes over one packing of everything is a fraction of its last sequence. Within a block the
-multiset of lengths is all that matters, so the search runs on counts by length.
+multiset of lengths is all that matters, so the search runs on counts by length. What lies in the emptiest sequence of
+each block is then packed anew, together, in blocks of the same size, until there is one block.
 
 Search (after Korf's bin completion): best-fit decreasing gives the first incumbent. Then, always for the largest
 piece left, the fillings of its sequence by any number of pieces are enumerated, dominated ones left out, those of
-least waste first, and each is followed depth-first. A branch is cut when the space wasted so far leaves no packing with fewer sequences
-than the incumbent's. The search ends at the lower bound or after NODES nodes beyond the first packing; the incumbent is then the result.
+least waste first, and each is followed depth-first. A branch is cut when the space wasted so far leaves no packing
+with fewer sequences than the incumbent's. The search ends at the lower bound or after NODES nodes beyond the first
+packing; the incumbent is then the result.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -229,37 +232,55 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _pack_block(capacity: int):
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
+
+
+def _pack_block(capacity: int, level: int):
+    """Rows of a block with their sequence and offset; open: those of the emptiest sequence."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
         by_length: dict[int, list[int]] = {}
         for i, x in enumerate(rows["length"].tolist()):
             by_length.setdefault(x, []).append(i)
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for b, filling in enumerate(pack(rows["length"].tolist(), capacity)):
+        bins = pack(rows["length"].tolist(), capacity)
+        for b, filling in enumerate(bins):
             at = 0
             for x in filling:
                 i = by_length[x].pop()
                 sequence[i], offset[i] = b, at
                 at += x
-        rows["sequence_id"] = rows["block"].to_numpy() * (1 << 20) + sequence
+        emptiest = min(range(len(bins)), key=lambda b: (sum(bins[b]), b))
+        rows["sequence_id"] = (16 * rows["block"].to_numpy() + level) * (1 << 20) + sequence
         rows["offset"] = offset
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        rows["open"] = (sequence == emptiest) & (sum(bins[emptiest]) < capacity)
+        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open"]]
 
     return run
 
 
+def _pack_blocks(pieces: DataFrame, blocks: int, capacity: int, level: int) -> DataFrame:
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks))
+    # Blocks are work, not bytes: their number decides that of the tasks, else a few small partitions would hold them.
+    return pieces.withColumn("block", salt).repartition(min(blocks, 20_000), "block").groupBy("block").applyInPandas(_pack_block(capacity, level), _PACKED)
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row a piece.
 
-    A null or empty text is the end id alone; a null doc_id is packed like any other; repeated rows are packed each.
-    An empty table gives an empty result. The number of blocks follows the number of pieces, so no task's share grows
-    with the input, and blocks are even as pieces are dealt by the hash of all their columns and a running number.
+    A null or empty text is the end id alone; a null doc_id is packed like any other; repeated rows are packed each;
+    pieces of one length are told apart by doc_id, piece and checksum, and where these tie they are alike. An empty
+    table gives an empty result. The number of blocks follows the number of pieces, so no task's share grows with the
+    input, and blocks are even as pieces are dealt by the hash of all their columns and a running number.
     """
     pieces = cut(token_pieces(docs, capacity, vocabulary), "pieces")
     blocks = max(1, round(pieces.count() / BLOCK))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks))
-    # Blocks are work, not bytes: their number decides that of the tasks, else a few small partitions would hold them.
-    tasks = min(blocks, 20_000)
-    packed = pieces.withColumn("block", salt).repartition(tasks, "block").groupBy("block").applyInPandas(_pack_block(capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return packed
+    done, level = [], 0
+    while blocks > 1:
+        packed = cut(_pack_blocks(pieces, blocks, capacity, level), "packed")
+        done.append(packed.where("not open"))
+        pieces = packed.where("open").drop("sequence_id", "offset", "open")
+        # An open sequence has fewer than `capacity` pieces, so two blocks' make one block at most.
+        blocks, level = max(1, min(blocks // 2, round(pieces.count() / BLOCK))), level + 1
+    return reduce(DataFrame.unionByName, done, _pack_blocks(pieces, 1, capacity, level)).drop("open")
