@@ -10,19 +10,24 @@ PERIODS = {"HOURLY": "HOUR", "DAILY": "DAY", "WEEKLY": "WEEK", "MONTHLY": "MONTH
 _TIERS = "struct<compensationTiers: array<struct<components: array<struct<compensationType: string, minValue: double, maxValue: double, currencyCode: string, interval: string>>>>>"
 
 
-def _scaled(number: Column, unit: Column) -> Column:
-    return number.try_cast("double") * F.when(F.lower(unit) == "k", 1e3).when(F.lower(unit) == "m", 1e6).otherwise(1.0)
+def _dollars(side: Column, unit: Column) -> Column:
+    return F.nullif(F.regexp_extract(side, r"\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double") * F.when(unit == "K", 1e3).when(F.lower(unit) == "m", 1e6).otherwise(1.0)
 
 
 def dollar_range(c: Column) -> Column:
-    """struct(min, max, currency): "$180-250K" (a missing upper unit is the lower one's; a missing lower one stays), "$120K"."""
-    one = r"\$(\d+(?:\.\d+)?)\s*([KMm])?"
-    two = one + r"\s*(?:-|–|to)\s*\$?(\d+(?:\.\d+)?)\s*([KMm])?"
-    get = lambda p, i: F.nullif(F.regexp_extract(c, p, i), F.lit(""))
-    low, high, single = _scaled(get(two, 1), get(two, 2)), _scaled(get(two, 3), F.coalesce(get(two, 4), get(two, 2))), _scaled(get(one, 1), get(one, 2))
-    ranged = (low > 0) | (high > 0)
-    low, high = F.when(ranged, low).when(single > 0, single), F.when(ranged, high).when(single > 0, single)
-    return F.struct(low.alias("min"), high.alias("max"), F.when(low.isNotNull() | high.isNotNull(), "USD").alias("currency"))
+    """struct(min, max, currency): "$180-250K" (a missing upper unit is the lower one's; a missing lower one stays), "$120K".
+
+    Units are drawn to their numbers and the words between two amounts become one mark; the sides of the first such
+    pair that starts with a dollar, or the first dollar amount, are then read one by one.
+    """
+    tight = F.regexp_replace(F.regexp_replace(c, r"(?<=\d)\s+(?=[KMm])", ""), r"(?<=[\dKMm])\s*(?:-|–|to)\s*\$?(?=\d)", "~")
+    pair = F.regexp_extract(tight, r"\$[\d.]+[KMm]?~[\d.]+[KMm]?", 0)
+    sides = F.split(F.when(pair != "", pair).otherwise(F.regexp_extract(tight, r"\$[\d.]+[KMm]?", 0)), "~")
+    unit = lambda i: F.nullif(F.regexp_extract(F.get(sides, i), "[KMm]$", 0), F.lit(""))
+    low, high = _dollars(F.get(sides, 0), unit(0)), _dollars(F.get(sides, 1), F.coalesce(unit(1), unit(0)))
+    some = (low > 0) | F.coalesce(high > 0, F.lit(False))
+    low, high = F.when(some, low), F.when(some, F.coalesce(high, low))
+    return F.struct(low.alias("min"), high.alias("max"), F.when(low.isNotNull(), "USD").alias("currency"))
 
 
 def grouped_range(c: Column, symbol: str = "Kč") -> Column:

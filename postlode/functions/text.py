@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlode.functions import urls
+
 #: Words that end company names.
 LEGAL_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "company", "co", "gmbh", "plc", "pvt", "private")
 TITLE_NOISE = ("job", "opening", "position", "vacancy")
@@ -123,3 +125,43 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     for w in words:
         out = out | F.coalesce(F.contains(F.lower(c), F.lit(w.lower())), F.lit(False))
     return out
+
+
+def company_stem(c: Column) -> Column:
+    """company words without the legal suffixes and without technologies or technology."""
+    return F.array_join(F.filter(F.split(company_words(c), " "), lambda w: ~w.isin("technologies", "technology")), " ")
+
+
+def plain_words(c: Column) -> Column:
+    """Lower case; & as and; slashes, dashes and underscores as spaces; other marks as spaces."""
+    return collapse(F.regexp_replace(F.replace(F.lower(c), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " "))
+
+
+def compact(c: Column) -> Column:
+    return F.replace(plain_words(c), F.lit(" "), F.lit(""))
+
+
+def unescape(c: Column) -> Column:
+    """The common character references decoded once."""
+    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(value))
+    return c
+
+
+def double_encoded_text(c: Column) -> Column:
+    """The text of HTML that was escaped as a whole before it was stored."""
+    return html_text(unescape(c))
+
+
+def apply_links(c: Column) -> Column:
+    """The links of a page whose address speaks of an application, each once, in order."""
+    return F.filter(html_links(c), lambda u: F.lower(u).rlike("apply|application|candidate"))
+
+
+def apply_link(c: Column, page: Column, boards: tuple[str, ...]) -> Column:
+    """Where to apply: a link to an applicant system, else to the page's own domain, else to a careers page; "" if none."""
+    links = apply_links(c)
+    on = lambda u: urls.base_domain(u)
+    known = lambda u: F.coalesce(on(u).isin(*boards), F.lit(False))
+    pick = lambda test: F.get(F.filter(links, test), 0)
+    return F.coalesce(pick(known), pick(lambda u: F.coalesce(on(u) == on(page), F.lit(False))), pick(urls.is_career_path), F.lit(""))

@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query parameters that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref", "source", "trk")
+TRACKING = (
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gh_src", "gh_jid", "source", "src", "ref", "referrer",
+    "trk", "trkcampaign", "lever-source", "lever_source", "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid",
+)
+#: Beginnings of the names of such parameters, for the pages that are verified.
+TRACKING_BEGINNINGS = ("utm_", "gh_src", "gh_jid", "source", "src", "trk", "tracking", "ref", "referrer", "fbclid", "gclid", "mc_cid", "mc_eid")
 #: Hosts whose first path segment is the tenant, and domains whose subdomain is.
 PATH_TENANTS = {
     "greenhouse": ("boards.greenhouse.io", "job-boards.greenhouse.io", "boards.eu.greenhouse.io", "job-boards.eu.greenhouse.io"),
@@ -78,6 +83,14 @@ def canonical(c: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
     return F.when(c.rlike(_SHAPE), built).otherwise(c)
 
 
+def without_tracking(c: Column, beginnings: tuple[str, ...] = TRACKING_BEGINNINGS) -> Column:
+    """The URL as it is but for parameters whose names begin so, its fragment and slashes at its end."""
+    part = lambda i: F.regexp_extract(c, _SHAPE, i)
+    kept = F.array_join(F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).rlike("^(?:" + "|".join(beginnings) + ")")), "&")
+    built = F.concat(part(1), F.lit("://"), part(2), part(3), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+    return F.when(c.rlike(_SHAPE), F.regexp_replace(built, "/+$", "")).otherwise(c)
+
+
 def under(h: Column, domain: str) -> Column:
     return (h == domain) | F.endswith(h, F.lit("." + domain))
 

@@ -65,13 +65,13 @@ def experience_range(c: Column) -> Column:
 
 
 def country_of(c: Column) -> Column:
-    """ISO code from a location: names, then a region prefix "DE (DEA58)", then a known code at the end; else ""."""
+    """ISO code from a location: names, then a region prefix "DE (DEA58)", then a known code at the end (in brackets, behind a slash or before a full stop too); else ""."""
     low = F.lower(strip(c))
     out = F.when(low.isNull() | (low == ""), F.lit(""))
     for code, names in COUNTRY_NAMES.items():
         pattern = "|".join(r"\b" + n.replace(".", r"\.") + r"\b" for n in names)
         out = out.when(low.rlike(f"(?U){pattern}"), F.lit(code))
-    prefix, last = F.regexp_extract(strip(c), r"^([A-Za-z]{2})\s*\(", 1), F.upper(F.regexp_extract(strip(c), r"(?:^|[,\s])([A-Za-z]{2})$", 1))
+    prefix, last = F.regexp_extract(strip(c), r"^([A-Za-z]{2})\s*\(", 1), F.upper(F.regexp_extract(strip(c), r"(?:^|[,\s(/])([A-Za-z]{2})[\s).]*$", 1))
     return out.when(prefix != "", F.upper(prefix)).when(last.isin(*COUNTRY_NAMES), last).otherwise(F.lit(""))
 
 
@@ -138,3 +138,13 @@ def global_id(source: Column, own: Column) -> Column:
     """source:id; a random id where it is blank or holds control characters (so never a key to join on)."""
     x = strip(own)
     return F.when((x != "") & ~own.rlike(r"[\x00\t\r\n]"), F.concat_ws(":", source, x)).otherwise(F.uuid())
+
+
+def serialised(*columns: str) -> Column:
+    """The columns as one JSON object, nulls left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def sum_of_map(c: Column) -> Column:
+    """The sum of a map's values; nulls count as nothing."""
+    return F.aggregate(F.coalesce(F.map_values(c), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("long"))

@@ -1,7 +1,7 @@
 """Cross-source deduplication: sequential passes of windows, and a greedy fuzzy pass in blocks.
 
 Order within all passes: priority of the source, then the row's own order. A pass sees what the one before has kept.
-Rows without a valid key are split off before a window and united again, so blank keys never meet in one task.
+Rows without a valid key are groups of their own within a window, so blank keys never meet in one task.
 """
 
 from __future__ import annotations
@@ -11,17 +11,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlode.functions import text, values
-
-#: Priorities of sources that are not direct employers' systems (1) or unknown (2).
-PRIORITY = {"welcometothejungle": 3, "mercor": 3, "gem": 3, "seek": 4, "eightfold": 5, "bundesagentur": 6, "arbetsformedlingen": 6, "jobbankca": 6, "usajobs": 6}
-DIRECT = tuple("adp ashby avature bamboohr beisen beisen_legacy breezy cornerstone darwinbox dayforce greenhouse gupy herp hrmos icims jazzhr join_com jobvite keka lever moka oracle pageup paycom paylocity personio phenom pinpoint recruitee recruiterbox rippling smartrecruiters softgarden successfactors taleo teamtailor ukg workable workday amazon apple bytedance google meta tesla tiktok uber".split())
+from postlode.shipping import ship
+
+#: Priorities of sources; 2 where a source is not among them.
+PRIORITY = {
+    "adp": 1, "ashby": 1, "avature": 1, "bamboohr": 1, "beisen": 1, "beisen_legacy": 1, "breezy": 1, "cornerstone": 1, "darwinbox": 1,
+    "dayforce": 1, "greenhouse": 1, "gupy": 1, "herp": 1, "hrmos": 1, "icims": 1, "jazzhr": 1, "join_com": 1, "jobvite": 1, "keka": 1,
+    "lever": 1, "moka": 1, "oracle": 1, "pageup": 1, "paycom": 1, "paylocity": 1, "personio": 1, "phenom": 1, "pinpoint": 1,
+    "recruitee": 1, "recruiterbox": 1, "rippling": 1, "smartrecruiters": 1, "softgarden": 1, "successfactors": 1, "taleo": 1,
+    "teamtailor": 1, "ukg": 1, "workable": 1, "workday": 1, "amazon": 1, "apple": 1, "bytedance": 1, "google": 1, "meta": 1, "tesla": 1,
+    "tiktok": 1, "uber": 1, "welcometothejungle": 3, "mercor": 3, "gem": 3, "seek": 4, "eightfold": 5, "bundesagentur": 6,
+    "arbetsformedlingen": 6, "jobbankca": 6, "usajobs": 6,
+}
+#: The columns that name a posting of a source whose tenants share postings; elsewhere tenant and id do.
+OWN_KEYS = {"oracle": "ats_id", "icims": "url"}
 
 
 def priority(source: Column) -> Column:
-    out = F.when(source.isin(*DIRECT), 1)
-    for name, p in PRIORITY.items():
-        out = out.when(source == name, p)
-    return out.otherwise(2)
+    known = F.create_map(*(F.lit(x) for item in PRIORITY.items() for x in item))
+    return F.coalesce(F.try_element_at(known, source), F.lit(2))
+
+
+def scan_key(source: Column, tenant: Column, ats_id: Column, url: Column) -> Column:
+    """What tells the postings of one scan apart: by source the id alone, the URL alone, or the id within the tenant."""
+    own = {"ats_id": ats_id, "url": url}
+    out = F.when(F.lit(False), F.lit(""))
+    for name, column in OWN_KEYS.items():
+        out = out.when(source == name, F.concat_ws("|", source, own[column]))
+    return out.otherwise(F.concat_ws("|", source, tenant, ats_id))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -95,17 +112,47 @@ def fuzzy(df: DataFrame, block: list[str], threshold: float = 90.0, cap: int = 5
     return df.groupBy(*block).applyInPandas(_fuzzy(threshold, cap, df.columns), df.schema)
 
 
+def _alone() -> Column:
+    return F.concat_ws(":", F.col("source"), F.col("row_order").cast("string"))
+
+
+def _pass(k: DataFrame, keys: list[str], valid: Column, order: list[Column], cross: bool, within: tuple[str, ...] = ()) -> DataFrame:
+    """First of each valid key (cross: only of keys that two sources have), over columns of within and the keys."""
+    ok = F.coalesce(valid, F.lit(False))
+    w = Window.partitionBy(*within, *(F.when(ok, F.col(c)) for c in keys), F.when(~ok, _alone()))
+    stays = F.row_number().over(w.orderBy(*order)) == 1
+    if cross:
+        stays = stays | (F.min("source").over(w) == F.max("source").over(w))
+    return k.withColumn("__stays", stays).where("__stays").drop("__stays")
+
+
+def survivor_keys(df: DataFrame, threshold: float = 90.0, cap: int = 5_000) -> DataFrame:
+    """source, row_order of the rows that stay after all passes.
+
+    df: source, row_order (unique within a source), url, title, company, location, country_iso, ats_id; any of the
+    last six may be absent, and null counts as empty. One scan of these thin columns, a shuffle for each of the first
+    three passes, and one more that the last two share.
+    """
+    ship(df.sparkSession)
+    own = {c: text.key_text(F.col(c)) if c in df.columns else F.lit("") for c in ("url", "title", "company", "location", "country_iso", "ats_id")}
+    k = df.select("source", "row_order", priority(F.col("source")).alias("priority"), *(v.alias(c) for c, v in own.items()))
+    k = k.select("source", "row_order", "priority", "url", "ats_id", F.col("title").alias("title_raw"), *(F.lower(c).alias(c) for c in ("title", "company", "location")), text.company_key(F.col("company")).alias("key"), F.coalesce(text.title_core(F.col("title")), F.lit("")).alias("core"), F.coalesce(F.nullif(F.upper("country_iso"), F.lit("")), values.country_of(F.col("location"))).alias("country"))
+    order = [F.col("priority"), F.col("row_order"), F.col("source")]
+    k = _pass(k, ["url"], F.col("url") != "", order, cross=False)
+    k = _pass(k, ["company", "title", "location"], (F.col("company") != "") & (F.col("title") != ""), order, cross=True)
+    k = _pass(k, ["key", "ats_id"], (F.col("key") != "") & (F.col("ats_id") != ""), order, cross=True)
+    blocked = (F.col("key") != "") & (F.col("country") != "")
+    block = ["__key", "__country", "__salt"]
+    k = k.withColumns({"__key": F.when(blocked, F.col("key")).otherwise(""), "__country": F.when(blocked, F.col("country")).otherwise(""), "__salt": F.when(blocked, 0).otherwise(F.pmod(F.xxhash64(_alone()), F.lit(1_000)).cast("int"))}).repartition(*block)
+    k = _pass(k, ["core"], blocked & (F.col("core") != ""), order, cross=True, within=tuple(block))
+    found = df.select("source", "row_order").schema
+    thin = k.select("source", "row_order", "priority", "title_raw", *block)
+    if cap <= 1:
+        return thin.select("source", "row_order")
+    compare = _fuzzy(threshold, cap, ["source", "row_order"])
+    return thin.groupBy(*block).applyInPandas(lambda rows: compare(rows) if rows["__key"].iloc[0] else rows[["source", "row_order"]], found)
+
+
 def survivors(df: DataFrame, threshold: float = 90.0, cap: int = 5_000) -> DataFrame:
-    """All passes over postings: source, row_order, url, title, company, location, country_iso, ats_id (nulls as "")."""
-    k = df.withColumn("priority", priority(F.col("source")))
-    for c in ("url", "title", "company", "location", "country_iso", "ats_id"):
-        k = k.withColumn(c, text.key_text(F.col(c)) if c in df.columns else F.lit(""))
-    k = k.withColumn("title_raw", F.col("title")).withColumn("__title", F.lower("title")).withColumn("__company", F.lower("company")).withColumn("__location", F.lower("location"))
-    k = k.withColumn("__key", text.company_key(F.col("company"))).withColumn("__core", text.title_core(F.col("title"))).withColumn("__country", F.coalesce(F.nullif(F.upper("country_iso"), F.lit("")), values.country_of(F.col("location"))))
-    order = [F.col("priority"), F.col("row_order")]
-    k = where_valid(k, F.col("url") != "", lambda d: keep_first(d, ["url"], order))
-    k = where_valid(k, (F.col("__company") != "") & (F.col("__title") != ""), lambda d: cross_source(d, ["__company", "__title", "__location"], "source", order))
-    k = where_valid(k, (F.col("__key") != "") & (F.col("ats_id") != ""), lambda d: cross_source(d, ["__key", "ats_id"], "source", order))
-    k = where_valid(k, (F.col("__key") != "") & (F.col("__core") != "") & (F.col("__country") != ""), lambda d: cross_source(d, ["__key", "__core", "__country"], "source", order))
-    k = where_valid(k, (F.col("__key") != "") & (F.col("__country") != ""), lambda d: fuzzy(d, ["__key", "__country"], threshold, cap))
-    return k.select(*df.columns)
+    """The rows of df that survivor_keys() names; all their columns are read once, behind the decision."""
+    return df.join(survivor_keys(df, threshold, cap), ["source", "row_order"], "left_semi").select(*df.columns)

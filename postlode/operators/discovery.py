@@ -9,8 +9,20 @@ from postlode.functions import text, urls, values
 
 MODIFIERS = ("fresher", "intern", "trainee", "graduate", "entry level")
 #: What in an error message tells a failure that a retry does not mend, or does.
-PERMANENT = ("404", "not found", "no such company", "invalid slug", "unsupported")
-TRANSIENT = ("timeout", "timed out", "connection reset", "429", "502", "503", "temporarily")
+PERMANENT = (
+    "not found", "company not found", "board not found", "ats board unavailable", "does not exist", "no such board", "unknown board",
+    "greenhousescraper(", "leverscraper(", "ashbyscraper(", "workdayscraper(", "smartrecruitersscraper(", "icimsscraper(", "scraper(",
+)
+TRANSIENT = (
+    "timed out", "timeout", "connection reset", "connection aborted", "connection refused", "temporarily unavailable",
+    "temporary failure", "too many requests", "rate limit", "429", "502", "503", "504",
+)
+#: What a search engine answers with instead of results.
+BLOCKED_CODES = (403, 429, 503)
+BLOCKED_WORDS = (
+    "captcha", "verify you are human", "unusual traffic", "automated queries", "robot check", "access denied", "too many requests",
+    "security check", "are you a robot",
+)
 
 
 def generate(roles: DataFrame, sources: DataFrame, places: DataFrame, modifiers: tuple[str, ...] = MODIFIERS) -> DataFrame:
@@ -26,6 +38,13 @@ def generate(roles: DataFrame, sources: DataFrame, places: DataFrame, modifiers:
     return made.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("query_id", "role", "source", "place", "modifier", "query")
 
 
+def pick(queries: DataFrame, **equal: str) -> DataFrame:
+    """The queries whose columns equal the given values without regard to case or space at the ends."""
+    for column, value in equal.items():
+        queries = queries.where(F.lower(F.trim(column)) == value.strip().lower())
+    return queries
+
+
 def problems(query: Column, role: Column) -> Column:
     """What is wrong with a query, as a list; empty if nothing is."""
     tests = {"empty": F.coalesce(F.trim(query), F.lit("")) == "", "too_long": F.length(query) > 200, "repeated_word": text.has_repeated_word(query), "no_role": ~F.coalesce(F.contains(F.lower(query), F.lower(role)), F.lit(False))}
@@ -48,9 +67,10 @@ def results(pages: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
 
 
 def blocked(status: Column, body: Column) -> Column:
-    return status.isin(403, 429, 503) | text.contains_any(body, ("captcha", "unusual traffic", "access denied"))
+    """Whether a page is no result page: by its status, its words, or because there is nothing on it."""
+    return F.coalesce(status.isin(*BLOCKED_CODES), F.lit(False)) | (F.coalesce(body, F.lit("")) == "") | text.contains_any(body, BLOCKED_WORDS)
 
 
 def failure(message: Column) -> Column:
-    """transient before permanent, as a time-out that names a missing page may pass by itself; else unknown."""
-    return F.when(text.contains_any(message, TRANSIENT), "transient").when(text.contains_any(message, PERMANENT), "permanent").otherwise("unknown")
+    """permanent before transient: a message that names a missing board is final whatever else it says; else unknown."""
+    return F.when(text.contains_any(message, PERMANENT), "permanent").when(text.contains_any(message, TRANSIENT), "transient").otherwise("unknown")

@@ -26,21 +26,28 @@ def requisition_similarity(a: Column, b: Column) -> Column:
     return F.when((x != "") & (x == y), 1.0).otherwise(0.0)
 
 
-def candidates(found: DataFrame, official: DataFrame, k: int = 3, least: float = 40.0, others: bool = False) -> DataFrame:
-    """The k best official rows of each posting, of those with its company key, with score and rank.
+def candidates(found: DataFrame, official: DataFrame, k: int = 3, least: float = 40.0, others: bool = False, near: bool = False) -> DataFrame:
+    """The k best official rows of each posting, with score and rank.
 
-    found and official: id, company, title, location, requisition_id; official has is_ats as well. The score is
-    30 company + 35 title + 20 location + 15 requisition, + 5 for a known applicant system, at most 100, half-even to
-    two digits. Blocks are companies: pairs are made within them only, of rows that both have a key. others leaves out
-    the pairs of a row with its own id, for a table that is resolved against itself.
+    found and official: id, company, title, location, requisition_id, and job_id if there is one; official has is_ats
+    and may have is_career. The score is 30 company + 35 title + 20 location + 15 requisition, + 20 for an equal job_id,
+    + 5 for a known applicant system or else 3 for a careers page, at most 100, half-even to two digits.
+
+    Pairs are made within blocks only, of rows that both have one: the company's key, or (near) the first word of its
+    name, where names that differ are compared as well. others leaves out the pairs of a row with its own id, for a
+    table that is resolved against itself. The best of a posting are picked before the sort, by Spark's group limit.
     """
-    a = found.select("id", "company", "title", "location", "requisition_id", text.company_key(F.col("company")).alias("block"), classify.company_parts(F.col("company")).alias("parts")).where("block <> ''")
-    b = official.select(F.col("id").alias("official_id"), F.col("title").alias("o_title"), F.col("location").alias("o_location"), F.col("requisition_id").alias("o_requisition"), "is_ats", text.company_key(F.col("company")).alias("block"), classify.company_parts(F.col("company")).alias("o_parts")).where("block <> ''")
+    word = F.split_part(text.company_words(F.col("company")), F.lit(" "), F.lit(1))
+    block = (word if near else text.company_key(F.col("company"))).alias("block")
+    job = lambda df: (F.coalesce(text.identifier_text(F.col("job_id").cast("string")), F.lit("")) if "job_id" in df.columns else F.lit(""))
+    career = F.coalesce("is_career", F.lit(False)) if "is_career" in official.columns else F.lit(False)
+    a = found.select("id", "company", "title", "location", "requisition_id", job(found).alias("job"), block, classify.company_parts(F.col("company")).alias("parts")).where("block <> ''")
+    b = official.select(F.col("id").alias("official_id"), F.col("title").alias("o_title"), F.col("location").alias("o_location"), F.col("requisition_id").alias("o_requisition"), job(official).alias("o_job"), "is_ats", career.alias("o_career"), block, classify.company_parts(F.col("company")).alias("o_parts")).where("block <> ''")
     pairs = a.join(b, "block")
     if others:
         pairs = pairs.where(~F.col("id").eqNullSafe(F.col("official_id")))
     score = 30 * classify.company_similarity(F.col("parts"), F.col("o_parts")) + 35 * title_similarity(F.col("title"), F.col("o_title")) + 20 * location_similarity(F.col("location"), F.col("o_location"))
-    score = score + 15 * requisition_similarity(F.col("requisition_id"), F.col("o_requisition")) + F.when(F.col("is_ats"), 5).otherwise(0)
+    score = score + 15 * requisition_similarity(F.col("requisition_id"), F.col("o_requisition")) + F.when((F.col("job") != "") & (F.col("job") == F.col("o_job")), 20).otherwise(0) + F.when(F.col("is_ats"), 5).when(F.col("o_career"), 3).otherwise(0)
     scored = pairs.withColumn("score", F.bround(F.least(score, F.lit(100.0)), 2)).where(F.col("score") >= least)
     w = Window.partitionBy("id").orderBy(F.desc("score"), "official_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "official_id", "score", "rank")

@@ -13,8 +13,11 @@ def has(c: Column, needle: str) -> Column:
     return F.coalesce(F.contains(F.lower(c), F.lit(needle.lower())), F.lit(False))
 
 
-def search(df: DataFrame, title: str = "", location: str = "", company: str = "", remote: bool | None = None, salary_min: float | None = None, salary_max: float | None = None, experience_max: int | None = None) -> DataFrame:
-    """Rows that meet all given conditions. Conditions on columns that df lacks are left out, or use the location."""
+def search(df: DataFrame, title: str = "", location: str = "", company: str = "", remote: bool | None = None, salary_min: float | None = None, salary_max: float | None = None, experience_max: int | None = None, limit: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that meet all given conditions, or the first `limit` of them in the order given.
+
+    Conditions on columns that df lacks are left out, or use the location.
+    """
     tests: list[Column] = [has(F.col(c), x) for c, x in (("title", title), ("location", location), ("company", company)) if x]
     if remote is not None:
         says = has(F.col("location"), "remote") if "location" in df.columns else F.lit(False)
@@ -29,7 +32,10 @@ def search(df: DataFrame, title: str = "", location: str = "", company: str = ""
         tests.append(F.coalesce("salary_min", F.lit(float("inf"))) <= salary_max)
     if experience_max is not None and "experience" in df.columns:
         tests.append(F.coalesce("experience", F.lit(0)) <= experience_max)
-    return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+    found = df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+    if limit is None:
+        return found
+    return (found.orderBy(*order) if order else found).limit(limit)
 
 
 def find_company(df: DataFrame, needle: str, name: str = "name", slug: str = "slug", order: str = "name") -> DataFrame:

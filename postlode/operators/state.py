@@ -36,6 +36,16 @@ def upsert(state: DataFrame, batch: DataFrame, key: str, now: Column, keep: tupl
     return joined.select(*out)
 
 
+def bulk_upsert(state: DataFrame, batch: DataFrame, key: str, now: Column, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(state after the good rows of batch, the bad rows with error): a row without key or a required value is bad.
+
+    One bad row keeps no other out; of rows with one key the later wins, as in upsert().
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    error = F.coalesce(*(F.when(blank(c), F.lit(f"{c} is missing")) for c in (key, *required)))
+    return upsert(state, batch.where(error.isNull()), key, now), batch.withColumn("error", error).where("error is not null")
+
+
 def change_log(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """Rows where a key's value differs from its value before, with old_value."""
     old = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
@@ -80,7 +90,7 @@ def quarantine(held: DataFrame, failed: DataFrame, healed: DataFrame, key: str,
     """held (key, reason, failure_count, last_failure) with one failure more for those in failed, without those healed."""
     one = failed.groupBy(key).agg(F.max("reason").alias("reason")).select(key, "reason", F.lit(1).cast("long").alias("failure_count"), now.alias("last_failure"))
     both = held.select(key, "reason", F.col("failure_count").cast("long").alias("failure_count"), "last_failure").unionByName(one)
-    merged = both.groupBy(key).agg(F.max_by("reason", F.coalesce("last_failure", F.lit(0))).alias("reason"), F.sum("failure_count").alias("failure_count"), F.max("last_failure").alias("last_failure"))
+    merged = both.groupBy(key).agg(F.max_by("reason", F.struct(F.col("last_failure").isNotNull(), "last_failure")).alias("reason"), F.sum("failure_count").alias("failure_count"), F.max("last_failure").alias("last_failure"))
     return merged.join(healed.select(key), key, "left_anti")
 
 

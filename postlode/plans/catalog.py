@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from postlode.plans import extended  # noqa: F401  (registers its queries)
+from postlode.plans import extended, further  # noqa: F401  (register their queries)
 from postlode.plans.queries import QUERIES, SQL
 
 FLAGSHIP = "dedup_cross_source"

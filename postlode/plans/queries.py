@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlode.functions import text, urls, values
-from postlode.operators import classify, dedup, search, state
+from postlode.operators import classify, dedup, frames, search, state
 from postlode.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,12 +78,12 @@ def fifo_batch(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
 def point_lookup(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey = 7").select("o_orderkey", "o_totalprice")
+    return frames.by_key(t.orders, "o_orderkey", 7).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 10")
 def rotation_window(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", "n_name").orderBy("n_nationkey").offset(10).limit(5)
+    return frames.rotation(t.nation.select("n_nationkey", "n_name"), "n_nationkey", 10, 5)
 
 
 # Aggregations
@@ -93,50 +93,46 @@ def rotation_window(t: Tables) -> DataFrame:
 count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (WHERE o_totalprice >= 75000) AS high, count(*) FILTER (WHERE o_orderstatus = 'P') AS sent FROM orders""")
 def store_statistics(t: Tables) -> DataFrame:
     tests = {"active": F.col("o_orderstatus") == "O", "verified": F.col("o_orderstatus") == "F", "urgent": F.col("o_orderpriority") == "1-URGENT", "high": F.col("o_totalprice") >= 75000, "sent": F.col("o_orderstatus") == "P"}
-    return t.orders.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(n) for n, c in tests.items()))
+    return frames.profile(t.orders, tests, total="total")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, count(*) FILTER (WHERE value > 50) AS n_high FROM events GROUP BY event_type")
 def group_counts(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("value") > 50).alias("n_high"))
+    return frames.profile(t.events, {"n_high": F.col("value") > 50}, ("event_type",), {"n_users": "user_id"})
 
 
 @query("SELECT s_nationkey, max(s_acctbal) AS best_balance, arg_max(s_suppkey, (s_acctbal, -s_suppkey)) AS best_supplier FROM supplier GROUP BY s_nationkey")
 def candidate_best(t: Tables) -> DataFrame:
-    return t.supplier.groupBy("s_nationkey").agg(F.max("s_acctbal").alias("best_balance"), F.max_by("s_suppkey", F.struct("s_acctbal", -F.col("s_suppkey"))).alias("best_supplier"))
+    return frames.best_of(t.supplier, "s_nationkey", "s_acctbal", "s_suppkey", "best_supplier", "best_balance")
 
 
 @query("SELECT p_brand, p_partkey, rn FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS rn FROM part) WHERE rn <= 3")
 def topk_per_group(t: Tables) -> DataFrame:
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return t.part.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("p_brand", "p_partkey", "rn")
+    return frames.top_of(t.part, "p_brand", 3, F.desc("p_retailprice"), F.col("p_partkey")).select("p_brand", "p_partkey", "rn")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS description FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def description_compose(t: Tables) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return t.conversations.where("text is not null").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("description"))
+    return frames.compose(t.conversations, "conv_id", ("turn", "role"), "text", "description")
 
 
 @query("""SELECT o_orderpriority, CAST(sum(CASE WHEN day(o_orderdate) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS day_first, CAST(sum(CASE WHEN day(o_orderdate) <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS unsure,
 sum(CASE WHEN day(o_orderdate) > 12 THEN 1 ELSE 0 END) > 0 AS is_day_first FROM orders GROUP BY o_orderpriority""")
 def date_order_vote(t: Tables) -> DataFrame:
-    written = t.orders.withColumn("d", F.date_format("o_orderdate", "dd/MM/yyyy")).withColumn("first", F.substring_index("d", "/", 1).cast("int"))
-    votes = written.groupBy("o_orderpriority").agg(F.count_if(F.col("first") > 12).alias("day_first"), F.count_if(F.col("first") <= 12).alias("unsure"))
-    return votes.withColumn("is_day_first", F.col("day_first") > 0)
+    return frames.day_first_votes(t.orders, "o_orderpriority", F.date_format("o_orderdate", "dd/MM/yyyy"))
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def run_report(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return frames.monthly(t.events, "event_type", "ts", "value")
 
 
 # Deduplication and windows
 
 _CANONICAL_SQL = r"""CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*(\?[^#]*)?(#.*)?$') THEN
 lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '')
-|| CASE WHEN len(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref','source','trk'))) > 0
-THEN '?' || array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','ref','source','trk')), '&') ELSE '' END
+|| CASE WHEN len(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gh_src','gh_jid','source','src','ref','referrer','trk','trkcampaign','lever-source','lever_source','fbclid','gclid','msclkid','mc_cid','mc_eid'))) > 0
+THEN '?' || array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gh_src','gh_jid','source','src','ref','referrer','trk','trkcampaign','lever-source','lever_source','fbclid','gclid','msclkid','mc_cid','mc_eid')), '&') ELSE '' END
 ELSE url END"""
 
 
@@ -178,12 +174,11 @@ def dedup_cross_id(t: Tables) -> DataFrame:
     return dedup.cross_source(rows, ["user_id", "own_id"], "event_type", [F.col("event_type"), F.col("event_id")]).select("event_id", "user_id", "event_type")
 
 
-@query(r"""WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '\s+', ' ', 'g')) AS core FROM documents),
+@query(r"""WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS core FROM documents),
 w AS (SELECT *, min(source) OVER g <> max(source) OVER g AS cross_source, row_number() OVER (PARTITION BY core, lang ORDER BY source, doc_id) AS rn FROM d WHERE core <> '' WINDOW g AS (PARTITION BY core, lang))
 SELECT doc_id FROM w WHERE NOT cross_source OR rn = 1 UNION ALL SELECT doc_id FROM d WHERE core IS NULL OR core = ''""")
 def dedup_title_core_country(t: Tables) -> DataFrame:
-    core = text.collapse(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))))
-    rows = t.documents.select("doc_id", "lang", "source", core.alias("core"))
+    rows = t.documents.select("doc_id", "lang", "source", text.collapse(F.lower("text")).alias("core"))
     return dedup.where_valid(rows, F.col("core") != "", lambda d: dedup.cross_source(d, ["core", "lang"], "source", [F.col("source"), F.col("doc_id")])).select("doc_id")
 
 
@@ -201,8 +196,10 @@ def dedup_chain_survivors(t: Tables) -> DataFrame:
 
 @query(None)
 def dedup_fuzzy_blocks(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("doc_id").alias("row_order"), F.col("source"), F.lit("").alias("url"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.concat(F.lit("company "), F.pmod("doc_id", F.lit(50)).cast("string")).alias("company"), F.lit("").alias("location"), F.when(F.col("lang") == "de", "DE").when(F.col("lang") == "fr", "FR").otherwise("US").alias("country_iso"), F.lit("").alias("ats_id"))
-    return dedup.survivors(rows).select(F.col("row_order").alias("doc_id"), "source")
+    mirror = F.when(F.col("p_partkey") % 3 == 0, "eures").when(F.col("p_partkey") % 3 == 1, "seek").otherwise("lever")
+    company = F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"))
+    rows = t.part.select(F.col("p_partkey").alias("row_order"), mirror.alias("source"), F.col("p_name").alias("title"), company.alias("company"), F.lit("DE").alias("country_iso"))
+    return dedup.survivors(rows).select(F.col("row_order").alias("p_partkey"), "source")
 
 
 # Joins and set operations
@@ -210,10 +207,7 @@ def dedup_fuzzy_blocks(t: Tables) -> DataFrame:
 
 @query("SELECT a.p_partkey AS a_key, b.p_partkey AS b_key FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(string_split(lower(a.p_name), ' '), string_split(lower(b.p_name), ' '))) >= 1")
 def similarity_join_blocked(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_brand", "p_type", "p_size", F.split(F.lower("p_name"), " ").alias("w"))
-    other = rows.select(F.col("p_partkey").alias("b_key"), "p_brand", "p_type", "p_size", F.col("w").alias("v"))
-    pairs = rows.join(other, ["p_brand", "p_type", "p_size"]).where("p_partkey < b_key").where(F.size(F.array_intersect("w", "v")) >= 1)
-    return pairs.select(F.col("p_partkey").alias("a_key"), "b_key")
+    return frames.similar_pairs(t.part, "p_partkey", ["p_brand", "p_type", "p_size"], F.split(F.lower("p_name"), " "))
 
 
 @query(r"""SELECT c_custkey, s_suppkey, CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE len(list_intersect(ta, tb)) / CAST(len(list_distinct(list_concat(ta, tb))) AS DOUBLE) END AS similarity FROM (
@@ -239,8 +233,7 @@ def role_theta_join(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def dimension_lookup(t: Tables) -> DataFrame:
-    places = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return t.customer.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name", "r_name")
+    return frames.look_up(t.customer, (t.nation, "c_nationkey", "n_nationkey"), (t.region, "n_regionkey", "r_regionkey")).select("c_custkey", "n_name", "r_name")
 
 
 @query("SELECT page_id, regexp_extract(lower(url), '://([^/?#]*)', 1) AS host, array_to_string(list_slice(string_split(regexp_extract(lower(url), '://([^/?#]*)', 1), '.'), -2, -1), '.') AS domain, CASE WHEN regexp_matches(url, '://([^/]*\\.)?example\\.com([/?#]|$)') THEN 'board' WHEN regexp_matches(url, '://([^/]*\\.)?example\\.net([/?#]|$)') THEN 'third_party' ELSE 'other' END AS url_class FROM pages".replace("\\\\", "\\"))
@@ -251,14 +244,14 @@ def url_host_class(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL AS suppkey, CAST(c_nationkey AS VARCHAR) AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_suppkey, CAST(s_nationkey AS VARCHAR) FROM supplier")
 def union_by_name_widen(t: Tables) -> DataFrame:
-    a = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
+    a = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
     b = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("suppkey"), F.col("s_nationkey").cast("string").alias("nation"))
-    return a.unionByName(b, allowMissingColumns=True)
+    return frames.widened(a, b)
 
 
 @query("SELECT n_name AS place FROM nation UNION SELECT r_name FROM region")
 def lexicon_union_distinct(t: Tables) -> DataFrame:
-    return t.nation.select(F.col("n_name").alias("place")).union(t.region.select("r_name")).distinct()
+    return frames.lexicon(t.nation.select(F.col("n_name").alias("place")), t.region.select("r_name"))
 
 
 @query("""SELECT substr(sha256(lower(r_name) || '|' || lower(n_name) || '|' || w), 1, 16) AS query_id, r_name, n_name, w AS modifier, '"' || n_name || '" ' || w AS query
@@ -272,15 +265,20 @@ def query_crossproduct(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem SEMI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') ON l_orderkey = o_orderkey")
 def semi_join_survivors(t: Tables) -> DataFrame:
     keep = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(keep, "l_orderkey", "left_semi")
+    return frames.only(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), keep, "l_orderkey")
 
 
 # State, queue, histories
 
 
-@query("""SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS check_count, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id""")
+@query("""WITH last AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS title FROM orders GROUP BY o_custkey)
+SELECT coalesce(c_custkey, o_custkey) AS id, coalesce(l.title, c.c_name) AS title, CASE WHEN c_custkey IS NULL THEN 9 ELSE 1 END AS first_seen, CASE WHEN o_custkey IS NULL THEN 2 ELSE 9 END AS last_seen,
+CASE WHEN c_custkey IS NULL THEN 1 WHEN o_custkey IS NULL THEN 1 ELSE 2 END AS check_count, CASE WHEN o_custkey IS NULL THEN 'MISSING' ELSE 'ACTIVE' END AS status FROM customer c FULL JOIN last l ON c.c_custkey = l.o_custkey""")
 def upsert_state(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("check_count"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    """Customers as the state, orders as a batch in which a customer comes more than once."""
+    old = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.lit(1).alias("first_seen"), F.lit(2).alias("last_seen"), F.lit(1).alias("check_count"), F.lit("MISSING").alias("status"))
+    batch = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("__order"))
+    return state.upsert(old, batch, "id", F.lit(9))
 
 
 @query("SELECT event_id, user_id, old_value, event_type FROM (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_value FROM events) WHERE old_value IS NOT NULL AND old_value <> event_type")
@@ -307,8 +305,8 @@ def queue_cleanup(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 100")
 def queue_ready(t: Tables) -> DataFrame:
-    ready = t.orders.where("o_orderstatus = 'O'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return ready.select("o_orderkey", "c_name").orderBy("o_orderkey").limit(100)
+    queue = t.orders.where("o_orderstatus = 'O'")
+    return frames.ready(queue, t.customer, F.col("o_custkey") == F.col("c_custkey"), "o_orderkey", 100).select("o_orderkey", "c_name")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' AND ts < (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE")
@@ -319,8 +317,8 @@ def stale_lease(t: Tables) -> DataFrame:
 
 @query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND d.lang = 'en' AND d.n_chars >= 75 AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def not_yet_alerted(t: Tables) -> DataFrame:
-    ready = t.documents.where("lang = 'en' and n_chars >= 75").join(t.labels.where("quality = 1").select("doc_id"), "doc_id")
-    return ready.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    good = frames.only(t.documents.where("lang = 'en' and n_chars >= 75").select("doc_id"), t.labels.where("quality = 1"), "doc_id")
+    return frames.not_yet(good, t.labels.where("toxic = 1"), "doc_id")
 
 
 @query("SELECT c_custkey, coalesce(s_acctbal, c_acctbal) AS c_acctbal FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
@@ -380,11 +378,6 @@ def time_parse(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.unix_timestamp(iso).alias("seconds"), F.unix_timestamp(ago).alias("three_weeks_before"))
 
 
-@query("SELECT n_nationkey, CASE WHEN regexp_matches(lower(n_name), '\\bgermany\\b') THEN 'DE' WHEN regexp_matches(lower(n_name), '\\bfrance\\b') THEN 'FR' WHEN regexp_matches(lower(n_name), '\\bunited states\\b') THEN 'US' WHEN regexp_matches(lower(n_name), '\\bunited kingdom\\b') THEN 'GB' WHEN regexp_matches(lower(n_name), '\\bcanada\\b') THEN 'CA' ELSE '' END AS country FROM nation".replace("\\\\", "\\"))
-def country_from_location(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", values.country_of(F.concat(F.lit("Any town, "), "n_name")).alias("country"))
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def raw_json_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
@@ -401,24 +394,6 @@ def tolerant_registry_union(t: Tables) -> DataFrame:
 # Classification
 
 
-@query(r"""WITH x AS (SELECT o_orderkey, o_orderpriority, CASE o_orderkey % 5 WHEN 0 THEN 'Senior Engineer' WHEN 1 THEN 'Software Intern' WHEN 2 THEN 'Sales Associate' WHEN 3 THEN '' ELSE 'Data Analyst' END AS title, o_orderkey % 4 AS years, CASE WHEN o_orderkey % 5 = 4 THEN 90 WHEN o_orderkey % 5 = 1 THEN 100 END AS prio, o_orderstatus FROM orders),
-y AS (SELECT *, CASE WHEN title = '' THEN 'NO_TITLE' WHEN title LIKE 'Senior%' THEN 'SENIOR_OR_EXPERIENCED_TITLE' WHEN title LIKE 'Sales%' THEN 'NON_TECHNICAL_ROLE' WHEN o_orderstatus = 'F' THEN 'OUTSIDE' WHEN years >= 2 THEN 'EXPERIENCE_REQUIREMENT_NOT_FRESHER' WHEN prio IS NULL THEN 'ROLE_NOT_TARGETED' ELSE 'MATCHED' END AS reason FROM x),
-z AS (SELECT *, CASE WHEN reason = 'MATCHED' THEN least(98, 40 + CASE WHEN title LIKE '%Intern%' THEN 20 ELSE 5 END + least(CAST(floor(prio * 0.2) AS INTEGER), 20) + CASE WHEN o_orderstatus = 'P' THEN 8 ELSE 5 END + CASE WHEN title LIKE '%Intern%' THEN 10 ELSE 0 END) ELSE 0 END AS score FROM y)
-SELECT o_orderkey, reason, CAST(score AS INTEGER) AS score, CASE WHEN score >= 90 THEN 'STRONG' WHEN score >= 75 THEN 'GOOD' WHEN score > 0 THEN 'MAYBE' ELSE 'NONE' END AS category FROM z""")
-def match_cascade(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    title = F.when(k == 0, "Senior Engineer").when(k == 1, "Software Intern").when(k == 2, "Sales Associate").when(k == 3, "").otherwise("Data Analyst")
-    prio = F.when(k == 4, 90).when(k == 1, 100)
-    m = classify.match(title, F.col("o_orderstatus"), F.col("o_orderkey") % 4, F.lit(None).cast("string"), prio, F.col("o_orderstatus") == "P", F.col("o_orderstatus") == "F")
-    return t.orders.select("o_orderkey", m.alias("m")).select("o_orderkey", "m.reason", "m.score", "m.category")
-
-
-@query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\b(on-?site only|not remote|no remote)\b') THEN 'NOT_REMOTE' WHEN regexp_matches(lower(text), '\bremote[^a-z]{1,3}india only\b') THEN 'INDIA_ONLY' WHEN regexp_matches(lower(text), '\b(us|usa|uk|eu|canada) only\b') THEN 'COUNTRY_RESTRICTED'
-WHEN regexp_matches(lower(text), '\b(work authori[sz]ation|must be authori[sz]ed)\b') THEN 'WORK_AUTHORIZATION' WHEN regexp_matches(lower(text), '\b(worldwide|work from anywhere|global remote)\b') THEN 'WORLDWIDE' WHEN regexp_matches(lower(text), '\bremote\b') THEN 'REMOTE' ELSE 'UNKNOWN' END AS status FROM documents""")
-def remote_cascade(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", classify.remote_eligibility(F.col("text"))["status"].alias("status"))
-
-
 @query(r"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'phone' END, CASE WHEN regexp_matches(text, '[a-z0-9]+@[a-z0-9.]+') THEN 'mail' END, CASE WHEN regexp_matches(text, 'https?://') THEN 'link' END], lambda x: x IS NOT NULL), ',') AS signals FROM documents")
 def scam_signal_list(t: Tables) -> DataFrame:
     found = text.matching(F.col("text"), {"phone": "[0-9]{3}-[0-9]{4}", "mail": "[a-z0-9]+@[a-z0-9.]+", "link": "https?://"})
@@ -469,26 +444,6 @@ def discovery_queries(t: Tables) -> DataFrame:
     return made.select("query_id", "query")
 
 
-@query("""SELECT event_id, CASE WHEN value > 90 THEN 'transient' WHEN value > 80 THEN 'permanent' ELSE 'unknown' END AS failure, event_type = 'error' OR value > 95 AS is_blocked FROM events""")
-def failure_classes(t: Tables) -> DataFrame:
-    from postlode.operators import discovery
-
-    message = F.when(F.col("value") > 90, "Read Timeout: page not found").when(F.col("value") > 80, "company NOT FOUND").otherwise("odd")
-    status_code = F.when(F.col("event_type") == "error", 429).otherwise(200)
-    body = F.when(F.col("value") > 95, "please solve this CAPTCHA").otherwise("welcome")
-    return t.events.select("event_id", discovery.failure(message).alias("failure"), discovery.blocked(status_code, body).alias("is_blocked"))
-
-
-@query("""WITH pairs AS (SELECT a.o_orderkey AS id, b.o_orderkey AS official_id, CAST(30 + CASE WHEN a.o_orderpriority = b.o_orderpriority THEN 35 ELSE 0 END + CASE WHEN a.o_orderstatus = b.o_orderstatus THEN 20 ELSE 0 END + 0 AS DOUBLE) AS score
-FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderkey % 10 = 1 AND b.o_orderkey % 10 = 2)
-SELECT id, official_id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, official_id) AS rn FROM pairs WHERE score >= 40) WHERE rn <= 2""")
-def entity_resolution(t: Tables) -> DataFrame:
-    from postlode.operators import resolution
-
-    rows = _order_postings(t)
-    return resolution.candidates(rows.where("id % 10 = 1"), rows.where("id % 10 = 2"), k=2)
-
-
 def _order_postings(t: Tables) -> DataFrame:
     """Orders as postings: the customer is the company."""
     word = F.regexp_extract("o_orderpriority", "([A-Z]+)", 1)

@@ -19,18 +19,26 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
-def postings(spark: SparkSession, folder: str, file: str = "jobs.csv") -> DataFrame:
-    """folder/<source>/<file> of all sources, as text columns of the posting schema, with ats_type from the path.
+def postings(spark: SparkSession, folder: str, file: str = "jobs.csv", skip: tuple[str, ...] = ("custom",)) -> DataFrame:
+    """folder/<source>/<file> of all sources but those to skip, as text columns of the posting schema, with ats_type from the path.
 
-    Only columns a file has by name are filled; ids never become numbers. row_order numbers the rows of a file by
-    their place in it, and stays as long as the files do.
+    Each file is read by its own header: only columns it has by name are filled, in any order or case, and ids never
+    become numbers. Files without a byte have no rows, as have those with a header alone. row_order is the number of
+    the file among the files and of the row in it, so it stays as long as the files do.
     """
-    raw = spark.read.option("pathGlobFilter", file).option("recursiveFileLookup", "true").csv(folder, header=True, multiLine=True, escape='"', enforceSchema=False, inferSchema=False)
-    source = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{file}$", 1)
-    named = raw.select("*", source.alias("__source"), F.monotonically_increasing_id().alias("row_order"))
-    own = {c.lower(): c for c in raw.columns}
-    out = [F.col("__source").alias("ats_type") if c == "ats_type" else (F.col(f"`{own[c]}`") if c in own else F.lit(None).cast("string")).alias(c) for c in COLUMNS]
-    return named.select(*out, "row_order")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", file).option("recursiveFileLookup", "true").load(folder).where("length > 0").select("path").collect()
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in COLUMNS) + ", row_order long")
+    for number, path in enumerate(sorted(r["path"] for r in listed)):
+        source = path.rsplit("/", 2)[-2]
+        if source in skip:
+            continue
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+        own = {c.lower().strip("\ufeff "): c for c in raw.columns}
+        # A file of many-line records is one task, so the low bits of the id are the row's number in the file.
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(number << 33)
+        columns = [F.lit(source).alias("ats_type") if c == "ats_type" else (F.col(f"`{own[c]}`") if c in own else F.lit(None).cast("string")).alias(c) for c in COLUMNS]
+        out = out.unionByName(raw.select(*columns, row.alias("row_order")))
+    return out
 
 
 def typed(df: DataFrame) -> DataFrame:

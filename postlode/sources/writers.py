@@ -42,6 +42,23 @@ def _write(spark: SparkSession, path: str, body: str) -> None:
     fs.rename(temp, target)
 
 
+def prune(spark: SparkSession, folder: str, prefixes: tuple[str, ...] = ("jobs", "companies")) -> int:
+    """Deletes what an older layout left below a folder; returns how many of these were there. Repeatable."""
+    jvm, n = spark.sparkContext._jvm, 0
+    for p in prefixes:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
+def export_json(df: DataFrame, folder: str, by: str) -> DataFrame:
+    """Writes rows as JSON lines, and beside them their number by a column; returns these numbers."""
+    df.write.json(f"{folder}/rows")
+    counts = df.sparkSession.read.schema(df.schema).json(f"{folder}/rows").groupBy(by).count()
+    counts.write.json(f"{folder}/statistics")
+    return counts
+
+
 def publish(df: DataFrame, folder: str, generated_at: str, before: dict | None = None, version: str = "1") -> dict:
     """Writes slices (never deduplicated) and the snapshot (deduplicated), then the manifest; returns it.
 

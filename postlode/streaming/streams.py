@@ -32,29 +32,41 @@ def _drain(stream: DataFrame, folder: str, write) -> None:
     q.awaitTermination()
 
 
-def run_upsert(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _latest(spark: SparkSession, folder: str, below: float = float("inf")) -> str | None:
+    """The newest version of a state below a number, from the folder itself, so a restart finds it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    numbers = [int(n) for n in done if int(n) < below]
+    return f"{folder}/state/{max(numbers)}" if numbers else None
+
+
+def run_upsert(spark: SparkSession, sf_dir: str, name: str, folder: str | None = None) -> DataFrame:
     """first_seen, last_seen, check_count per user: each batch is merged into the state of the batch before.
 
-    A batch writes its own version of the state, named by its number; a repeated batch writes the same again.
+    A batch writes its own version of the state, named by its number; a repeated batch writes the same again. With the
+    folder of an earlier run the stream goes on behind what that run has read.
     """
-    folder = _work(spark)
-    last = {"version": -1}
+    folder = folder or _work(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         new = batch.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("check_count"))
-        if last["version"] >= 0:
-            old = spark.read.parquet(f"{folder}/state/{last['version']}")
-            new = old.unionByName(new).groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("check_count").alias("check_count"))
+        before = _latest(spark, folder, number)
+        if before:
+            both = spark.read.parquet(before).unionByName(new)
+            new = both.groupBy("user_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("check_count").alias("check_count"))
         new.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        last["version"] = number
 
     _drain(source(spark, sf_dir, name), folder, write)
-    return spark.read.parquet(f"{folder}/state/{last['version']}")
+    return spark.read.parquet(_latest(spark, folder))
 
 
-def run_first_seen(spark: SparkSession, sf_dir: str, name: str, keys: list[str]) -> DataFrame:
+def run_first_seen(spark: SparkSession, sf_dir: str, name: str, keys: list[str], folder: str | None = None) -> DataFrame:
     """The first row of each key over the whole stream (state grows with the keys; see within() for a bound)."""
-    folder = _work(spark)
+    folder = folder or _work(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from postlode.operators import classify, dedup, search, state
+from postlode.operators import classify, dedup, frames, search, signals, state
 from postlode.sources import adapters, readers, writers
 
 POSTING = "source string, row_order long, url string, title string, company string, location string, country_iso string, ats_id string"
@@ -65,12 +65,111 @@ def test_state(spark):
     assert (rows["b"]["last_seen"], rows["c"]["first_seen"], rows["c"]["check_count"]) == (1, 9, 1)
 
 
-def test_match_score_bounds(spark):
-    rows = spark.createDataFrame([("Data Analyst", 0, 90, "near"), ("Software Intern", 0, 100, "x"), ("Senior Dev", 0, 90, "x"), ("Data Analyst", 4, 90, "x"), (None, 0, 1, "x"), ("Data Analyst", 0, 90, None)], "title string, years int, prio int, place string")
-    m = classify.match(F.col("title"), F.col("place"), F.col("years"), F.lit(None).cast("string"), F.col("prio"), F.col("place") == "near", F.col("place") == "far")
-    found = [tuple(r["m"]) for r in rows.select(m.alias("m")).collect()]
-    assert found[0] == ("MATCHED", 71, "MAYBE") and found[1] == ("MATCHED", 95, "STRONG")
-    assert [f[0] for f in found[2:]] == ["SENIOR_OR_EXPERIENCED_TITLE", "EXPERIENCE_REQUIREMENT_NOT_FRESHER", "NO_TITLE", "OUTSIDE"]
+def test_match(spark):
+    """Cases: title, description, location, experience, priority of the role, and what comes of them."""
+    cases = [
+        ("Data Analyst", "", "Hyderabad", "fresher", 90, ("TECHNICAL_FRESHER_MATCH", "GOOD", 86)),
+        ("Data Analyst", "", "Pune, India", "", 90, ("TECHNICAL_FRESHER_MATCH", "MAYBE", 68)),
+        ("Software Intern", "", "India Remote", "0-1 years", 100, ("TECHNICAL_FRESHER_MATCH", "STRONG", 98)),
+        ("Senior Data Analyst", "", "Pune", "", 90, ("SENIOR_OR_EXPERIENCED_TITLE", "REJECTED", 0)),
+        ("Software Engineer II", "", "Pune", "", 90, ("SENIOR_OR_EXPERIENCED_TITLE", "REJECTED", 0)),
+        ("HR Recruiter", "", "Pune", "", 90, ("NON_TECHNICAL_ROLE", "NONE", 0)),
+        ("Data Analyst", "", "London, UK", "", 90, ("NON_INDIA_LOCATION", "OUTSIDE_INDIA", 0)),
+        ("Data Analyst", "", "Worldwide", "", 90, ("NON_INDIA_LOCATION", "OUTSIDE_INDIA", 0)),
+        ("Data Analyst", "", None, "", 90, ("NON_INDIA_LOCATION", "OUTSIDE_INDIA", 0)),
+        ("Data Analyst", "", "Pune", "3-5 years", 90, ("EXPERIENCE_REQUIREMENT_NOT_FRESHER", "EXPERIENCE_MISMATCH", 0)),
+        ("Data Analyst", "Requires at least 3 years of work.", "Pune", None, 90, ("EXPERIENCE_REQUIREMENT_NOT_FRESHER", "EXPERIENCE_MISMATCH", 0)),
+        ("Data Analyst", "Requires at least 3 years of work.", "Pune", "0-2 years", 90, ("TECHNICAL_FRESHER_MATCH", "GOOD", 83)),
+        ("Welder", "", "Pune", "", None, ("ROLE_NOT_TARGETED", "NONE", 0)),
+        (" ", "", "Pune", "", 90, ("NO_TITLE", "NONE", 0)),
+        (None, None, None, None, None, ("NO_TITLE", "NONE", 0)),
+    ]
+    rows = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "i int, title string, body string, place string, years string, prio int")
+    m = classify.match(F.col("title"), F.col("body"), F.col("place"), F.col("years"), F.col("prio"))
+    found = {r["i"]: tuple(r["m"])[:3] for r in rows.select("i", m.alias("m")).collect()}
+    assert found == {i: c[5] for i, c in enumerate(cases)}
+
+
+def test_best_role_with_and_without_a_join(spark, monkeypatch):
+    roles = spark.createDataFrame([("data", "a", 70), ("data analyst", "b", 70), ("analyst", "c", 60), ("", "d", 99), (None, "e", 99)], "phrase string, role string, role_priority int")
+    rows = spark.createDataFrame([(1, "Data Analyst"), (2, "ANALYST"), (3, None), (4, "x"), (4, "x")], "id int, title string")
+    told = sorted([(1, "b", 70), (2, "c", 60), (3, None, None), (4, None, None), (4, None, None)], key=str)
+    for most in (classify.LITERAL_ROLES, 1):
+        monkeypatch.setattr(classify, "LITERAL_ROLES", most)
+        assert sorted((tuple(r) for r in classify.best_role(rows, "title", roles, ["id"]).select("id", "role", "role_priority").collect()), key=str) == told
+
+
+def test_verified_and_screened_remote(spark):
+    texts = ["Remote. Must be located in Canada.", "Remote, US only", "Must live in Spain", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    none = F.lit(None).cast("string")
+    x = rows.select("i", classify.remote_eligibility(none, F.col("t"), none)["status"].alias("a"), signals.verified_remote(none, F.col("t"), none)["status"].alias("b"), signals.remote(F.col("t"), none, none)["status"].alias("c")).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in x] == [("UNKNOWN", "UNKNOWN", "UNKNOWN"), ("COUNTRY_RESTRICTED",) * 3, ("NOT_REMOTE", "COUNTRY_RESTRICTED", "UNKNOWN"), ("NOT_REMOTE", "UNKNOWN", "UNKNOWN")]
+
+
+def test_sources_with_different_headers(spark, tmp_path):
+    files = {"lever": "ats_id,title,odd\n01,Dev,x\n02,\"two\nlines\",y\n", "gem": "TITLE,location,company,ats_id\nOps,Berlin,Acme,7\n", "seek": "", "adp": "title,ats_id\n", "custom": "title,ats_id\nno,1\n"}
+    for source, body in files.items():
+        (tmp_path / source).mkdir()
+        (tmp_path / source / "jobs.csv").write_text(body)
+    rows = readers.postings(spark, str(tmp_path)).collect()
+    assert sorted((r["ats_type"], r["ats_id"], r["title"], r["location"]) for r in rows) == [("gem", "7", "Ops", "Berlin"), ("lever", "01", "Dev", None), ("lever", "02", "two\nlines", None)]
+    assert sorted(r["row_order"] & ((1 << 33) - 1) for r in rows if r["ats_type"] == "lever") == [0, 1] and len({r["row_order"] for r in rows}) == 3
+    (tmp_path / "none").mkdir()
+    assert readers.postings(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_survivors_plan(spark):
+    rows = spark.createDataFrame([("lever", 1, "u", "T", "C", "x", None, "1")], POSTING)
+    plan = dedup.survivors(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 7 and plan.count("applyInPandas") + plan.count("FlatMapGroupsInPandas") == 1
+    executed = dedup.survivors(rows)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") <= 6
+
+
+def test_fuzzy_pass_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    words = "data engineer platform senior junior analyst cloud systems".split()
+    given = [(rng.choice(["lever", "gem", "eures", "usajobs"]), i, None, " ".join(rng.sample(words, rng.randrange(2, 5))), rng.choice(["Acme", "Blue", " "]), "", rng.choice(["DE", "FR", None]), None) for i in range(120)]
+    told, kept = set(), []
+    for s, i, _, title, company, _, country, _ in sorted(given, key=lambda r: (dedup.PRIORITY.get(r[0], 2), r[1])):
+        block = (company.strip().lower(), country)
+        exact = [k for k in kept if k[0] != s and all(block) and k[1] == block and dedup.token_set_ratio(k[2], title) >= 90]
+        if not exact:
+            kept.append((s, block, title))
+            told.add((s, i))
+    # No location, id or url: the passes before drop only rows whose titles equal, which the fuzzy one drops as well.
+    assert survivors(spark, [(*g[:2], f"u{g[1]}", *g[3:5], str(g[1]), *g[6:]) for g in given]) == told
+
+
+def test_stream_resumes(spark, tmp_path):
+    from postlode.streaming.streams import run_upsert
+
+    rows = lambda n: spark.createDataFrame([(u, f"2024-01-0{n} 00:00:00") for u in (1, n)], "user_id int, ts string").selectExpr("user_id", "timestamp(ts) ts").coalesce(1)
+    rows(1).write.parquet(f"{tmp_path}/events.parquet")
+    folder = f"file://{tmp_path}/work"
+    assert {r["user_id"]: r["check_count"] for r in run_upsert(spark, str(tmp_path), "events", folder).collect()} == {1: 2}
+    rows(2).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert {r["user_id"]: r["check_count"] for r in run_upsert(spark, str(tmp_path), "events", folder).collect()} == {1: 3, 2: 1}
+
+
+def test_quarantine_takes_times(spark):
+    held = spark.sql("select 'a' slug, 'old' reason, 2L failure_count, timestamp'2024-01-01' last_failure union all select 'n', 'none', 1L, null")
+    failed, healed = spark.sql("select 'a' slug, 'new' reason"), spark.sql("select 'z' slug")
+    found = {r["slug"]: (r["reason"], r["failure_count"]) for r in state.quarantine(held, failed, healed, "slug", F.lit("2025-01-01").cast("timestamp")).collect()}
+    assert found == {"a": ("new", 3), "n": ("none", 1)}
+
+
+def test_prune_and_limit(spark, tmp_path):
+    (tmp_path / "jobs").mkdir()
+    assert writers.prune(spark, f"file://{tmp_path}") == 1 and writers.prune(spark, f"file://{tmp_path}") == 0
+    rows = spark.range(10).select(F.col("id"), F.lit("x").alias("title"))
+    assert [r["id"] for r in search.search(rows, title="x", limit=2, order=("id",)).collect()] == [0, 1]
+    assert frames.all_columns(rows, rows.withColumnRenamed("id", "n")) == ["id", "title", "n"]
+    sent = spark.createDataFrame([("",), ("a",)], "k string")
+    assert sorted(r["k"] for r in frames.not_yet(spark.createDataFrame([("",), ("a",), ("b",)], "k string"), sent, "k").collect()) == ["", "b"]
 
 
 def test_adapters(spark):
