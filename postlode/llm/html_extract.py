@@ -5,12 +5,18 @@
    the bodies of both per host, so a host with a third of all pages is a sum like any, and copies count as one page.
 2. A subtree in at least MIN_PAGES bodies and MIN_SHARE of a host's bodies is a template of this host. At most
    1 / MIN_SHARE times the subtrees of an average page reach that share, so a host's list doesn't grow with its pages.
-3. Each page is parsed again; templates of its host are deleted, as are elements that never hold the article (menus,
-   footers, forms, scripts, elements named as advert, notice or comments, ...). If the page has article, main or
-   role=main, the text comes from there, and its paragraphs, headings, lists, tables and figures, and the elements
-   that hold them, are kept even if the host repeats them: copies of an article are no template.
-
-Text is cut into blocks at block elements; white space inside a block becomes one space, blocks are joined by \\n.
+3. Each page is parsed again and the templates of its host are deleted. Within the main part (article, main, role=main)
+   copies of an article must not pass for a template: there, elements that are, hold or lie in a paragraph, heading,
+   list, table or figure go only if they recur in EDGE_PAGES bodies and EDGE_SHARE of them, or are templates outside of it, lie at the very start or
+   end of the main part, and make up EDGE_TEXT of its text at most.
+4. For what no count can tell (hosts with few pages, boxes whose text changes with the page) rules by tag, role and
+   class name delete menus, footers, forms, scripts, adverts, notices, comments and the like. Names are matched as whole
+   class names or their compounds ("share-links"), and outside of the main part by any of their words; article, main
+   and body are never deleted by name, nor is what holds the main part by a mere word of its name.
+
+If what is left of the main part is less than half of what is left around it, the main part was a teaser and all that
+is left is returned; else the main part is. Text is cut into blocks at block elements; white space inside a block
+becomes one space, blocks are joined by \\n.
 """
 
 from __future__ import annotations
@@ -28,15 +34,18 @@ from postlode.llm._tables import cut
 from postlode.llm._text import pieces
 
 MIN_PAGES, MIN_SHARE, BROADCAST_HASHES = 5, 0.2, 100_000
+EDGE_PAGES, EDGE_SHARE, EDGE_TEXT = 10, 0.5, 0.3
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
-#: What is kept in the main part, with all around and within it.
+#: What no usual template count deletes in the main part, with all around and within it.
 KEPT = TEXT | frozenset("ul ol dl table figure".split())
 NEVER = frozenset("script style noscript template nav footer aside form button select textarea iframe svg canvas head title object dialog menu".split())
-#: Parts of class names and ids that name something other than the article.
+#: Words of class names and ids that name something other than the article.
 NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored banner promo cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar widget widgets related share sharing social breadcrumb breadcrumbs menu nav navbar navigation toolbar comment comments reply replies disqus respond pagination pager hidden".split())
+#: With these behind such a word, a compound still names it.
+BOXES = frozenset("area bar bars block blocks box boxes button buttons container form icons inner item items link links list lists outer panel post posts row section sections slot unit wrap wrapper".split())
 OUTSIDE_NAMES = frozenset("header masthead footer".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split())
 #: An element on the left is closed by the start of one of those on the right.
@@ -46,13 +55,23 @@ SCOPE = {"li": frozenset({"ul", "ol", "menu"}), "dt": frozenset({"dl"}), "dd": f
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+def _box(name: str) -> bool:
+    """Whether a class name as a whole names a box other than the article: a word of NAMES, or these and BOXES only."""
+    first, *rest = [w for w in _SPLIT.split(name) if w] or [""]
+    return first in NAMES and all(w in NAMES or w in BOXES for w in rest)
+
+
 class Node:
-    __slots__ = ("tag", "up", "never", "main", "kept", "holds", "hash", "size", "digest")
+    __slots__ = ("tag", "up", "never", "named", "hinted", "main", "root", "around", "kept", "holds", "hash", "size", "digest")
 
     def __init__(self, tag: str, up: Node | None):
-        self.tag, self.up, self.never, self.main, self.kept, self.holds, self.size, self.digest = tag, up, False, False, False, False, 0, 0
+        self.tag, self.up, self.never, self.named, self.hinted, self.main, self.root, self.around, self.kept, self.holds = tag, up, False, False, False, False, False, False, False, False
+        self.size, self.digest = 0, 0
         self.hash = hashlib.blake2b(tag.encode(), digest_size=8)
 
+    def ruled_out(self) -> bool:
+        return self.never or self.named or self.hinted and not self.around
+
 
 class Page(HTMLParser):
     """Blocks of a page as lists of (node, text), and all nodes with the digests of their subtrees."""
@@ -78,7 +97,7 @@ class Page(HTMLParser):
         if up.hash is not None:
             up.hash.update(raw)
         up.size += node.size
-        if node.main and not node.never and node.size and (node.tag in KEPT or node.holds):
+        if node.main and not (node.never or node.named) and node.size and (node.tag in KEPT or node.holds):
             up.holds = True
         if node.tag in BLOCK:
             self._cut()
@@ -111,14 +130,19 @@ class Page(HTMLParser):
             return
         node = Node(tag, self.stack[-1])
         values = {k: (v or "").lower() for k, v in attrs}
-        inside = node.up.main
-        names = set(_SPLIT.split(values.get("class", "") + " " + values.get("id", "")))
-        role = values.get("role", "")
-        node.never = node.up.never or tag in NEVER or bool(names & NAMES) or role in ROLES or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
-        node.never = node.never or not inside and (tag == "header" or bool(names & OUTSIDE_NAMES) and tag not in ("html", "body"))
-        if tag in ("html", "body"):
-            node.never = False
-        node.main = inside or not node.never and (tag in ("article", "main") or role == "main")
+        inside, role = node.up.main, values.get("role", "")
+        node.root = tag in ("article", "main") or role == "main"
+        node.main = inside or node.root
+        if node.root:
+            up = node.up
+            while up is not None and not up.around:
+                up.around, up = True, up.up
+        if not node.root and tag not in ("html", "body"):
+            whole = [*values.get("class", "").split(), values.get("id", "")]
+            node.never = tag in NEVER or role in ROLES or tag == "header" and not inside
+            node.named = any(map(_box, whole))
+            node.hinted = not inside and bool(set(_SPLIT.split(" ".join(whole))) & (NAMES | OUTSIDE_NAMES))
+        node.never = node.never or tag not in ("html", "body") and ("hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""))
         node.kept = node.main and (tag in KEPT or node.up.kept)
         self.stack.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -145,53 +169,86 @@ class Page(HTMLParser):
         """Digests of the subtrees that may be templates."""
         return {n.digest for n in self.nodes if n.size and may_be_template(n)}
 
-    def text(self, templates: frozenset[int]) -> str:
-        has_main = any(n.main for n in self.nodes)
-        gone: dict[int, bool] = {}
+    def edges(self) -> set[int]:
+        """Digests of those that may be templates at an edge of the main part only."""
+        return {n.digest for n in self.nodes if n.size and n.main and not n.root and not may_be_template(n)}
+
+    def text(self, templates: frozenset[int], edges: frozenset[int] = frozenset()) -> str:
+        state: dict[int, bool] = {}
 
         def dropped(node: Node) -> bool:
             chain = []
-            while node.up is not None and id(node) not in gone:
+            while node.up is not None and id(node) not in state:
                 chain.append(node)
                 node = node.up
-            state = gone.get(id(node), False)
+            gone = state.get(id(node), False)
             for n in reversed(chain):
-                state = state or n.never or n.digest in templates and may_be_template(n)
-                gone[id(n)] = state
-            return state
+                form = n.tag == "form" and n.around  # a form around the whole page
+                gone = gone or n.ruled_out() and not form or n.digest in templates and may_be_template(n)
+                state[id(n)] = gone
+            return gone
 
-        out = []
+        lines: list[tuple[bool, Node, str]] = []
         for block in self.blocks:
-            parts = [t for n, t in block if (n.main or not has_main) and not dropped(n)]
-            line = " ".join("".join(parts).split())
-            if line:
-                out.append(line)
-        return "\n".join(out)
+            left = [(n, t) for n, t in block if not dropped(n)]
+            for main in (True, False):
+                line = " ".join("".join(t for n, t in left if n.main == main).split())
+                if line:
+                    lines.append((main, next(n for n, t in left if n.main == main and t.strip()), line))
+        main = [(n, x) for m, n, x in lines if m]
+        inner, outer = sum(len(x) for _, x in main), sum(len(x) for m, _, x in lines if not m)
+        if 2 * inner < outer:
+            return "\n".join(x for _, _, x in lines)
+        return "\n".join(_without_edges(main, edges | templates))
+
+
+def _without_edges(lines: list[tuple[Node, str]], edges: frozenset[int]) -> list[str]:
+    """The lines of the main part without those at its start and end that its host repeats, if these are few."""
+
+    def repeated(node: Node) -> bool:
+        while node is not None and not node.root:
+            if node.digest in edges:
+                return True
+            node = node.up
+        return False
+
+    first, last = 0, len(lines)
+    if edges:
+        while first < last and repeated(lines[first][0]):
+            first += 1
+        while last > first and repeated(lines[last - 1][0]):
+            last -= 1
+    texts = [x for _, x in lines]
+    gone = sum(map(len, texts[:first])) + sum(map(len, texts[last:]))
+    return texts[first:last] if gone <= EDGE_TEXT * sum(map(len, texts)) else texts
 
 
 def may_be_template(node: Node) -> bool:
     """Not the main part itself, and in it nothing that is, holds or lies in a paragraph, list, table or figure."""
-    return node.tag not in ("html", "body") and not (node.main and (node.kept or node.holds or not node.up.main))
+    return node.tag not in ("html", "body") and not node.root and not (node.main and (node.kept or node.holds))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
-        hosts, bodies, found = [], [], []
+        hosts, bodies, found, edge = [], [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(html)
             own = page.subtrees() - {0}
+            at_edge = page.edges() - own - {0}
             body = hashlib.blake2b(page.text(frozenset()).encode("utf-8", "replace"), digest_size=8).digest()
-            found += [0, *own]
-            hosts += [host] * (len(own) + 1)
-            bodies += [int.from_bytes(body, "little", signed=True)] * (len(own) + 1)
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "body": pa.array(bodies, pa.int64()), "subtree": pa.array(found, pa.int64())})
+            n = len(own) + len(at_edge) + 1
+            found += [0, *own, *at_edge]
+            edge += [False] * (len(own) + 1) + [True] * len(at_edge)
+            hosts += [host] * n
+            bodies += [int.from_bytes(body, "little", signed=True)] * n
+        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "body": pa.array(bodies, pa.int64()), "subtree": pa.array(found, pa.int64()), "edge": pa.array(edge, pa.bool_())})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html"):
         texts = []
-        for html, templates in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), strict=True):
-            texts.append(Page(html).text(frozenset(templates or ())))
+        for html, templates, edges in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist(), batch.column("edges").to_pylist(), strict=True):
+            texts.append(Page(html).text(frozenset(templates or ()), frozenset(edges or ())))
         yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
@@ -199,23 +256,27 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates (hashes of subtrees). pages: host, html."""
-    counts = cut(pages.select("host", "html").mapInArrow(_count, "host string, body long, subtree long").groupBy("host", "subtree").agg(F.count_distinct("body").alias("count")), "subtrees")
-    sums = counts.groupBy("host").agg(F.max(F.when(F.col("subtree") == 0, F.col("count"))).alias("pages"))
-    often = counts.join(sums, "host").where((F.col("subtree") != 0) & (F.col("count") >= min_pages) & (F.col("count") >= min_share * F.col("pages")))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, edge_pages: int = EDGE_PAGES, edge_share: float = EDGE_SHARE) -> DataFrame:
+    """host, templates, edges (hashes of subtrees). pages: host, html."""
+    counts = cut(pages.select("host", "html").mapInArrow(_count, "host string, body long, subtree long, edge boolean").groupBy("host", "subtree", "edge").agg(F.count_distinct("body").alias("count")), "subtrees")
+    # A written table, so that a host with a large part of all subtrees can be split where it is joined.
+    sums = cut(counts.where("subtree = 0").select("host", F.col("count").alias("pages")), "hosts")
+    enough = (F.col("count") >= F.when(F.col("edge"), edge_pages).otherwise(min_pages)) & (F.col("count") >= F.when(F.col("edge"), edge_share).otherwise(min_share) * F.col("pages"))
+    often = counts.where((F.col("subtree") != 0) & (F.col("count") >= min(min_pages, edge_pages))).join(sums, "host").where(enough)
+    lists = [F.collect_list(F.when(F.col("edge") == e, F.col("subtree"))).alias(name) for e, name in ((False, "templates"), (True, "edges"))]
+    return often.groupBy("host").agg(*lists)
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars: one row a row of pages.
 
-    A null html is empty; a null or odd url has the empty host. Rows of one body count as one page. Other columns take
-    no part. The hosts' lists are broadcast if they hold BROADCAST_HASHES hashes at most in all, else joined.
+    A null html is empty; a null or odd url has the empty host. Rows of one body count as one page, so copies and
+    repeated rows make no template, and each row has its own result. A page of any length is read whole. Other columns
+    take no part. The hosts' lists are broadcast if they hold BROADCAST_HASHES hashes at most in all, else joined.
     """
     pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     found = cut(templates(pages, min_pages, min_share), "templates")
-    size = found.agg(F.coalesce(F.sum(F.size("templates") + 4), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(F.size("templates") + F.size("edges") + 4), F.lit(0))).first()[0]
     side = F.broadcast(found) if size <= BROADCAST_HASHES else found
-    joined = pages.join(side, "host", "left").select("page_id", "url", "html", "templates")
+    joined = pages.join(side, "host", "left").select("page_id", "url", "html", "templates", "edges")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -497,6 +497,55 @@ def test_copied_articles_stay(spark):
     assert all(found[40 + i] == "Copied" and found[60 + i] == f"Own {i}" for i in range(8))
 
 
+def test_names_do_not_drop_articles(spark):
+    long = "The real long story that goes on and on. " * 3
+    pages = {
+        1: ('<div class="post-with-sidebar"><article>Story</article></div>', "Story"),
+        2: ('<article class="social-story">Story</article>', "Story"),
+        3: ('<main><div class="notice-board">Story</div></main>', "Story"),
+        4: (f'<article>Teaser</article><div class="content">{long}</div>', "Teaser\n" + long.strip()),
+        5: ('<div class="sidebar"><article>Other story</article></div><article>Story</article>', "Story"),
+        6: ('<form><main>Story<div class="share-links">x</div></main></form>', "Story"),
+        7: ('<article>Story<div class="comments">x</div><div id="related">y</div><aside>z</aside></article>', "Story"),
+        8: ('<div class="cookie-notice">x</div><p>Story</p>', "Story"),
+    }
+    frame = spark.createDataFrame([(i, f"https://h{i}.example/", h) for i, (h, _) in pages.items()], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()} == {i: t for i, (_, t) in pages.items()}
+
+
+def test_templates_against_a_plain_count(spark):
+    """Pages with main parts and without: what recurs on a host goes, and only by the counts."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        host = rng.choice(["a", "b", "c"])
+        body = "".join(f"<p>{prose(rng, 30)}</p>" for _ in range(4))
+        box = f"<div><span>Box of {host}</span></div>" if rng.random() < 0.7 else ""
+        end = f"<p>Read more on {host}</p>" if host != "c" else ""
+        part = f"<article><p>By {host}</p>{body}{box}{end}</article>" if i % 2 else f"<div>{body}{box}{end}</div>"
+        rows.append((i, f"https://{host}.example/{i}", f"<html><body>{part}</body></html>"))
+    rows += [(i + 100, u, h) for i, u, h in rows[:20]]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    bodies, seen = collections.defaultdict(set), collections.defaultdict(set)
+    for _, u, h in rows:
+        host, page = u.split("/")[2], html_extract.Page(h)
+        text = page.text(frozenset())
+        bodies[host].add(text)
+        for d in page.subtrees():
+            seen[host, d, False].add(text)
+        for d in page.edges() - page.subtrees():
+            seen[host, d, True].add(text)
+    told = {}
+    for i, u, h in rows:
+        host = u.split("/")[2]
+        lists = [frozenset(d for (g, d, e), t in seen.items() if g == host and e == edge and len(t) >= least and len(t) >= share * len(bodies[host])) for edge, least, share in ((False, 5, 0.2), (True, 10, 0.5))]
+        told[i] = html_extract.Page(h).text(*lists)
+    assert found == told
+    plain = {i: html_extract.Page(h).text(frozenset()) for i, _, h in rows}
+    assert sum(found[i] != plain[i] for i in found) > 40
+    assert all("Box of" not in t and "Read more" not in t for t in found.values())
+
+
 # vectors
 
 
