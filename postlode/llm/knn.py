@@ -1,17 +1,16 @@
 """Exact top-k by inner product: a Voronoi kNN join.
 
-Vectors are integers. With M the largest squared norm, a data vector s gets the coordinate sqrt(M - |s|^2) and a query
-the coordinate 0; then |q - s|^2 = |q|^2 + M - 2 q.s, and the largest inner products are the nearest neighbours.
-
-1. PIVOTS data vectors (a bounded sample, by hash) span Voronoi cells. Data goes to the cell of its nearest pivot.
+1. Pivots are data vectors, spread by farthest-first choice from a bounded sample; their number grows with the square
+   root of the data's, from LEAST_PIVOTS to MOST_PIVOTS. Data goes to the cell of its nearest pivot.
 2. The summary of a cell holds the distance of its farthest member and its k + 1 members nearest to the pivot, as
-   vectors: PIVOTS * (k + 1) rows at most, whatever the data.
-3. Each query scores the summaries' vectors; its k-th best is a bound that its k-th neighbour can't exceed. By the
-   triangle inequality a member of a cell is needed by a query only if its distance to the pivot is at least the
-   query's distance to the pivot less the bound. The least such distance over a group of queries (those of one or
-   more neighbouring cells, up to QUERY_BLOCK) decides which members are replicated to it.
-4. Groups meet the data in blocks of DATA_BLOCK vectors, score them by a matrix product, and send k rows a query on;
-   these are merged per query.
+   vectors: pivots * (k + 1) rows at most, whatever the data.
+3. Each query scores the summaries' vectors; its k-th best is a score that its k-th neighbour reaches at least. For a
+   member s of the cell of pivot p, q.s <= q.p + |q| |s - p| (Cauchy-Schwarz on the residual), so the query needs only
+   members at least (that score - q.p) / |q| away from their pivot, and only cells whose farthest member is. The least
+   such distance over a group of queries (those of one or more neighbouring cells, up to QUERY_BLOCK) decides which
+   members are replicated to it; a query itself goes to the cells that it needs and to no other.
+4. Queries of a group meet a cell in blocks of DATA_BLOCK vectors, score them by a matrix product, and send k rows a
+   query on; these are merged per query.
 
 Distances are floating-point, so bounds give way by SLACK; scores are exact. Integer products are computed in doubles
 where they stay below 2^53, else in exact Python integers.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from postlode.llm._tables import cut
 
-PIVOTS, QUERY_BLOCK, DATA_BLOCK, SLACK = 64, 2_000, 20_000, 1e-6
+LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, QUERY_BLOCK, DATA_BLOCK, SLACK = 16, 512, 4_096, 2_000, 20_000, 1e-6
 
 
 def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
@@ -59,24 +58,20 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(object) @ b.astype(object).T
 
 
-def _distances(a: np.ndarray, b: np.ndarray, extra_a: np.ndarray, extra_b: np.ndarray) -> np.ndarray:
-    a, b = np.column_stack((a.astype(float), extra_a)), np.column_stack((b.astype(float), extra_b))
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.astype(float), b.astype(float)
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
     return np.sqrt(np.maximum(square, 0))
 
 
-class _Space:
-    """What every task knows: the width, the largest squared norm, the pivots, later the summaries' vectors."""
-
-    def __init__(self, width: int, most: float, pivots: np.ndarray):
-        self.width, self.most, self.pivots = width, most, pivots
-        self.extra = self.lift(pivots)
-
-    def lift(self, v: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(self.most - (v.astype(float) ** 2).sum(1), 0))
-
-    def to_pivots(self, v: np.ndarray, query: bool) -> np.ndarray:
-        return _distances(v, self.pivots, np.zeros(len(v)) if query else self.lift(v), self.extra)
+def spread(vectors: np.ndarray, n: int) -> np.ndarray:
+    """n of the vectors, each the farthest from those chosen before it; fewer if no other differs."""
+    chosen = [0]
+    left = _distances(vectors, vectors[:1])[:, 0]
+    while len(chosen) < n and left.max() > 0:
+        chosen.append(int(left.argmax()))
+        left = np.minimum(left, _distances(vectors, vectors[chosen[-1:]])[:, 0])
+    return vectors[chosen]
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,13 +90,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple
     return np.array(rows, int), np.array(columns, int), scores[rows, columns] if rows else np.zeros(0, np.int64)
 
 
-def _cells(space: _Space):
+def _cells(pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column("v"), space.width)
+            v = _matrix(batch.column("v"), pivots.shape[1])
             if not len(v):
                 continue
-            d = space.to_pivots(v, False)
+            d = _distances(v, pivots)
             cell = d.argmin(1)
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "cell": pa.array(cell, pa.int32()), "distance": pa.array(d[np.arange(len(d)), cell]), "v": batch.column("v")})
 
@@ -125,28 +120,24 @@ def _summaries(k: int):
     return run
 
 
-def _bounds(space: _Space, known: np.ndarray, known_ids: np.ndarray, farthest: np.ndarray, k: int):
-    """For each query its cell, and for each cell of data the least distance to the pivot it needs (or none)."""
+def _bounds(pivots: np.ndarray, known: np.ndarray, known_ids: np.ndarray, farthest: np.ndarray, k: int):
+    """For each query its cell, and for each cell of data the least distance to the pivot it needs (or infinity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = _matrix(batch.column("v"), space.width)
+            q = _matrix(batch.column("v"), pivots.shape[1])
             if not len(q):
                 continue
             ids = batch.column("vec_id").to_numpy()
             scores = _products(q, known).astype(float)
             scores[ids[:, None] == known_ids[None, :]] = -np.inf
-            norm = (q.astype(float) ** 2).sum(1)
-            if scores.shape[1] > k:
-                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                bound = np.sqrt(np.maximum(norm + space.most - 2 * kth, 0))
-                bound[~np.isfinite(kth)] = np.inf
-            else:
-                bound = np.full(len(q), np.inf)
-            d = space.to_pivots(q, True)
-            least = d - bound[:, None] - SLACK * (1 + d)
-            cell = d.argmin(1)
-            least = np.where(least > farthest[None, :], np.inf, least)
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+            norm = np.sqrt((q.astype(float) ** 2).sum(1))
+            at_pivot = q.astype(float) @ pivots.astype(float).T
+            gap = kth[:, None] - at_pivot - SLACK * (1 + np.abs(kth[:, None]) + np.abs(at_pivot))
+            least = np.where(norm[:, None] > 0, gap / np.maximum(norm, 1e-300)[:, None], -np.inf)
+            least = np.where(least > farthest[None, :] * (1 + SLACK) + SLACK, np.inf, least)
+            cell = _distances(q, pivots).argmin(1)
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id"), "v": batch.column("v"), "cell": pa.array(cell, pa.int32()), "needs": pa.array(list(least), pa.list_(pa.float64()))})
 
     return run
@@ -175,45 +166,46 @@ def top_k(rows: DataFrame, queries: F.Column | None = None, k: int = 5, scale: i
     """
     queries = F.pmod("vec_id", F.lit(50)) == 0 if queries is None else queries
     data = cut(integer_vectors(rows, scale), "vectors")
-    facts = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("most")).first()
-    n, width, most = facts["n"], facts["width"] or 0, (facts["most"] or 0.0) * (1 + 1e-12)
+    facts = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    n, width = facts["n"], max(1, facts["width"] or 0)
     asked = data.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     empty = "query_id long, rank int, vec_id long, score long"
     if not n:
         return rows.sparkSession.createDataFrame([], empty)
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()
-    space = _Space(width, most, _matrix(pa.array([r["v"] for r in chosen], pa.list_(pa.int64())), width))
+    some = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    pivots = spread(_matrix(pa.array([r["v"] for r in some], pa.list_(pa.int64())), width), min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5) // 4)))
     member = "vec_id long, cell int, distance double, v array<long>"
-    celled = cut(data.mapInArrow(_cells(space), member), "cells")
-    # Bounded: PIVOTS cells, k + 2 rows of each from a partition, merged to as many.
+    celled = cut(data.mapInArrow(_cells(pivots), member), "cells")
+    # Bounded: k + 2 rows of each cell from a partition, merged to as many.
     parts = celled.mapInArrow(_summaries(k), member)
     near = Window.partitionBy("cell").orderBy("distance", "vec_id")
     far = Window.partitionBy("cell").orderBy(F.desc("distance"), "vec_id")
     merged = parts.withColumn("r", F.row_number().over(near)).withColumn("f", F.row_number().over(far)).where(f"r <= {k + 1} or f = 1").collect()
-    farthest = np.full(len(chosen), -1.0)
+    farthest = np.full(len(pivots), -1.0)
     for r in merged:
         farthest[r["cell"]] = max(farthest[r["cell"]], r["distance"])
     known = _matrix(pa.array([r["v"] for r in merged], pa.list_(pa.int64())), width)
     known_ids = np.array([r["vec_id"] for r in merged], np.int64)
-    bounded = cut(asked.mapInArrow(_bounds(space, known, known_ids, farthest, k), "vec_id long, v array<long>, cell int, needs array<double>"), "queries")
+    bounded = cut(asked.mapInArrow(_bounds(pivots, known, known_ids, farthest, k), "vec_id long, v array<long>, cell int, needs array<double>"), "queries")
     # Neighbouring cells share a group until it has QUERY_BLOCK queries; a cell with more is dealt into blocks.
-    sizes = {r["cell"]: r["count"] for r in bounded.groupBy("cell").count().collect()}
-    near_first = np.argsort(_distances(space.pivots, space.pivots[:1], space.extra, space.extra[:1])[:, 0], kind="stable")
+    count = lambda df: {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}
+    sizes, members = count(bounded), count(celled)
+    near_first = np.argsort(_distances(pivots, pivots[:1])[:, 0], kind="stable")
     group_of, blocks_of, filled, group = {}, {}, 0, 0
     for cell in (int(c) for c in near_first if int(c) in sizes):
         if filled and filled + sizes[cell] > QUERY_BLOCK:
             filled, group = 0, group + 1
         filled += sizes[cell]
         group_of[cell], blocks_of[cell] = group, -(-sizes[cell] // QUERY_BLOCK)
-    lookup = lambda m: F.element_at(F.create_map(*(F.lit(x) for p in m.items() for x in p)), F.col("cell")) if m else F.lit(0)
-    grouped = bounded.withColumn("block", F.pmod(F.xxhash64("vec_id"), lookup(blocks_of)).cast("int")).withColumn("cell", lookup(group_of))
-    each = grouped.select("cell", "block", F.posexplode("needs").alias("of", "need")).groupBy("cell", "block", "of").agg(F.min("need").alias("need")).where(F.col("need") < float("inf"))
-    data_blocks = max(1, -(-n // DATA_BLOCK))
-    dealt = celled.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(data_blocks)).cast("int"))
-    # As many rows as groups of queries times PIVOTS: bounded by the query set's blocks.
-    needs = each.select(F.col("cell").alias("group"), "block", F.col("of").alias("cell"), "need")
-    sent = dealt.join(needs, "cell").where("distance >= need").select(F.col("group").alias("g"), F.col("block").alias("b"), F.col("part").alias("p"), "vec_id", "v")
-    wanted = grouped.select(F.col("cell").alias("group"), "block", F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("part"), "vec_id", "v")
-    local = wanted.groupBy("group", "block", "part").cogroup(sent.groupBy("g", "b", "p")).applyInPandas(_solve(width, k), "query_id long, vec_id long, score long")
+    parts_of = {c: -(-m // DATA_BLOCK) for c, m in members.items()}
+    lookup = lambda m, c="cell": F.element_at(F.create_map(*(F.lit(x) for p in m.items() for x in p)), F.col(c)) if m else F.lit(1)
+    grouped = bounded.withColumn("block", F.pmod(F.xxhash64("vec_id"), lookup(blocks_of)).cast("int")).withColumn("group", lookup(group_of).cast("int"))
+    each = grouped.select("group", "block", "vec_id", "v", F.posexplode("needs").alias("of", "need")).where((F.col("need") < float("inf")) & F.col("of").isin(*parts_of))
+    # As many rows as groups of queries times pivots: bounded by the query set's blocks.
+    needs = each.groupBy("group", "block", F.col("of").alias("cell")).agg(F.min("need").alias("need"))
+    dealt = celled.withColumn("p", F.pmod(F.xxhash64("vec_id"), lookup(parts_of)).cast("int"))
+    sent = dealt.join(needs, "cell").where("distance >= need").select(F.col("group").alias("g"), F.col("block").alias("b"), F.col("cell").alias("c"), "p", "vec_id", "v")
+    wanted = each.select("group", "block", "of", F.explode(F.sequence(F.lit(0), lookup(parts_of, "of") - 1)).alias("part"), "vec_id", "v")
+    local = wanted.groupBy("group", "block", "of", "part").cogroup(sent.groupBy("g", "b", "c", "p")).applyInPandas(_solve(width, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
