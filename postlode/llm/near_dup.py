@@ -261,10 +261,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs with one document of each component, the one of the smallest doc_id; of rows that share it, one.
+    """docs with one document of each component, the one of the smallest doc_id; of rows that share it, the one of the
+    smallest hash over all columns, so that reruns agree.
 
     Rows without a doc_id all stay: nothing tells which of them a verdict is about.
     """
     kept = near_duplicates(docs.select("doc_id", "text"), percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.join(kept, "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.struct(*docs.columns).alias("__row"), F.xxhash64(*docs.columns).alias("__hash"))
+    once = named.groupBy("__id").agg(F.min_by("__row", "__hash").alias("__row")).select("__row.*")
+    return once.unionByName(docs.where("doc_id is null"))
