@@ -110,14 +110,18 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> np.ndarray:
     """Weights of all features. labels: doc_id, quality (0 or 1; others and nulls are left out).
 
-    A doc_id with both labels teaches nothing. Without labels all weights are 0 and every score is 0.5.
+    A doc_id with both labels teaches nothing. Of rows that share a doc_id the one of the smallest text hash teaches,
+    so most_rows bounds the rows of the training task and its order has no ties. Without labels all weights are 0 and
+    every score is 0.5. A text of any length is read whole.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other")
     chosen = each.select("doc_id", "label", F.xxhash64("doc_id").alias("place")).orderBy("place", "doc_id").limit(most_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     shape = "doc_id long, place long, label int, features binary, values binary"
-    sparse = rows.select("doc_id", "place", "label", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_with_features, shape)
+    texts = rows.select("doc_id", "place", "label", F.coalesce("text", F.lit("")).alias("text"))
+    once = texts.groupBy("doc_id", "place", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    sparse = once.select("doc_id", "place", "label", "row.text").mapInArrow(_with_features, shape)
     # One task: the updates are a sequence, and the rows are bounded by most_rows.
     learnt = sparse.groupBy(F.lit(0).alias("all")).applyInPandas(_learn, "feature int, weight float").toPandas()
     out = np.zeros(1 << BITS, np.float32)
@@ -141,6 +145,10 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    Repeated rows are scored each and alike, equal texts get equal scores, a null doc_id is not held out; columns other
+    than doc_id and text take no part. An empty table gives an empty result.
+    """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -467,6 +467,50 @@ def test_classifier(spark):
     assert classifier.classify(docs.limit(0), labels).count() == 0
 
 
+def test_updates_against_a_plain_rule():
+    """Follow-the-regularised-leader, feature by feature, as the publication has it."""
+    import math
+
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        f = sorted(rng.sample(range(30), rng.randrange(0, 6)))
+        rows.append((i, rng.randrange(100), f, [rng.random() for _ in f], rng.randrange(2)))
+    frame = pd.DataFrame([(d, p, np.array(f, "<i4").tobytes(), np.array(v, "<f4").tobytes(), y) for d, p, f, v, y in rows], columns=["doc_id", "place", "features", "values", "label"])
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= classifier.L1 else -(z[f] - math.copysign(classifier.L1, z[f])) / ((classifier.BETA + math.sqrt(n[f])) / classifier.ALPHA + classifier.L2)
+
+    for _ in range(classifier.EPOCHS):
+        for _, _, fs, vs, y in sorted(rows, key=lambda r: (r[1], r[0])):
+            vs = [float(np.float32(v)) for v in vs]
+            w = {f: weight(f) for f in fs}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in zip(fs, vs, strict=True))))
+            for f, v in zip(fs, vs, strict=True):
+                g = (p - y) * v
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / classifier.ALPHA * w[f]
+                n[f] += g * g
+    found = classifier._learn(frame.sample(frac=1, random_state=1)).set_index("feature")["weight"].to_dict()
+    told = {f: weight(f) for f in z if weight(f)}
+    assert found.keys() == told.keys() and all(abs(found[f] - told[f]) < 1e-5 for f in told)
+
+
+def test_repeated_rows_do_not_change_the_classifier(spark):
+    rng = random.Random(7)
+    given = [(i, prose(rng, 40) if i % 2 else prose(rng, 40).upper()) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in given], "doc_id long, quality int")
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    extra = "lang string, label int, place string"
+    many = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in given + given[:10] * 5] + [(3, "a b " * 20_000, "x", 1, None)], f"doc_id long, text string, {extra}")
+    scores = lambda d: collections.Counter((r["doc_id"], round(r["score"], 9)) for r in classifier.classify(d, labels).collect())
+    once, more = scores(docs), scores(many.where("length(text) < 10000"))
+    assert set(once) == set(more) and sum(more.values()) == 110
+    assert sum(scores(many).values()) == 111
+
+
 # pages
 
 
@@ -566,6 +610,7 @@ def test_top_k(spark, monkeypatch):
     assert set(map(tuple, knn.top_k(frame).collect())) == told
     monkeypatch.setattr(knn, "DATA_BLOCK", 90)
     monkeypatch.setattr(knn, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(knn, "LEAST_PIVOTS", 40)
     assert set(map(tuple, knn.top_k(frame).collect())) == told
     assert knn.top_k(frame.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
