@@ -2,6 +2,11 @@
 
 Each stage works on all rows its predecessor kept and is a function of (spark, docs, sf_dir); run() writes what a
 stage returns as Parquet in the shared folder and hands it to the next one as docs.
+
+A null or blank text fails the quality rules, so later stages see none but where they are called on their own. Rows that
+repeat each other are judged each by the first two stages; near-dedup keeps one of a doc_id. Rows without a doc_id are
+judged by the quality rules, stay whole in line dedup and near-dedup, and are mixed and packed like others. Texts of any
+length are read whole; columns of any other name pass through, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
