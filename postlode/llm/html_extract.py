@@ -7,8 +7,8 @@
    1 / MIN_SHARE times the subtrees of an average page reach that share, so a host's list doesn't grow with its pages.
 3. Each page is parsed again and the templates of its host are deleted. Within the main part (article, main, role=main)
    copies of an article must not pass for a template: there, elements that are, hold or lie in a paragraph, heading,
-   list, table or figure go only if they recur in EDGE_PAGES bodies and EDGE_SHARE of them, or are templates outside of it, lie at the very start or
-   end of the main part, and make up EDGE_TEXT of its text at most.
+   list, table or figure go only if they recur in EDGE_PAGES bodies and EDGE_SHARE of them (or are templates outside of
+   it), lie at the very start or end of the main part, and make up EDGE_TEXT of its text at most.
 4. For what no count can tell (hosts with few pages, boxes whose text changes with the page) rules by tag, role and
    class name delete menus, footers, forms, scripts, adverts, notices, comments and the like. Names are matched as whole
    class names or their compounds ("share-links"), and outside of the main part by any of their words; article, main

@@ -188,6 +188,26 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix_report(empty).count() == mixing.mix(empty).count() == 0
 
 
+def test_mix_takes_what_the_report_says(spark, docs, rows, empty):
+    """The texts themselves, against the counts; from files and from a frame that is none, with columns of odd names."""
+    told = collections.Counter()
+    for r in mixing.mix_report(docs).collect():
+        told[r["doc_id"]] += r["taken"]
+    odd = docs.withColumns({"__row": F.lit(1), "__copies": F.lit(2), "_metadata": F.lit("m")})
+    path = new_path(spark, "odd")
+    odd.write.parquet(path)
+    for given in (odd, spark.read.parquet(path)):
+        mixed = mixing.mix(given)
+        assert mixed.columns == odd.columns
+        found = collections.Counter()
+        for r in mixed.collect():
+            found[r["doc_id"]] += len(words_of(r["text"]))
+        assert found == +told
+    assert mixing.mix(empty).count() == 0
+    sizes = collections.Counter(len(words_of(t)) for i, t, *_ in rows)
+    assert sum(told.values()) <= 3 * sum(n * c for n, c in sizes.items())
+
+
 @pytest.mark.parametrize("most", [1, 3])
 def test_mixing_splits_large_groups(spark, monkeypatch, most):
     """Many documents of one size, over several salts, against the SQL with the same group size."""
