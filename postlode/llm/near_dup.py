@@ -11,8 +11,9 @@ MANTISSA bits, 16 bits in all (Yu and Weber, 2017). Empty buckets borrow from a
 3. Each component is joined exactly on its full sets: a prefix filter with rarest shingles first lists who may reach
    the threshold, the collision-corrected estimate from the sketches drops pairs more than six deviations below it,
    and the rest is verified. Pairs within what is already one component are not looked at: components, not pairs,
-   are asked for. Components above BLOCK documents are cut into blocks by set size, and all pairs of blocks whose
-   sizes can match are joined as groups of their own, so a group has a bounded number of documents.
+   are asked for. Larger components are cut into blocks by set size, of BLOCK documents and BLOCK_SHINGLES shingles at
+   most (or one document), and all pairs of blocks whose sizes can match are joined as groups of their own, so what a
+   group holds is bounded in documents and in bytes.
 4. Components of the verified links are the result.
 """
 
@@ -30,7 +31,7 @@ from postlode.llm._tables import cut
 from postlode.llm._text import buffer, lowered, mix, pieces, span_hashes, spans, window_hashes
 from postlode.llm.components import components
 
-WIDTH, BUCKETS, MANTISSA, ROWS, BANDS, BLOCK = 5, 128, 10, 4, 32, 6_000
+WIDTH, BUCKETS, MANTISSA, ROWS, BANDS, BLOCK, BLOCK_SHINGLES = 5, 128, 10, 4, 32, 6_000, 3_000_000
 _SHIFT = np.uint64(57)
 _REST = np.uint64((1 << 57) - 1)
 _DONORS = np.stack([np.random.default_rng(i + 1).permutation(BUCKETS) for i in range(BUCKETS)])
@@ -231,15 +232,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = components(bands.join(stars, "band").where("id <> v").select(F.col("id").alias("u"), "v"))
     grouped = groups.select(F.col("node").alias("id"), F.col("component").alias("group")).join(classes.select("id", "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
     # A block is a range of set sizes of one component, or a salted part of one; documents of a component are counted
-    # by size first, so this too is a sum and not a window over documents.
-    by_size = grouped.groupBy("group", "n").count()
+    # by size first, so this too is a sum and not a window over documents. Each weighs its shingles, or an equal part
+    # of the block if that is more.
+    by_size = grouped.groupBy("group", "n").count().withColumn("weight", F.greatest("n", F.lit(BLOCK_SHINGLES // BLOCK)))
     from pyspark.sql import Window
 
-    upto = F.sum("count").over(Window.partitionBy("group").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    by_size = by_size.withColumn("upto", upto).select("group", "n", F.col("count"), (F.col("upto") - F.col("count")).alias("before"))
+    upto = F.sum(F.col("count") * F.col("weight")).over(Window.partitionBy("group").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    by_size = by_size.withColumn("upto", upto).select("group", "n", "count", "weight", (F.col("upto") - F.col("count") * F.col("weight")).alias("before"))
     placed = grouped.join(by_size, ["group", "n"])
-    spot = F.col("before") + F.pmod(F.xxhash64("id"), F.col("count"))
-    placed = placed.withColumn("block", F.floor(spot / BLOCK).cast("int"))
+    spot = F.col("before") + F.pmod(F.xxhash64("id"), F.col("count")) * F.col("weight")
+    placed = placed.withColumn("block", F.floor(spot / BLOCK_SHINGLES).cast("int"))
     blocks = placed.groupBy("group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = blocks.alias("a"), blocks.select(F.col("group").alias("g"), F.col("block").alias("other"), F.col("least").alias("other_least")).alias("b")
     pairs = a.join(b, (F.col("group") == F.col("g")) & (F.col("block") <= F.col("other")) & (100 * F.col("most") >= percent * F.col("other_least"))).select("group", F.col("block").alias("low"), F.col("other").alias("high"))

@@ -140,6 +140,8 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     whole = sorted(map(tuple, near_dup.near_duplicates(frame).collect()))
     monkeypatch.setattr(near_dup, "BLOCK", 7)
     assert sorted(map(tuple, near_dup.near_duplicates(frame).collect())) == whole
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)  # blocks by bytes: some hold a document
+    assert sorted(map(tuple, near_dup.near_duplicates(frame).collect())) == whole
 
 
 def test_estimate_is_near_the_similarity():
