@@ -31,8 +31,11 @@ def parse(provider: str, landed: DataFrame) -> DataFrame:
     return PARSERS[provider](landed).withColumn("ats_type", F.lit(provider)).withColumn("global_id", values.global_id(F.col("ats_type"), F.col("ats_id")))
 
 
-def json_list(items: str, schema: str, explode: str | None = None, **columns: str):
-    """A parser of a JSON list (at items, a path with dots, or the root where it is "") by column expressions over its fields."""
+def json_list(items: str, schema: str, explode: str | None = None, keep: str = "true", **columns: str):
+    """A parser of a JSON list (at items, a path with dots, or the root where it is "") by column expressions over its fields.
+
+    keep: a condition on the columns; other rows go. A column named company replaces the landed one where it is not null.
+    """
 
     def run(landed: DataFrame) -> DataFrame:
         kind = f"array<struct<{schema}>>"
@@ -44,7 +47,8 @@ def json_list(items: str, schema: str, explode: str | None = None, **columns: st
         rows = landed.select("company", F.explode(whole).alias("j")).where("j is not null")
         if explode:  # lists within the list's elements: their own elements are r
             rows = rows.select("company", F.explode(F.col("j")[explode]).alias("r"))
-        return rows.select("company", *(F.expr(e).alias(c) for c, e in columns.items()))
+        company = F.coalesce(F.expr(columns["company"]), "company") if "company" in columns else F.col("company")
+        return rows.select(company.alias("company"), *(F.expr(e).alias(c) for c, e in columns.items() if c != "company")).where(keep)
 
     return run
 
@@ -71,6 +75,145 @@ PARSERS["gem"] = json_list("data.oatsExternalJobPostings.jobPostings", "extId st
 PARSERS["ycombinator"] = json_list("jobPostings", "id string, title string, url string, location string, salaryRange string, minExperience string, type string, createdAt string, prettyRole string", ats_id="j.id", title="j.title", url="concat('https://www.ycombinator.com', j.url)", location="j.location", department="j.prettyRole", commitment="j.type", salary_text="j.salaryRange", experience_text="j.minExperience", posted_text="j.createdAt")
 
 
+#: What a provider's row must have.
+NAMED = "ats_id <> '' and title <> ''"
+
+PARSERS["join_com"] = json_list(
+    "items",
+    "id string, idParam string, title string, url string, location string, city string, department string, employmentType string, "
+    "publishedAt string, createdAt string",
+    keep=NAMED,
+    ats_id="j.id",
+    title="trim(j.title)",
+    # The page of a job goes by idParam; its number is known to the API only.
+    url="coalesce(j.url, concat('https://join.com/companies/', company, '/jobs/', coalesce(j.idParam, j.id)))",
+    # Each may be a text or an object, which from_json hands over as its JSON.
+    location="coalesce(if(j.location like '{%', null, nullif(trim(j.location), '')), nullif(concat_ws(', ', nullif(get_json_object(coalesce(j.city, j.location), '$.cityName'), ''), "
+    "nullif(get_json_object(coalesce(j.city, j.location), '$.countryName'), '')), ''))",
+    department="nullif(trim(if(j.department like '{%', get_json_object(j.department, '$.name'), j.department)), '')",
+    commitment="nullif(trim(if(j.employmentType like '{%', get_json_object(j.employmentType, '$.name'), j.employmentType)), '')",
+    posted_at="try_to_timestamp(coalesce(j.publishedAt, j.createdAt))",
+)
+PARSERS["gupy"] = json_list(
+    "props.pageProps.jobs",
+    "id string, title string, name string, department string, type string, jobUrl string, publishedAt string, "
+    "workplace struct<workplaceType: string, address: struct<city: string, state: string, country: string>>",
+    keep=NAMED,
+    ats_id="trim(j.id)",
+    title="trim(coalesce(nullif(j.title, ''), j.name))",
+    url="case when trim(j.jobUrl) like '/%' then concat('https://', company, '.gupy.io', j.jobUrl) when trim(j.jobUrl) <> '' then j.jobUrl else concat('https://', company, '.gupy.io/jobs/', j.id) end",
+    location="nullif(concat_ws(', ', nullif(trim(j.workplace.address.city), ''), nullif(trim(j.workplace.address.state), ''), nullif(trim(j.workplace.address.country), '')), '')",
+    country_iso="if(coalesce(lower(trim(j.workplace.address.country)), '') in ('', 'brasil', 'brazil'), 'BR', null)",
+    is_remote="case lower(trim(j.workplace.workplaceType)) when 'remote' then true when 'on-site' then false end",
+    department="trim(j.department)",
+    commitment="j.type",
+    posted_at="try_to_timestamp(j.publishedAt)",
+)
+PARSERS["thehub"] = json_list(
+    "docs",
+    "id string, _id string, title string, status string, company struct<name: string>, location struct<address: string, locality: string, country: string>, "
+    "isRemote boolean, description string, publishedAt string, approvedAt string, createdAt string, link string",
+    keep=NAMED + " and status = 'ACTIVE'",
+    company="coalesce(nullif(trim(j.company.name), ''), 'Unknown')",
+    ats_id="trim(coalesce(nullif(j.id, ''), j._id))",
+    title="trim(j.title)",
+    status="upper(j.status)",
+    url="concat('https://thehub.io/jobs/', trim(coalesce(nullif(j.id, ''), j._id)))",
+    location="coalesce(nullif(trim(j.location.address), ''), nullif(concat_ws(', ', nullif(trim(j.location.locality), ''), nullif(trim(j.location.country), '')), ''))",
+    is_remote="coalesce(j.isRemote, false)",
+    apply_url="if(trim(j.link) rlike '^https?://', trim(j.link), null)",
+    description="j.description",
+    posted_at="try_to_timestamp(coalesce(j.publishedAt, j.approvedAt, j.createdAt))",
+)
+PARSERS["uber"] = json_list(
+    "jobs",
+    "Id string, Title string, Locations array<struct<Address: string, City: string, Region: string, Country: string, CountryCode: string>>, "
+    "Urls array<struct<Url: string, IsDefault: boolean>>, Remote boolean, AdditionalText string, Reference string, ContractType string, WorkPattern string, "
+    "Salary struct<Currency: string, MinValue: double, MaxValue: double>, Description string, DisplayDate string",
+    keep=NAMED,
+    company="'Uber'",
+    ats_id="trim(j.Id)",
+    title="trim(j.Title)",
+    url="case when coalesce(get(filter(j.Urls, x -> x.IsDefault), 0).Url, get(j.Urls, 0).Url) like '/%' then concat('https://jobs.uber.com', coalesce(get(filter(j.Urls, x -> x.IsDefault), 0).Url, get(j.Urls, 0).Url)) "
+    "else coalesce(get(filter(j.Urls, x -> x.IsDefault), 0).Url, get(j.Urls, 0).Url, concat('https://jobs.uber.com/en/jobs/', j.Id, '/')) end",
+    location="nullif(array_join(array_distinct(transform(j.Locations, x -> coalesce(nullif(trim(x.Address), ''), array_join(array_distinct(filter(array(trim(x.City), trim(x.Region), trim(x.Country)), y -> y <> '')), ', ')))), '; '), '')",
+    country_iso="if(length(get(j.Locations, 0).CountryCode) = 2, upper(get(j.Locations, 0).CountryCode), null)",
+    is_remote="j.Remote",
+    salary_currency="if(length(j.Salary.Currency) = 3, upper(j.Salary.Currency), null)",
+    salary_min="j.Salary.MinValue",
+    salary_max="j.Salary.MaxValue",
+    department="j.AdditionalText",
+    requisition_id="coalesce(nullif(j.Reference, ''), j.Id)",
+    commitment="nullif(array_join(array_distinct(filter(array(j.ContractType, j.WorkPattern), x -> x <> '')), ' / '), '')",
+    description="j.Description",
+    posted_at="try_to_timestamp(j.DisplayDate)",
+)
+PARSERS["wanted"] = json_list(
+    "data",
+    "id string, position string, company struct<name: string>, address struct<district: string, location: string, country: string, full_location: string>, annual_from int",
+    keep=NAMED,
+    company="coalesce(nullif(trim(j.company.name), ''), 'Unknown')",
+    ats_id="j.id",
+    title="trim(j.position)",
+    url="concat('https://www.wanted.co.kr/wd/', j.id)",
+    location="coalesce(nullif(array_join(array_distinct(filter(array(trim(j.address.district), trim(j.address.location), trim(j.address.country)), x -> x <> '')), ', '), ''), nullif(trim(j.address.full_location), ''))",
+    experience="j.annual_from",
+)
+PARSERS["recruiterbox"] = json_list(
+    "objects",
+    "id string, title string, hosted_url string, url string, client_name string, allows_remote boolean, team string, position_type string, "
+    "location struct<city: string, state: string, country: string>, description string, created_on string, updated_on string",
+    keep=NAMED + " and url <> ''",
+    company="nullif(trim(j.client_name), '')",
+    ats_id="trim(j.id)",
+    title="trim(j.title)",
+    url="coalesce(nullif(j.hosted_url, ''), j.url)",
+    location="nullif(concat_ws(', ', nullif(trim(j.location.city), ''), nullif(trim(j.location.state), ''), nullif(trim(j.location.country), '')), '')",
+    is_remote="j.allows_remote",
+    team="nullif(j.team, '')",
+    commitment="j.position_type",
+    description="j.description",
+    posted_at="try_to_timestamp(coalesce(nullif(j.created_on, ''), j.updated_on))",
+)
+PARSERS["mercor"] = json_list(
+    "listings",
+    "listingId string, title string, companyName string, location string, rateMin double, rateMax double, commitment string, hoursPerWeek double, "
+    "workArrangement string, description string, postedAt string",
+    keep=NAMED,
+    company="coalesce(nullif(trim(j.companyName), ''), 'Mercor')",
+    ats_id="trim(j.listingId)",
+    title="trim(j.title)",
+    url=r"concat('https://work.mercor.com/jobs/', trim(j.listingId), '/', trim('-' from regexp_replace(regexp_replace(lower(trim(j.title)), r'(?U)[^\w\s-]', ''), r'(?U)[-\s]+', '-')))",
+    location="nullif(trim(j.location), '')",
+    is_remote="case when lower(trim(j.workArrangement)) = 'remote' then true when lower(trim(j.workArrangement)) in ('onsite', 'on-site', 'in-office', 'office') then false end",
+    salary_min="j.rateMin",
+    salary_max="j.rateMax",
+    salary_currency="if(j.rateMin <> 0 or j.rateMax <> 0, 'USD', null)",
+    employment_type="'CONTRACT'",
+    commitment="nullif(concat_ws(' · ', concat(upper(left(nullif(trim(j.commitment), ''), 1)), lower(substr(trim(j.commitment), 2))), if(j.hoursPerWeek > 0, concat(cast(j.hoursPerWeek as int), 'h/week'), null)), '')",
+    description="nullif(trim(j.description), '')",
+    posted_at="try_to_timestamp(j.postedAt)",
+)
+PARSERS["manfred"] = json_list(
+    "",
+    "slug string, position string, status string, company struct<name: string>, locations array<string>, remotePercentage double, salaryFrom double, salaryTo double, "
+    "currency string, internalCode string, updatedAt string",
+    keep=NAMED + " and status = 'ACTIVE'",
+    company="coalesce(nullif(trim(j.company.name), ''), 'Unknown')",
+    ats_id="trim(j.slug)",
+    title="trim(j.position)",
+    status="upper(j.status)",
+    url="concat('https://www.getmanfred.com/job-offers/', trim(j.slug))",
+    location="nullif(array_join(slice(filter(transform(j.locations, x -> trim(x)), x -> x <> ''), 1, 5), ' | '), '')",
+    is_remote="j.remotePercentage >= 50",
+    salary_min="if(j.salaryFrom > 0, j.salaryFrom, null)",
+    salary_max="if(j.salaryTo > 0, j.salaryTo, null)",
+    salary_currency="if(j.salaryFrom > 0 or j.salaryTo > 0, coalesce(map('€', 'EUR', '$', 'USD', '£', 'GBP', '¥', 'JPY', '₣', 'CHF', 'kr', 'SEK')[coalesce(nullif(j.currency, ''), '€')], upper(left(j.currency, 3))), null)",
+    requisition_id="j.internalCode",
+    posted_at="try_to_timestamp(j.updatedAt)",
+)
+
+
 @parser("rss", "teamtailor", "personio_feed")
 def rss(landed: DataFrame) -> DataFrame:
     """RSS 2.0: one posting an item."""

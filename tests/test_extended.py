@@ -106,6 +106,14 @@ def test_finish_scans(spark):
         ("oracle", {"items": [{"requisitionList": [{"Id": "1", "Title": "T", "PrimaryLocation": "L"}]}]}, "1", "T", "L"),
         ("gem", {"data": {"oatsExternalJobPostings": {"jobPostings": [{"extId": "1", "title": "T", "locations": [{"name": "L", "isRemote": True}]}]}}}, "1", "T", "L"),
         ("ycombinator", {"jobPostings": [{"id": "1", "title": "T", "location": "L"}]}, "1", "T", "L"),
+        ("join_com", {"items": [{"id": 1, "idParam": "1-t", "title": " T ", "city": {"cityName": "L", "countryName": "M"}, "department": {"name": "D"}}]}, "1", "T", "L, M"),
+        ("gupy", {"props": {"pageProps": {"jobs": [{"id": 1, "name": "T", "workplace": {"workplaceType": "remote", "address": {"city": "L", "country": "Brasil"}}}, {"id": 2}]}}}, "1", "T", "L, Brasil"),
+        ("thehub", {"docs": [{"_id": "1", "title": "T", "status": "active", "location": {"locality": "L"}}, {"id": "2", "title": "T", "status": "DRAFT"}]}, "1", "T", "L"),
+        ("uber", {"jobs": [{"Id": "1", "Title": "T", "Locations": [{"City": "L", "Region": "L", "Country": "M"}, {"Address": "A"}], "Urls": [{"Url": "/a"}, {"Url": "/b", "IsDefault": True}]}]}, "1", "T", "L, M; A"),
+        ("wanted", {"data": [{"id": 1, "position": "T", "address": {"location": "L", "country": "M"}, "annual_from": 2}]}, "1", "T", "L, M"),
+        ("recruiterbox", {"objects": [{"id": 1, "title": "T", "url": "u", "location": {"city": "L"}}, {"id": 2, "title": "T"}]}, "1", "T", "L"),
+        ("mercor", {"listings": [{"listingId": "1", "title": "T", "location": "L"}]}, "1", "T", "L"),
+        ("manfred", [{"slug": "1", "position": "T", "status": "ACTIVE", "locations": ["L", " ", "M"]}], "1", "T", "L | M"),
     ],
 )
 def test_parsers(spark, provider, payload, ats_id, title, location):
@@ -114,6 +122,26 @@ def test_parsers(spark, provider, payload, ats_id, title, location):
     assert (row["ats_id"], row["title"], row["location"], row["global_id"]) == (ats_id, title, location, f"{provider}:{ats_id}")
 
 
+def test_parsed_fields(spark):
+    def first(provider, payload):
+        return adapters.parse(provider, spark.createDataFrame([("c", json.dumps(payload))], "company string, payload string")).first()
+
+    row = first("join_com", {"items": [{"id": 1, "idParam": "1-t", "title": "T", "department": {"name": "D"}, "employmentType": "E", "createdAt": "2024-05-03T00:00:00Z"}]})
+    assert (row["url"], row["department"], row["commitment"], row["company"], row["posted_at"].day) == ("https://join.com/companies/c/jobs/1-t", "D", "E", "c", 3)
+    row = first("gupy", {"props": {"pageProps": {"jobs": [{"id": 1, "title": "T", "jobUrl": "/x"}]}}})
+    assert (row["url"], row["country_iso"], row["is_remote"]) == ("https://c.gupy.io/x", "BR", None)
+    row = first("uber", {"jobs": [{"Id": "1", "Title": "T", "Urls": [{"Url": "/a"}, {"Url": "/b", "IsDefault": True}], "ContractType": "x", "WorkPattern": "x", "Salary": {"Currency": "usd", "MinValue": 2}}]})
+    assert (row["company"], row["url"], row["commitment"], row["salary_currency"], row["salary_min"], row["location"]) == ("Uber", "https://jobs.uber.com/b", "x", "USD", 2.0, None)
+    row = first("recruiterbox", {"objects": [{"id": 1, "title": "T", "url": "u", "client_name": "N"}]})
+    assert (row["company"], row["url"]) == ("N", "u")
+    row = first("mercor", {"listings": [{"listingId": "1", "title": "A  C++ (Dev)!", "commitment": "hourly", "hoursPerWeek": 20, "workArrangement": "Remote", "rateMin": 5}]})
+    assert (row["company"], row["url"], row["commitment"], row["is_remote"], row["salary_currency"]) == ("Mercor", "https://work.mercor.com/jobs/1/a-c-dev", "Hourly · 20h/week", True, "USD")
+    row = first("manfred", [{"slug": "1", "position": "T", "status": "ACTIVE", "remotePercentage": 50, "salaryFrom": 3, "currency": "$"}])
+    assert (row["company"], row["is_remote"], row["salary_min"], row["salary_max"], row["salary_currency"]) == ("Unknown", True, 3.0, None, "USD")
+    row = first("thehub", {"docs": [{"id": "1", "title": "T", "status": "ACTIVE", "link": "mailto:x", "company": {"name": "N"}}]})
+    assert (row["company"], row["apply_url"], row["is_remote"], row["url"]) == ("N", None, False, "https://thehub.io/jobs/1")
+
+
 def test_places(spark):
     assert every(spark, ["Bombay", "  New   Delhi ", "", None], lambda c: places.canonical(c, {"Bombay": "Mumbai"})) == ["Mumbai", "New Delhi", "", ""]
     assert every(spark, ["Indiana", "Pune", "Pune, USA", "Oslo", None], lambda c: places.is_near(c, ("india", "pune"), ("usa",))) == [True, True, False, False, False]
