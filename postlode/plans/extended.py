@@ -86,6 +86,35 @@ def payload_parse(t: Tables) -> DataFrame:
     return adapters.parse("remoteok", landed).select("ats_id", "title", "location", "global_id")
 
 
+#: A payload of each provider around the fields id, title and place of a row.
+PAYLOADS = {
+    "greenhouse": '{"jobs": [{"id": <id>, "title": <title>, "location": {"name": <place>}}]}',
+    "join_com": '{"items": [{"id": <id>, "title": <title>, "location": <place>}]}',
+    "gupy": '{"props": {"pageProps": {"jobs": [{"id": <id>, "name": <title>, "workplace": {"address": {"city": <place>}}}]}}}',
+    "thehub": '{"docs": [{"id": <id>, "title": <title>, "status": "active", "location": {"address": <place>}}, {"id": <id>, "title": <title>, "status": "DRAFT"}]}',
+    "uber": '{"jobs": [{"Id": <id>, "Title": <title>, "Locations": [{"City": <place>, "Region": <place>}, {"Address": <place>}]}]}',
+    "wanted": '{"data": [{"id": <id>, "position": <title>, "address": {"location": <place>, "country": <place>}}]}',
+    "recruiterbox": '{"objects": [{"id": <id>, "title": <title>, "url": "u", "location": {"state": <place>}}, {"id": <id>, "title": <title>}]}',
+    "mercor": '{"listings": [{"listingId": <id>, "title": <title>, "location": <place>}, {"listingId": <id>}]}',
+    "manfred": '[{"slug": <id>, "position": <title>, "status": "ACTIVE", "locations": ["", <place>]}]',
+}
+
+
+@query("""SELECT p.provider || ':' || p_partkey AS global_id, p_name AS title, p_type AS location
+FROM part CROSS JOIN (SELECT unnest(['greenhouse', 'join_com', 'gupy', 'thehub', 'uber', 'wanted', 'recruiterbox', 'mercor', 'manfred']) AS provider) p""")
+def payload_providers(t: Tables) -> DataFrame:
+    quoted = lambda c: F.expr(f"substr(to_json(array(cast({c} as string))), 2, length(to_json(array(cast({c} as string)))) - 2)")
+    out = None
+    for provider, form in PAYLOADS.items():
+        payload = F.lit(form)
+        for name, c in (("id", "p_partkey"), ("title", "p_name"), ("place", "p_type")):
+            payload = F.replace(payload, F.lit(f"<{name}>"), quoted(c))
+        landed = t.part.select(F.col("p_brand").alias("company"), payload.alias("payload"))
+        rows = adapters.parse(provider, landed).select("global_id", "title", "location")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Nation ' || n_name || ' | Port' WHEN s_suppkey % 3 = 1 THEN n_name || ', ' || r_name ELSE 'Old Town' END AS place, s_suppkey % 3 = 1 AND contains(lower(r_name), 'asia') AS near
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def place_forms(t: Tables) -> DataFrame:
