@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlode.llm import classifier, html_extract, knn, line_dedup, mixing, near_dup, packing, quality_rules, substring_dedup, token_store
+from postlode.llm import (
+    classifier,
+    fill_middle,
+    html_extract,
+    importance,
+    knn,
+    line_dedup,
+    mixing,
+    near_dup,
+    packing,
+    quality_rules,
+    sentence_pieces,
+    substring_dedup,
+    token_store,
+)
 from postlode.llm._tables import table
 
 
@@ -50,7 +64,36 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality_rules, op3_minhash_near_dedup, op4_source_mixing, op5_line_dedup, op6_html_extraction, op7_substring_dedup, op8_best_fit_packing, op9_token_output, op10_quality_classifier)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_top_k,
+        op2_quality_rules,
+        op3_minhash_near_dedup,
+        op4_source_mixing,
+        op5_line_dedup,
+        op6_html_extraction,
+        op7_substring_dedup,
+        op8_best_fit_packing,
+        op9_token_output,
+        op10_quality_classifier,
+        op11_sentencepiece,
+        op12_importance_resampling,
+        op13_fill_in_middle,
+    )
+}
 
 OP1_SQL = """
 WITH vectors AS (
@@ -65,4 +108,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 #: DuckDB SQL over the tables of the same names. The other operators fit models, pack, or tokenize.
-SQL = {"op1_exact_top_k": OP1_SQL, "op4_source_mixing": mixing.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+SQL = {
+    "op1_exact_top_k": OP1_SQL,
+    "op4_source_mixing": mixing.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_fill_in_middle": fill_middle.ORACLE_SQL,
+}
