@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlode.functions import text, values
+from postlode.operators import near_titles
 from postlode.shipping import ship
+from postlode.staging import written
 
 #: Priorities of sources; 2 where a source is not among them.
 PRIORITY = {
@@ -92,24 +94,44 @@ def _indel(a: str, b: str) -> int:
     return len(a) + len(b) - 2 * common
 
 
-def _fuzzy(threshold: float, cap: int, keep: list[str]):
+#: Blocks of so many rows are compared row by row in one task; larger ones go through the index of near_titles.
+SMALL = 200
+
+
+def _fuzzy(threshold: float, keep: list[str]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < 2 or rows["source"].nunique() < 2 or len(rows) > cap:
+        if len(rows) < 2 or rows["source"].nunique() < 2:
             return rows[keep]
-        rows = rows.sort_values(["priority", "row_order"], kind="stable")
-        kept: list[int] = []
-        titles, sources = [frozenset(x.split()) for x in rows["title_raw"].fillna("")], rows["source"].tolist()
-        for i in range(len(rows)):
-            if not any(sources[j] != sources[i] and token_set_ratio(titles[j], titles[i], threshold) >= threshold for j in kept):
-                kept.append(i)
-        return rows.iloc[kept][keep]
+        rows = rows.sort_values(["priority", "row_order", "source"], kind="stable")
+        # Rows of one source and the same words share the fate of their first.
+        fate: dict[tuple[str, frozenset], bool] = {}
+        stays = []
+        for source, title in zip(rows["source"].tolist(), rows["title_raw"].fillna("").tolist(), strict=True):
+            own = (source, frozenset(title.split()))
+            if own not in fate:
+                fate[own] = not any(ok and s != source and token_set_ratio(words, own[1], threshold) >= threshold for (s, words), ok in fate.items())
+            stays.append(fate[own])
+        return rows.loc[stays, keep]
 
     return run
 
 
-def fuzzy(df: DataFrame, block: list[str], threshold: float = 90.0, cap: int = 5_000) -> DataFrame:
-    """Within a block, rows whose title nearly equals a kept row's of another source go. Blocks above cap stay whole."""
-    return df.groupBy(*block).applyInPandas(_fuzzy(threshold, cap, df.columns), df.schema)
+def fuzzy(df: DataFrame, block: list[str], threshold: float = 90.0, cap: int | None = None, small: int = SMALL) -> DataFrame:
+    """Within a block, rows whose title nearly equals a kept row's of another source go.
+
+    df: source, row_order (unique within a source), priority, title_raw, and the columns of block (none null). Blocks of
+    up to small rows are compared in one task each, larger ones by an index and in rounds, to the same result. cap:
+    blocks of more rows stay whole, as a rule of the caller's; by default there is none.
+    """
+    rows = written(df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*block))))
+    large = rows.where((F.col("__n") > small) & (F.col("__n") <= (cap if cap is not None else 2**62))).drop("__n")
+    near = rows.where((F.col("__n") <= small) & (F.col("__n") > 1) & (F.col("__n") <= (cap if cap is not None else 2**62))).drop("__n")
+    # A fixed number of partitions: the rows are few bytes and much work, so they must not be merged into few tasks.
+    spread = near.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *block)
+    out = rows.where((F.col("__n") == 1) | (F.col("__n") > (cap if cap is not None else 2**62))).drop("__n").unionByName(spread.groupBy(*block).applyInPandas(_fuzzy(threshold, df.columns), df.schema))
+    if large.isEmpty():
+        return out
+    return out.unionByName(large.join(near_titles.dropped(large, block, threshold), ["source", "row_order"], "left_anti").select(*df.columns))
 
 
 def _alone() -> Column:
@@ -126,12 +148,12 @@ def _pass(k: DataFrame, keys: list[str], valid: Column, order: list[Column], cro
     return k.withColumn("__stays", stays).where("__stays").drop("__stays")
 
 
-def survivor_keys(df: DataFrame, threshold: float = 90.0, cap: int = 5_000) -> DataFrame:
+def survivor_keys(df: DataFrame, threshold: float = 90.0, cap: int | None = None, small: int = SMALL) -> DataFrame:
     """source, row_order of the rows that stay after all passes.
 
     df: source, row_order (unique within a source), url, title, company, location, country_iso, ats_id; any of the
     last six may be absent, and null counts as empty. One scan of these thin columns, a shuffle for each of the first
-    three passes, and one more that the last two share.
+    three passes, and one more that the last two share. cap: see fuzzy(); of 1 or less, there is no fuzzy pass.
     """
     ship(df.sparkSession)
     own = {c: text.key_text(F.col(c)) if c in df.columns else F.lit("") for c in ("url", "title", "company", "location", "country_iso", "ats_id")}
@@ -145,14 +167,14 @@ def survivor_keys(df: DataFrame, threshold: float = 90.0, cap: int = 5_000) -> D
     block = ["__key", "__country", "__salt"]
     k = k.withColumns({"__key": F.when(blocked, F.col("key")).otherwise(""), "__country": F.when(blocked, F.col("country")).otherwise(""), "__salt": F.when(blocked, 0).otherwise(F.pmod(F.xxhash64(_alone()), F.lit(1_000)).cast("int"))}).repartition(*block)
     k = _pass(k, ["core"], blocked & (F.col("core") != ""), order, cross=True, within=tuple(block))
-    found = df.select("source", "row_order").schema
     thin = k.select("source", "row_order", "priority", "title_raw", *block)
-    if cap <= 1:
+    if cap is not None and cap <= 1:
         return thin.select("source", "row_order")
-    compare = _fuzzy(threshold, cap, ["source", "row_order"])
-    return thin.groupBy(*block).applyInPandas(lambda rows: compare(rows) if rows["__key"].iloc[0] else rows[["source", "row_order"]], found)
+    thin = written(thin)
+    # Rows without a block meet nobody and stay.
+    return thin.where("__key = ''").unionByName(fuzzy(thin.where("__key <> ''"), block, threshold, cap, small)).select("source", "row_order")
 
 
-def survivors(df: DataFrame, threshold: float = 90.0, cap: int = 5_000) -> DataFrame:
+def survivors(df: DataFrame, threshold: float = 90.0, cap: int | None = None, small: int = SMALL) -> DataFrame:
     """The rows of df that survivor_keys() names; all their columns are read once, behind the decision."""
-    return df.join(survivor_keys(df, threshold, cap), ["source", "row_order"], "left_semi").select(*df.columns)
+    return df.join(survivor_keys(df, threshold, cap, small), ["source", "row_order"], "left_semi").select(*df.columns)

@@ -142,12 +142,12 @@ d AS (SELECT * FROM (SELECT * EXCLUDE (stays), min(source) OVER g = max(source)
 SELECT source, row_order FROM d"""
 
 
-def _flagship(t: Tables) -> DataFrame:
+def _flagship(t: Tables, title: F.Column | None = None) -> DataFrame:
     k = F.col("l_suppkey")
     number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 20_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")
     url = F.when(F.col("l_linenumber") % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("u"), "l_orderkey", F.lit("/"), "l_linenumber"))
     company = F.when(F.col("l_partkey") % 11 == 0, "  ").otherwise(F.concat(F.lit("C"), (F.col("l_partkey") % 997).cast("string")))
-    return t.lineitem.select(number.alias("row_order"), pick(k, "lever", "gem", "eures", "usajobs").alias("source"), url.alias("url"), company.alias("company"), F.concat(F.lit("Role "), (F.col("l_orderkey") % 53).cast("string")).alias("title"), F.col("l_linestatus").alias("location"), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise((F.col("l_orderkey") % 301).cast("string")).alias("ats_id"), F.when(F.col("l_returnflag") != "N", "de").alias("country_iso"))
+    return t.lineitem.select(number.alias("row_order"), pick(k, "lever", "gem", "eures", "usajobs").alias("source"), url.alias("url"), company.alias("company"), (F.concat(F.lit("Role "), (F.col("l_orderkey") % 53).cast("string")) if title is None else title).alias("title"), F.col("l_linestatus").alias("location"), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise((F.col("l_orderkey") % 301).cast("string")).alias("ats_id"), F.when(F.col("l_returnflag") != "N", "de").alias("country_iso"))
 
 
 @query(_KEPT_SQL)
@@ -156,6 +156,22 @@ def dedup_survivors(t: Tables) -> DataFrame:
     return dedup.survivors(_flagship(t), cap=0).select("source", "row_order")
 
 
+_TITLE_SQL = "'Role ' || lpad(CAST(l_orderkey % 53 AS VARCHAR), 2, '0') || CASE WHEN l_linenumber % 5 = 0 THEN '!' ELSE '' END"
+
+
+@query(
+    _KEPT_SQL.replace("'role ' || l_orderkey % 53 AS title", f"lower({_TITLE_SQL}) AS title").replace("SELECT source, row_order FROM d", "")
+    + """, e AS (
+SELECT *, first_value(source) OVER (PARTITION BY company, country, trim(title, '!') ORDER BY prio, row_order, source) AS keeper FROM d)
+SELECT source, row_order FROM e WHERE company = '' OR country = '' OR source = keeper"""
+)
+def dedup_five_passes(t: Tables) -> DataFrame:
+    """All five passes. Titles of one role (with or without a mark) are near to each other and to no other role's, so
+    a role's first row in a block decides which source keeps its rows; that is what the SQL says of the greedy pass."""
+    role = F.concat(F.lit("Role "), F.lpad((F.col("l_orderkey") % 53).cast("string"), 2, "0"), F.when(F.col("l_linenumber") % 5 == 0, "!").otherwise(""))
+    return dedup.survivors(_flagship(t, role)).select("source", "row_order")
+
+
 @query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'https://boards.greenhouse.io/acme/apply' WHEN 1 THEN 'https://x.acme.com/apply' ELSE '' END AS link, 'We hire & pay well' AS body, 'blue rock' AS stem, 'r and d web dev' AS words, 'randdwebdev' AS packed FROM supplier""")
 def page_texts(t: Tables) -> DataFrame:
     """Apply links by preference, text that was escaped twice, and the normal forms of the verifier."""
