@@ -9,6 +9,7 @@ from postlode.functions import text, urls, values
 from postlode.operators import classify, dedup, discovery, resolution, signals, state
 from postlode.plans.queries import Tables, query
 from postlode.sources import planning, readers, writers
+from postlode.streaming import presence
 from postlode.streaming.streams import _work as shared_folder
 
 
@@ -250,3 +251,34 @@ def export_json(t: Tables) -> DataFrame:
 def query_filter(t: Tables) -> DataFrame:
     made = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", F.concat(F.lit(" "), F.initcap("r_name")).alias("region"), "r_name")
     return discovery.pick(made, region="ASIA ").select("n_name", "r_name")
+
+
+# Streams with state
+
+
+def _watched(t: Tables) -> str:
+    """Events land in three parts by time; after each a run of its own goes on from the checkpoint of the one before."""
+    folder = shared_folder(t.spark)
+    rows = t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    bounds = [low + (high - low) * i // 3 for i in range(3)] + [high + 1]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        rows.where((F.unix_micros("ts") >= a) & (F.unix_micros("ts") < b)).write.mode("append").parquet(f"{folder}/landed")
+        presence.run(t.spark, f"{folder}/landed", "user_id long, ts timestamp", folder, "user_id", "ts")
+    return folder
+
+
+@query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER w AS before, coalesce(lead(ts) OVER w, max(ts) OVER ()) AS after FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT user_id, epoch_us(ts) AS at, 'ACTIVE' AS status FROM e WHERE before IS NULL OR ts - before > INTERVAL 1 DAY
+UNION ALL SELECT user_id, epoch_us(ts + INTERVAL 1 DAY), 'UNCERTAIN' FROM e WHERE after - ts > INTERVAL 1 DAY""")
+def stream_presence_changes(t: Tables) -> DataFrame:
+    """When users were lost for a day and came back."""
+    return presence.changes(t.spark, _watched(t)).select("user_id", F.unix_micros("at").alias("at"), "status")
+
+
+@query("""SELECT user_id, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, count(*) AS checks,
+CASE WHEN (SELECT max(ts) FROM events) - max(ts) > INTERVAL 1 DAY THEN 'UNCERTAIN' ELSE 'ACTIVE' END AS status FROM events WHERE user_id IS NOT NULL GROUP BY user_id""")
+def stream_presence_state(t: Tables) -> DataFrame:
+    """What the state store holds of each user after three runs."""
+    found = presence.state(t.spark, _watched(t), "user_id")
+    return found.select("user_id", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen"), "checks", "status")

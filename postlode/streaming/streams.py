@@ -6,20 +6,14 @@ remembers the rest. Results are tables in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlode.staging import new_folder
+
 
 def _work(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="postlode-")
-    return f"{folder}/streams/{uuid.uuid4().hex}"
+    return new_folder(spark, "streams")
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, files: int = 8) -> DataFrame:
@@ -47,6 +41,8 @@ def _latest(spark: SparkSession, folder: str, below: float = float("inf")) -> st
 def run_upsert(spark: SparkSession, sf_dir: str, name: str, folder: str | None = None) -> DataFrame:
     """first_seen, last_seen, check_count per user: each batch is merged into the state of the batch before.
 
+    Kept for states that are to be tables; presence keeps its state in Spark's store and rewrites none of it.
+
     A batch writes its own version of the state, named by its number; a repeated batch writes the same again. With the
     folder of an earlier run the stream goes on behind what that run has read.
     """
