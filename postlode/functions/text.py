@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,12 +100,10 @@ def result_title(c: Column) -> Column:
 
 
 def html_text(c: Column) -> Column:
-    """Tags as spaces, without scripts and styles, the common references decoded."""
+    """Tags as spaces, without scripts and styles, character references decoded."""
     x = F.regexp_replace(c, r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>", " ")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(value))
-    return collapse(x)
+    return collapse(F.replace(unescape(x), F.lit("\xa0"), F.lit(" ")))
 
 
 def html_title(c: Column) -> Column:
@@ -141,11 +141,34 @@ def compact(c: Column) -> Column:
     return F.replace(plain_words(c), F.lit(" "), F.lit(""))
 
 
+#: Named references, by the standard library's table of HTML 4, and what browsers take numbers 128 to 159 for.
+NAMED = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"}
+_OLD = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+
+
+def _character(point: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    old = F.create_map(*(F.lit(x) for item in _OLD.items() for x in item))
+    none = (point == 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF)
+    made = F.decode(F.unhex(F.lpad(F.hex(F.when(~none, point)), 8, "0")), "UTF-32")
+    return F.when(none, "\ufffd").when(point.between(128, 159), F.try_element_at(old, point.cast("int"))).otherwise(made)
+
+
+def _reference(part: Column) -> Column:
+    """What stands behind an ampersand, with the reference at its start decoded; the ampersand stays if there is none."""
+    found = F.regexp_extract(part, r"^(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;)", 1)
+    digits = F.regexp_replace(found, r"^#[xX]?|;$", "")
+    point = F.when(found.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+    named = F.try_element_at(F.create_map(*(F.lit(x) for item in NAMED.items() for x in item)), F.regexp_replace(found, ";$", ""))
+    character = F.when(F.startswith(found, F.lit("#")), _character(point)).otherwise(named)
+    return F.coalesce(F.concat(character, F.substr(part, F.length(found) + 1)), F.concat(F.lit("&"), part))
+
+
 def unescape(c: Column) -> Column:
-    """The common character references decoded once."""
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+    """Character references decoded once: decimal, hexadecimal and the named ones of HTML 4."""
+    parts = F.split(c, "&")
+    decoded = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(_reference(part)))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(decoded, "")).otherwise(c)
 
 
 def double_encoded_text(c: Column) -> Column:
@@ -153,14 +176,27 @@ def double_encoded_text(c: Column) -> Column:
     return html_text(unescape(c))
 
 
-def apply_links(c: Column) -> Column:
-    """The links of a page whose address speaks of an application, each once, in order."""
-    return F.filter(html_links(c), lambda u: F.lower(u).rlike("apply|application|candidate"))
+def absolute_links(c: Column, page: Column) -> Column:
+    """The addresses that a page links to, each once, in order: absolute, canonical, http and https only."""
+    found = F.regexp_extract_all(c, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    root = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)", 0)
+    scheme = F.regexp_extract(root, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+
+    def whole(link: Column) -> Column:
+        return F.when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(root, link)).otherwise(link)
+
+    links = F.transform(found, lambda x: urls.canonical(whole(strip(unescape(x)))))
+    return F.array_distinct(F.filter(links, lambda u: u.rlike(r"(?i)^https?://[^/?#]")))
+
+
+def apply_links(c: Column, page: Column) -> Column:
+    """Of these the links to an application, by their address."""
+    return F.filter(absolute_links(c, page), lambda u: F.lower(u).rlike(r"/apply|apply\?|/application|candidate"))
 
 
 def apply_link(c: Column, page: Column, boards: tuple[str, ...]) -> Column:
     """Where to apply: a link to an applicant system, else to the page's own domain, else to a careers page; "" if none."""
-    links = apply_links(c)
+    links = apply_links(c, page)
     on = lambda u: urls.base_domain(u)
     known = lambda u: F.coalesce(on(u).isin(*boards), F.lit(False))
     pick = lambda test: F.get(F.filter(links, test), 0)

@@ -41,10 +41,15 @@ def compose(df: DataFrame, by: str, order: tuple[str, ...], part: str, name: str
 
 
 def day_first_votes(df: DataFrame, by: str, written: Column) -> DataFrame:
-    """by, day_first (dates whose first number is over 12), unsure, is_day_first: how a source writes its dates."""
-    first = F.substring_index(written, "/", 1).try_cast("int")
-    votes = df.groupBy(by).agg(F.count_if(first > 12).alias("day_first"), F.count_if(first <= 12).alias("unsure"))
-    return votes.withColumn("is_day_first", F.col("day_first") > 0)
+    """by, day_first, month_first, is_day_first: how a source writes its dates, by the majority of those that tell.
+
+    A date a/b/c tells that the day comes first if only a is above 12, and that the month does if only b is.
+    """
+    parts = F.split(F.trim(written), "/")
+    a, b = (F.trim(F.get(parts, i)).try_cast("int") for i in (0, 1))
+    whole = F.size(parts) == 3
+    votes = df.groupBy(by).agg(F.count_if(whole & (a > 12) & (b <= 12)).alias("day_first"), F.count_if(whole & (b > 12) & (a <= 12)).alias("month_first"))
+    return votes.withColumn("is_day_first", F.col("day_first") > F.col("month_first"))
 
 
 def monthly(df: DataFrame, by: str, at: str, value: str) -> DataFrame:

@@ -116,10 +116,14 @@ def description_compose(t: Tables) -> DataFrame:
     return frames.compose(t.conversations, "conv_id", ("turn", "role"), "text", "description")
 
 
-@query("""SELECT o_orderpriority, CAST(sum(CASE WHEN day(o_orderdate) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS day_first, CAST(sum(CASE WHEN day(o_orderdate) <= 12 THEN 1 ELSE 0 END) AS BIGINT) AS unsure,
-sum(CASE WHEN day(o_orderdate) > 12 THEN 1 ELSE 0 END) > 0 AS is_day_first FROM orders GROUP BY o_orderpriority""")
+@query("""WITH x AS (SELECT o_orderpriority, CASE WHEN o_custkey % 2 = 0 THEN month(o_orderdate) ELSE day(o_orderdate) END AS a, CASE WHEN o_custkey % 2 = 0 THEN day(o_orderdate) ELSE month(o_orderdate) END AS b FROM orders)
+SELECT o_orderpriority, count(*) FILTER (a > 12 AND b <= 12) AS day_first, count(*) FILTER (b > 12 AND a <= 12) AS month_first,
+count(*) FILTER (a > 12 AND b <= 12) > count(*) FILTER (b > 12 AND a <= 12) AS is_day_first FROM x GROUP BY o_orderpriority""")
 def date_order_vote(t: Tables) -> DataFrame:
-    return frames.day_first_votes(t.orders, "o_orderpriority", F.date_format("o_orderdate", "dd/MM/yyyy"))
+    """Half of the customers write the month first."""
+    written = F.date_format("o_orderdate", "dd/MM/yyyy")
+    mixed = F.when(F.col("o_custkey") % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(written)
+    return frames.day_first_votes(t.orders, "o_orderpriority", mixed)
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -335,11 +339,19 @@ def fingerprint_sha256(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", values.fingerprint(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("fingerprint"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pages""")
 def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
+@query("SELECT doc_id, lang || ' ' || chr(CAST(161 + doc_id % 50000 AS INTEGER)) || chr(CAST(65536 + doc_id AS INTEGER)) || ' é&#38;' || source AS body FROM documents")
+def character_references(t: Tables) -> DataFrame:
+    """References by number, in both notations and beyond 16 bits, by name, and one that is decoded once only."""
+    code = lambda n: F.concat(F.lit("&#"), n.cast("string"), F.lit(";"))
+    written = F.concat("lang", F.lit("&nbsp;"), code(161 + F.col("doc_id") % 50_000), F.lit("&#x"), F.hex(65_536 + F.col("doc_id")), F.lit(";&nbsp;&eacute;&amp;#38;"), "source")
+    return t.documents.select("doc_id", text.html_text(written).alias("body"))
+
+
 @query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title FROM pages")
 def html_title(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.html_title(F.col("html")).alias("title"))

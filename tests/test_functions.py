@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlode.functions import text, urls, values
+from postlode.operators import frames
 
 
 def one(spark, value, f):
@@ -74,3 +75,34 @@ def test_text(spark):
     assert one(spark, "senior senior – engineer", text.query_text) == "senior - engineer"
     assert one(spark, "a b b", text.has_repeated_word) and not one(spark, "a b a", text.has_repeated_word)
     assert one(spark, "<p>a&amp;b</p><script>x</script>", text.html_text) == "a&b"
+
+
+def test_character_references(spark):
+    cases = {
+        "a &#8211; b": "a – b",
+        "it&#x27;s": "it's",
+        "caf&eacute;": "café",
+        "&#150;&#0;&#xD800;&#x110000;": "–���",
+        "&amp;lt;": "&lt;",
+        "AT&T &nosuch; &": "AT&T &nosuch; &",
+        "&#128512;": "😀",
+        "": "",
+        None: None,
+    }
+    for given, told in cases.items():
+        assert one(spark, given, text.unescape) == told, given
+    assert one(spark, "<p>a&nbsp;&nbsp;b &eacute;</p>", text.html_text) == "a b é"
+
+
+def test_apply_links(spark):
+    page = F.lit("https://acme.com/jobs/1")
+    html = """<a href='/apply'> <a HREF = "//x.acme.com/application/7?utm_source=a"> <a href="/how-to-apply"> <a href="https://Acme.com/apply/">
+    <a href="https://acme.com/go?x=1&amp;to=candidate"> <a href="mailto:candidate@acme.com"> <a href="jobs/apply"> <a href="/apply">"""
+    found = one(spark, html, lambda c: text.apply_links(c, page))
+    assert found == ["https://acme.com/apply", "https://x.acme.com/application/7", "https://acme.com/go?x=1&to=candidate"]
+
+
+def test_date_order_is_a_majority(spark):
+    rows = [("a", d) for d in ("31/01/2024", "01/31/2024", "02/28/2024", "x/y", "3/4/2024", None)] + [("b", "30/1/2024")]
+    found = frames.day_first_votes(spark.createDataFrame(rows, "s string, d string"), "s", F.col("d"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 2, False), ("b", 1, 0, True)]
