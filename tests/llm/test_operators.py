@@ -663,3 +663,37 @@ def test_pipeline_links_from_four_fifths(spark):
     assert 80 <= 100 * len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 85
     docs = spark.createDataFrame([(1, a), (2, b), (3, c)], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == [1, 3]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="widget"><article><h1>T</h1><p>Story.</p></article></div>', "T\nStory."),
+        ('<div class="sponsored-post"><article><p>Story.</p></article></div>', "Story."),
+        ('<div id="overlay"><main><p>Story.</p></main></div>', "Story."),
+        ('<nav><a href="/">Home</a></nav><div class="sharing-economy-story"><p>A long story, with text.</p><p>More.</p></div><footer>c</footer>', "A long story, with text.\nMore."),
+        ('<div class="x-widget-row"><div class="x-widget-text">One part of the story.</div><div class="x-widget-text">Another part of it.</div></div>', "One part of the story.\nAnother part of it."),
+        ('<article><p>Cost <span aria-hidden="true">5</span> pounds <button>now</button> only</p><div class="ad">Buy</div><p>The rest of it</p></article>', "Cost 5 pounds now only\nThe rest of it"),
+        ('<main><article><p>Short story.</p></article><section id="comments"><p>First! A comment longer than the story is.</p></section></main>', "Short story."),
+        ('<dialog><article><p>Story.</p></article></dialog><aside>Else</aside>', "Story."),
+    ],
+)
+def test_names_never_take_the_story(html, text):
+    page = html_extract.Page(f"<html><body>{html}</body></html>")
+    assert page.text(frozenset()) == page.text(frozenset(), counted=True) == text
+
+
+def test_shapes_of_menus_whose_words_change(spark):
+    """No article, no telling name: what a host's pages repeat in shape, in links or short, goes; the story and its lead stay."""
+    rng = random.Random(8)
+    rows, told = [], {}
+    for i in range(12):
+        menu = "".join(f'<div class="r{i}"><a href="/{w}">{w} {i}</a></div>' for w in rng.sample(WORDS, 4))
+        lead, story = prose(rng, 12).replace("\n", " "), [prose(rng, 60).replace("\n", " ") for _ in range(3)]
+        body = "".join(f"<p>{x}</p>" for x in story)
+        rows.append((i, "https://h.example/", f'<body><div class="top">{menu}</div><div class="b">{lead}</div><div class="c">{body}</div><div class="promo-x box">{prose(rng, 15)}</div></body>'))
+        told[i] = "\n".join(" ".join(x.split()) for x in (lead, *story))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()} == told
+    kept = html_extract.Page(rows[0][2]).text(frozenset(), counted=True)
+    assert kept != told[0]  # the counts decide
