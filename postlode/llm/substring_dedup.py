@@ -170,8 +170,13 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     every = cut(docs.mapInArrow(_find_runs, "doc_id long, key long, anchor long, digest long, first int, windows int"), "runs")
     shared = cut(every.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
-    found = cut(every.join(shared, "anchor"), "shared-runs")
+    # Rows that repeat a doc_id and its text bring the same runs: these count once, and one of the texts is looked at.
+    found = cut(every.join(shared, "anchor").distinct(), "shared-runs")
+    again = cut(every.where("first = 0").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"), "repeated-rows")
     drop(every)
+    if not again.isEmpty():
+        once = docs.join(again, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+        docs = docs.join(again, ["doc_id", "key"], "left_anti").unionByName(once)
     place = F.struct("doc_id", "key", "first", "windows")
     kinds = cut(found.groupBy("anchor", "digest").agg(F.min(place).alias("place"), F.max("doc_id").alias("high")), "run-kinds")
     hot = cut(kinds.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot-anchors")

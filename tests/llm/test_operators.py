@@ -697,3 +697,18 @@ def test_shapes_of_menus_whose_words_change(spark):
     assert {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()} == told
     kept = html_extract.Page(rows[0][2]).text(frozenset(), counted=True)
     assert kept != told[0]  # the counts decide
+
+
+def test_repeated_rows_do_not_multiply(spark):
+    """800 equal rows bring no more stretches than one, and near-duplicate groups no more members."""
+    rng = random.Random(12)
+    a, b = prose(rng, 200), prose(rng, 200)
+    rows = [(1, a), (2, a + " " + b), *[(7, b + " " + a)] * 800, (7, prose(rng, 80)), *[(8, prose(rng, 3))] * 5]
+    once = list(dict.fromkeys(rows))
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    many, few = (sorted(map(tuple, substring_dedup.repeated_stretches(frame(r)).collect())) for r in (rows, once))
+    assert many == few
+    results = [collections.Counter(tuple(r) for r in substring_dedup.drop_repeats(frame(r)).collect()) for r in (rows, once)]
+    assert set(results[0]) == set(results[1]) and sum(results[0].values()) == len(rows)
+    linked = [collections.Counter(tuple(r) for r in near_dup.near_duplicates(frame(r)).collect()) for r in (rows, once)]
+    assert set(linked[0]) == set(linked[1]) and sum(linked[0].values()) == len(rows)
