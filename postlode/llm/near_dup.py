@@ -248,6 +248,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     each = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
     members = placed.select("id", "group", "block").join(each, ["group", "block"]).select("id", "group", "low", "high", "block")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    # Rows that repeat a doc_id and its text are one member of their block.
+    again = cut(own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id")), "repeated-ids")
+    if not again.isEmpty():
+        texts = texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").dropDuplicates(["id", "text"]))
     unnamed = sketches(docs.where(F.col("doc_id").cast("long").isNull()), with_text=True).where("n_shingles > 0")
     unnamed = unnamed.select(inner.alias("id"), "text").dropDuplicates(["id"])
     texts = texts.join(members, "id").unionByName(unnamed.join(members, "id"))
