@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 
 from postlode.llm._text import buffer
-from postlode.llm._tokens import CACHE, Encoder
+from postlode.llm._tokens import Encoder
 
 SPACE = "▁"
 _SPACE = np.frombuffer(SPACE.encode(), np.uint8)
@@ -29,6 +29,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 #: Chunks of more characters are cut by pairs of characters, and merged with a heap.
 LONG = 64
+#: Chunks kept in a worker's cache.
+CACHE = 300_000
 ROWS = 20_000
 NEVER = 1 << 60
 #: The symbol that fills up rows.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 
 
 def default_model() -> str:
@@ -29,9 +29,11 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, decoded: bool = False) -> DataFrame:
     """doc_id, ids, starts, ends (arrays of int, one entry an id), a row for each row of docs (doc_id, text).
 
+    decoded: also the column decoded, the text of ids, made by the worker that has the model in memory already.
+
     Null and empty texts have no ids. Rows without a doc_id and repeated rows are encoded like all others; other columns
     take no part. A text is read whole; a task holds about 40 bytes for each of its bytes, and the rows of a batch are
     taken PIECE_BYTES of text at a time.
@@ -45,10 +47,15 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
         encoder = pieces_of(model)
         for batch in pieces(batches, "text", PIECE_BYTES):
             ids, at, starts, ends = encoder.encode_spans(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": _lists(ids, at), "starts": _lists(starts, at), "ends": _lists(ends, at)})
+            made = {"doc_id": batch.column("doc_id"), "ids": _lists(ids, at), "starts": _lists(starts, at), "ends": _lists(ends, at)}
+            if decoded:
+                made["decoded"] = pa.array([encoder.decode(ids[a:b]) for a, b in itertools.pairwise(at.tolist())], pa.string())
+            yield pa.RecordBatch.from_pydict(made)
+            del ids, at, starts, ends, made
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -76,7 +83,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and span_bytes: bytes of the text that the ids' spans cover."""
-    both = decode(encode(docs, model), model)
+    both = encode(docs, model, decoded=True)
     covered = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return both.select(
         "doc_id",

@@ -97,6 +97,8 @@ def test_piece_rows(spark, docs, rows):
     # This model changes no character, so the spans cover the text.
     assert told(found.select("doc_id", "span_bytes")) == collections.Counter((i, len((t or "").encode())) for i, t, *_ in rows)
     assert sentence_pieces.digest(docs.limit(0)).count() == 0
+    one, two = sentence_pieces.decode(sentence_pieces.encode(docs)), sentence_pieces.encode(docs, decoded=True)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     again = sentence_pieces.decode(spark.createDataFrame([(1, None), (2, [])], "x int, ids array<int>"))
     assert [r["decoded"] for r in again.orderBy("x").collect()] == [None, ""]
     with pytest.raises(ValueError, match="decoded"):
