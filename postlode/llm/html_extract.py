@@ -34,6 +34,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,11 +73,11 @@ def _box(name: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "up", "never", "named", "hinted", "comment", "main", "root", "around", "kept", "holds", "hash", "size", "digest", "links", "left", "names", "inner", "shape", "core", "held")
+    __slots__ = ("tag", "up", "never", "named", "hinted", "comment", "main", "root", "around", "kept", "holds", "hash", "size", "digest", "links", "left", "names", "inner", "shape", "core", "held", "dead")
 
     def __init__(self, tag: str, up: Node | None):
         self.tag, self.up, self.never, self.named, self.hinted, self.comment = tag, up, False, False, False, False
-        self.main, self.root, self.around, self.kept, self.holds, self.core = False, False, False, False, False, False
+        self.main, self.root, self.around, self.kept, self.holds, self.core, self.dead = False, False, False, False, False, False, False
         #: Characters of text, of text in links, and of text outside of what tags and roles delete.
         self.size, self.links, self.left, self.digest, self.shape = 0, 0, 0, 0, 0
         self.names, self.inner = "", []
@@ -101,19 +102,21 @@ class Page(HTMLParser):
 
     def _find_core(self) -> None:
         """Marks the core with what it holds (core), and what holds it (around)."""
-        self.total = self.root.left
-        if not any(n.root and n.left and not _within(n, "never") for n in self.nodes):
-            most = [n for n in self.nodes if n.tag in BLOCK and n.tag not in KEPT and n.left >= CORE_SHARE * max(self.total, 1) and not _within(n, "never")]
+        self.total, self.core_text = self.root.left, 0
+        for n in self.nodes:  # what holds a node comes before it
+            n.dead = n.never or n.up.dead
+        if not any(n.root and n.left and not n.dead for n in self.nodes):
+            least = CORE_SHARE * max(self.total, 1)
+            most = [n for n in self.nodes if n.left >= least and n.tag in BLOCK and n.tag not in KEPT and not n.dead]
             if most:
                 most[-1].core = True  # such nodes hold each other, the innermost comes last
                 up = most[-1].up
                 while up is not None:
                     up.around, up = True, up.up
         for n in self.nodes:
-            n.core = n.core or n.main or n.up.core
-        self.core_text = 0
-        for n in self.nodes:
-            if n.core and not n.up.core and not _within(n, "never"):
+            inside = n.up.core
+            n.core = inside or n.core or n.main
+            if n.core and not inside and not n.dead:
                 self.core_text += n.left
                 up = n.up
                 while up is not None:
@@ -131,13 +134,15 @@ class Page(HTMLParser):
         up.size += node.size
         up.links += node.size if node.tag == "a" else node.links
         up.left += 0 if node.never else node.left
-        if node.tag in BLOCK:
-            same = hashlib.blake2b(f"{node.tag} {node.names} {node.inner}".encode("utf-8", "replace"), digest_size=8)
-            node.shape = int.from_bytes(same.digest(), "little", signed=True)
-            if node.size and up.inner[-1:] != [node.shape]:
-                up.inner.append(node.shape)
-        else:
-            up.inner += node.inner
+        # Shapes are told of what lies outside of the main part only.
+        if node.size and not node.main:
+            if node.tag in BLOCK:
+                inner = " ".join(map(str, node.inner))
+                node.shape = xxhash.xxh64_intdigest(f"{node.tag} {node.names} {inner}".encode("utf-8", "replace")) - (1 << 63)
+                if up.inner[-1:] != [node.shape]:
+                    up.inner.append(node.shape)
+            else:
+                up.inner += node.inner
         if node.main and not node.never and node.size and (node.tag in KEPT or node.holds):
             up.holds = True
         if node.tag in BLOCK:
@@ -180,21 +185,31 @@ class Page(HTMLParser):
                 # A form or dialog around the whole page is none of what it is usually.
                 up.around, up.never, up = True, up.never and up.tag not in ("form", "dialog", "button"), up.up
         if not node.root and tag not in ("html", "body"):
-            whole = [*values.get("class", "").split(), values.get("id", "")]
-            # A button or what only screen readers skip is a part of the sentence around it.
-            inline = tag not in BLOCK and any(self.open.get(t) for t in TEXT)
-            silent = values.get("aria-hidden") == "true" and not inline
-            hidden = "hidden" in values or silent or "display:none" in values.get("style", "").replace(" ", "")
-            node.never = (tag in NEVER and not (inline and tag == "button")) or role in ROLES or tag == "header" and not inside or hidden
-            node.named = any(map(_box, whole))
-            node.comment = node.named and any(_SPLIT.split(n)[0] in COMMENTS for n in whole if n)
-            node.hinted = not inside and bool(set(_SPLIT.split(" ".join(whole))) & (NAMES | OUTSIDE_NAMES))
-            node.names = " ".join(sorted({_DIGITS.sub("#", n) for n in whole if n}))
+            node.never = tag in NEVER or role in ROLES or tag == "header" and not inside
+            if attrs:
+                self._name(node, values, inside)
+            if node.never and tag == "button" and self._in_sentence(tag):
+                node.never = False
         node.kept = node.main and (tag in KEPT or node.up.kept)
         self.stack.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.nodes.append(node)
 
+    def _in_sentence(self, tag: str) -> bool:
+        return tag not in BLOCK and any(self.open.get(t) for t in TEXT)
+
+    def _name(self, node: Node, values: dict[str, str], inside: bool) -> None:
+        """What an element's names and attributes say of it."""
+        # What only screen readers skip is a part of the sentence around it.
+        silent = values.get("aria-hidden") == "true" and not self._in_sentence(node.tag)
+        node.never = node.never or "hidden" in values or silent or "display:none" in values.get("style", "").replace(" ", "")
+        whole = [n for n in (*values.get("class", "").split(), values.get("id", "")) if n]
+        if whole:
+            node.named = any(map(_box, whole))
+            node.comment = node.named and any(_SPLIT.split(n)[0] in COMMENTS for n in whole)
+            node.hinted = not inside and not (NAMES | OUTSIDE_NAMES).isdisjoint(_SPLIT.split(" ".join(whole)))
+            node.names = " ".join(sorted({_DIGITS.sub("#", n) for n in whole}))
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -266,14 +281,6 @@ class Page(HTMLParser):
         return "\n".join(_without_edges(main, edges | templates))
 
 
-def _within(node: Node, flag: str) -> bool:
-    while node is not None:
-        if getattr(node, flag):
-            return True
-        node = node.up
-    return False
-
-
 def _without_edges(lines: list[tuple[Node, str]], edges: frozenset[int]) -> list[str]:
     """The lines of the main part without those at its start and end that its host repeats, if these are few."""
 
