@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlode.functions import text
 from postlode.operators import classify
+from postlode.staging import written
 
 
 def location_similarity(a: Column, b: Column) -> Column:
@@ -97,3 +98,132 @@ def verify_page(company: Column, title: Column, place: Column, page: Column, off
     both, every = (c > 0) & (t > 0), (c > 0) & (t > 0) & (p > 0) & yes(official)
     verdict = F.when(every & yes(direct) & (score >= 75) & (F.coalesce(scams, F.lit(0)) == 0), "VERIFIED").when((every & (score >= 55)) | (both & (score >= 40)), "UNCERTAIN").otherwise("REJECTED")
     return F.struct(score.alias("score"), verdict.alias("status"))
+
+
+# Resolution at size
+
+
+def name_pairs(a: DataFrame, b: DataFrame, share: float = 0.5) -> DataFrame:
+    """name, other: pairs of distinct company names (a: name, b: other) of which the words overlap.
+
+    Names pair if the words of one lie in the other, or if at least share of all their words are common. Of the words
+    of either name from the rarest on, one of the first that can't all be missing is in the other name: only these are
+    looked up, so a frequent word meets few names, and no pair is lost.
+    """
+    words = lambda df, c: written(df.select(c, text.tokens(text.company_words(F.col(c))).alias("words")).where(F.size("words") > 0).distinct(), "names")
+    x, y = words(a, "name"), words(b, "other")
+    often = x.select("words").unionByName(y.select("words")).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefix(df: DataFrame, c: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(c).orderBy("often", "word"))
+        each = df.select(c, F.size("words").alias("n"), F.explode("words").alias("word")).join(often, "word").withColumn("rank", rank)
+        return each.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select(c, "word")
+
+    every = lambda df, c: df.select(c, F.explode("words").alias("word"))
+    met = prefix(x, "name").join(every(y, "other"), "word").unionByName(every(x, "name").join(prefix(y, "other"), "word")).select("name", "other").distinct()
+    both = met.join(x.withColumnRenamed("words", "p"), "name").join(y.withColumnRenamed("words", "q"), "other")
+    common = F.size(F.array_intersect("p", "q"))
+    within = (common == F.size("p")) | (common == F.size("q"))
+    return both.where(within | (common >= share * F.size(F.array_union("p", "q")))).select("name", "other")
+
+
+def best_candidates(found: DataFrame, official: DataFrame, k: int = 3, least: float = 40.0, others: bool = False, share: float = 0.5) -> DataFrame:
+    """The rows that candidates() gives for pairs of overlapping company names (name_pairs), at any size of a company.
+
+    A score depends on an official row's company, title, place, requisition and kind of page, but for an equal job_id.
+    Rows that agree in these are one kind. Of a kind only its k rows of the smallest ids (one more with others) can be
+    among the best of a posting, or rows of the same job_id, which a join finds. So scores are computed for pairs of
+    kinds, the best are picked per kind of posting, and a posting is joined with k + 1 rows.
+    """
+    kind = ["company", "title", "location", "requisition_id"]
+    job = lambda df: (F.coalesce(text.identifier_text(F.col("job_id").cast("string")), F.lit("")) if "job_id" in df.columns else F.lit(""))
+    career = F.coalesce("is_career", F.lit(False)) if "is_career" in official.columns else F.lit(False)
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in kind]
+    a = found.select("id", *plain, job(found).alias("job"))
+    b = official.select(F.col("id").alias("official_id"), *plain, job(official).alias("job"), F.when(F.col("is_ats"), 5).when(career, 3).otherwise(0).alias("bonus"))
+    a = written(a.withColumn("kind", F.sha2(F.to_json(F.struct(*kind)), 256)), "postings")
+    b = written(b.withColumn("o_kind", F.sha2(F.to_json(F.struct(*kind, "bonus")), 256)), "official")
+    most = k + 1 if others else k
+    first = Window.partitionBy("o_kind").orderBy("official_id")
+    few = b.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).groupBy("o_kind", *kind, "bonus").agg(F.collect_list("official_id").alias("ids"))
+    kinds = a.select("kind", *kind).distinct()
+    pairs = written(name_pairs(kinds.select(F.col("company").alias("name")), b.select(F.col("company").alias("other")), share), "names")
+    side = lambda df, mark, *more: df.select(*(F.col(c).alias(f"{mark}_{c}") for c in kind), *more)
+
+    def scored(x: DataFrame, y: DataFrame, extra: F.Column) -> DataFrame:
+        met = x.join(pairs, F.col("x_company") == F.col("name")).join(y, F.col("y_company") == F.col("other"))
+        return met.withColumn("score", _score(extra))
+
+    by_kind = scored(side(kinds, "x", "kind"), side(few, "y", "bonus", "ids"), F.lit(0)).where(F.col("score") >= least)
+    top = Window.partitionBy("kind").orderBy(F.desc("score"), "official_id")
+    by_kind = by_kind.select("kind", "score", F.explode("ids").alias("official_id")).withColumn("n", F.row_number().over(top)).where(F.col("n") <= most)
+    plainly = a.join(written(by_kind.select("kind", "score", "official_id"), "best"), "kind").select("id", "official_id", "score")
+    same_job = a.where("job <> ''").select("id", "job", *(F.col(c).alias(f"x_{c}") for c in kind)).join(b.where("job <> ''").select("official_id", "job", "bonus", *(F.col(c).alias(f"y_{c}") for c in kind)), "job")
+    by_job = same_job.join(pairs, (F.col("x_company") == F.col("name")) & (F.col("y_company") == F.col("other"))).withColumn("score", _score(F.lit(20)))
+    every = plainly.unionByName(by_job.where(F.col("score") >= least).select("id", "official_id", "score"))
+    if others:
+        every = every.where(~F.col("id").eqNullSafe(F.col("official_id")))
+    best = every.groupBy("id", "official_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "official_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "official_id", "score", "rank")
+
+
+def _score(extra: Column) -> Column:
+    x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
+    total = 30 * classify.company_similarity(classify.company_parts(x("company")), classify.company_parts(y("company"))) + 35 * title_similarity(x("title"), y("title"))
+    total = total + 20 * location_similarity(x("location"), y("location")) + 15 * requisition_similarity(x("requisition_id"), y("requisition_id")) + extra + F.col("bonus")
+    return F.bround(F.least(total, F.lit(100.0)), 2)
+
+
+#: Least score of a candidate, candidates looked at, and the score from which structure alone is uncertain evidence.
+LEAST_SCORE, MOST_CHECKED, STRUCTURAL = 60.0, 5, 88.0
+
+
+def correlation_score(company: Column, title: Column, place: Column, requisition: Column, known_system: Column) -> Column:
+    """30 company + 35 title + 15 place + 20 requisition, + 10 for an equal requisition, + 5 for a known system; at most 100."""
+    total = 30 * company + 35 * title + 15 * place + 20 * requisition + F.when(requisition == 1.0, 10).otherwise(0) + F.when(known_system, 5).otherwise(0)
+    return F.bround(F.least(total, F.lit(100.0)), 2)
+
+
+def correlate(postings: DataFrame, ranked: DataFrame, verify, waves: tuple[int, ...] = (1, MOST_CHECKED)) -> DataFrame:
+    """id, status, confidence, official_id, checked: each posting's fate after its candidates were verified in order.
+
+    postings: id. ranked: id, rank (from 1), official_id, candidate_score, score (correlation_score), third_party, closed,
+    scam, safe_url. verify(rows of ranked) adds verdict (VERIFIED, UNCERTAIN, REJECTED or null) and confidence; it is the
+    dear step, so it is run in waves of ranks, and a wave sees only postings that no wave before has VERIFIED.
+
+    Candidates below LEAST_SCORE or beyond the last wave's rank are not looked at, third-party, closed and scam pages
+    count for nothing. The first VERIFIED candidate with a safe address decides. Else the best uncertain one does, the
+    earliest of equals: a verdict of UNCERTAIN by the greater of its confidence and score, or one without a verdict (or
+    VERIFIED with an unsafe address) by its score, if this is STRUCTURAL and the address safe. Then REJECTED, with
+    confidence 0; NOT_FOUND without any candidate. checked: candidates looked at until the decision.
+    """
+    able = ranked.where((F.col("candidate_score") >= LEAST_SCORE) & (F.col("rank") <= waves[-1]))
+    left = written(able.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "undecided")
+    seen: list[DataFrame] = []
+    low = 0
+    for high in waves:
+        usable = ~(F.col("third_party") | F.col("closed") | F.col("scam"))
+        rows = able.where((F.col("rank") > low) & (F.col("rank") <= high) & usable).join(left.select("id"), "id", "left_semi")
+        judged = written(verify(rows).withColumn("done", F.coalesce((F.col("verdict") == "VERIFIED") & F.col("safe_url"), F.lit(False))), "judged")
+        seen.append(judged)
+        left = written(left.join(judged.where("done").select("id").distinct(), "id", "left_anti"), "undecided")
+        low = high
+    every = seen[0]
+    for more in seen[1:]:
+        every = every.unionByName(more)
+    weight = F.greatest("score", F.coalesce("confidence", F.lit(0.0)))
+    structural = (F.col("verdict").isNull() | (F.col("verdict") == "VERIFIED")) & ~F.col("done") & (F.col("score") >= STRUCTURAL) & F.col("safe_url")
+    unsure = F.when(F.col("verdict") == "UNCERTAIN", weight).when(structural, F.col("score"))
+    told = every.groupBy("id").agg(
+        F.min(F.when(F.col("done"), F.struct("rank", "official_id", weight.alias("confidence")))).alias("sure"),
+        F.max(F.when(unsure.isNotNull(), F.struct(unsure.alias("confidence"), (-F.col("rank")).alias("late"), "official_id"))).alias("maybe"),
+    )
+    total = able.groupBy("id").agg(F.count(F.lit(1)).alias("able"))
+    any_ = ranked.select("id").distinct().withColumn("any", F.lit(True))
+    joined = postings.select("id").join(any_, "id", "left").join(total, "id", "left").join(told, "id", "left")
+    sure, maybe = F.col("sure").isNotNull(), F.col("maybe").isNotNull()
+    status_ = F.when(F.col("any").isNull(), "NOT_FOUND").when(sure, "VERIFIED").when(maybe, "UNCERTAIN").otherwise("REJECTED")
+    confidence = F.when(sure, F.bround(F.least("sure.confidence", F.lit(100.0)), 2)).when(maybe, F.bround(F.least("maybe.confidence", F.lit(100.0)), 2)).otherwise(0.0)
+    checked = F.coalesce(F.when(sure, F.col("sure.rank")).otherwise(F.col("able")), F.lit(0)).cast("int")
+    return joined.select("id", status_.alias("status"), confidence.alias("confidence"), F.coalesce("sure.official_id", "maybe.official_id").alias("official_id"), checked.alias("checked"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlode.functions import text, urls, values
@@ -282,3 +282,53 @@ def stream_presence_state(t: Tables) -> DataFrame:
     """What the state store holds of each user after three runs."""
     found = presence.state(t.spark, _watched(t), "user_id")
     return found.select("user_id", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen"), "checks", "status")
+
+
+# Resolution at size
+
+
+@query("""WITH a AS (SELECT doc_id AS id, doc_id % 500 AS c, doc_id % 3 = 0 AS labs, lang, source, n_chars FROM documents),
+pairs AS (SELECT a.id, b.id AS official_id, round(CASE WHEN a.labs = b.labs THEN 30 ELSE 27 END + CASE WHEN a.lang = b.lang THEN 35 ELSE 0 END
++ CASE WHEN a.source = b.source THEN 15 ELSE 0 END + CASE WHEN b.n_chars > 1000 THEN 5 ELSE 0 END, 2)::DOUBLE AS score FROM a JOIN a b ON a.c = b.c AND a.id <> b.id)
+SELECT id, official_id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, official_id) AS rn FROM pairs WHERE score >= 40) WHERE rn <= 2""")
+def best_candidates_of_documents(t: Tables) -> DataFrame:
+    """Every document against every other of its company ("c7", "C7 Labs Ltd"), scored by kinds."""
+    company = F.concat(F.lit("C"), (F.col("doc_id") % 500).cast("string"), F.when(F.col("doc_id") % 3 == 0, " Labs Ltd").otherwise(""))
+    rows = t.documents.select(F.col("doc_id").alias("id"), company.alias("company"), F.col("lang").alias("title"), F.lit("").alias("location"), F.col("source").alias("requisition_id"), (F.col("n_chars") > 1000).alias("is_ats"))
+    return resolution.best_candidates(rows, rows, k=2, others=True)
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rank FROM lineitem),
+r AS (SELECT l_orderkey AS id, rank, l_orderkey * 1000 + rank AS official_id, 100 - 10 * l_linenumber AS candidate_score, 50 + CAST(l_quantity AS DOUBLE) AS score,
+l_returnflag = 'R' OR l_tax > 0.07 AS useless, l_discount < 0.08 AS safe, round(CAST(l_extendedprice AS DOUBLE) / 1000, 2) AS confidence, CASE l_suppkey % 7 WHEN 0 THEN 'AIR' WHEN 1 THEN 'FOB' WHEN 2 THEN 'MAIL' WHEN 3 THEN 'SHIP' WHEN 4 THEN 'RAIL' ELSE 'ROAD' END AS mode FROM n),
+able AS (SELECT *, NOT useless AND mode IN ('AIR', 'FOB') AND safe AS done, CASE WHEN useless THEN NULL WHEN mode IN ('MAIL', 'SHIP') THEN greatest(score, confidence)
+WHEN mode <> 'RAIL' AND score >= 88 AND safe AND mode NOT IN ('AIR', 'FOB') THEN score END AS unsure FROM r WHERE candidate_score >= 60 AND rank <= 5),
+told AS (SELECT id, count(*) AS n, min(CASE WHEN done THEN rank END) AS sure, arg_min(CASE WHEN done THEN greatest(score, confidence) END, CASE WHEN done THEN rank END) AS sure_c, max(unsure) AS maybe,
+arg_max(official_id, CASE WHEN unsure IS NOT NULL THEN (unsure, -rank) END) AS maybe_id FROM able GROUP BY id)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey NOT IN (SELECT id FROM r) THEN 'NOT_FOUND' WHEN sure IS NOT NULL THEN 'VERIFIED' WHEN maybe IS NOT NULL THEN 'UNCERTAIN' ELSE 'REJECTED' END AS status,
+CASE WHEN sure IS NOT NULL THEN round(least(sure_c, 100), 2) WHEN maybe IS NOT NULL THEN round(least(maybe, 100), 2) ELSE 0 END AS confidence,
+CASE WHEN sure IS NOT NULL THEN o_orderkey * 1000 + sure WHEN maybe IS NOT NULL THEN maybe_id END AS official_id, CAST(coalesce(sure, n, 0) AS INTEGER) AS checked
+FROM orders LEFT JOIN told ON o_orderkey = id""")
+def correlated_orders(t: Tables) -> DataFrame:
+    """Orders as postings, their lines as ranked candidates; a line's mode, by its supplier, is what the verification of its page says."""
+    mode = F.col("mode")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    ranked = t.lineitem.withColumn("rank", F.row_number().over(w)).select(
+        F.col("l_orderkey").alias("id"),
+        "rank",
+        (F.col("l_orderkey") * 1000 + F.col("rank")).alias("official_id"),
+        (100 - 10 * F.col("l_linenumber")).cast("double").alias("candidate_score"),
+        (50 + F.col("l_quantity")).cast("double").alias("score"),
+        (F.col("l_returnflag") == "R").alias("third_party"),
+        (F.col("l_tax") > 0.07).alias("closed"),
+        F.lit(False).alias("scam"),
+        (F.col("l_discount") < 0.08).alias("safe_url"),
+        F.col("l_extendedprice").alias("price"),
+        F.get(F.array(*map(F.lit, ("AIR", "FOB", "MAIL", "SHIP", "RAIL", "ROAD", "ROAD"))), F.pmod("l_suppkey", F.lit(7)).cast("int")).alias("mode"),
+    )
+    verdict = F.when(mode.isin("AIR", "FOB"), "VERIFIED").when(mode.isin("MAIL", "SHIP"), "UNCERTAIN").when(mode == "RAIL", "REJECTED")
+
+    def verify(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"verdict": verdict, "confidence": F.round(F.col("price").cast("double") / 1000, 2)}).drop("price", "mode")
+
+    return resolution.correlate(t.orders.select(F.col("o_orderkey").alias("id")), ranked, verify)
