@@ -46,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near), ("source mixing", mixed), ("best-fit packing", packed)]
 
-#: No SQL: quality rules, near-dedup and packing can't be expressed. tests/llm compares the stages with brute force.
+#: No SQL: quality rules, near-dedup and packing can't be expressed. tests/llm compares the operators behind the stages with brute force.
 ORACLE_SQL = None
 
 
