@@ -70,6 +70,17 @@ def expired(df: DataFrame, started: str, now: Column, minutes: int = 30) -> Data
     return df.where(F.col(started) < now - F.make_dt_interval(mins=F.lit(minutes)))
 
 
+#: Fixed value: what a recovered row's error says.
+RECOVERED = "RECOVERED_AFTER_STALE_PROCESS"
+
+
+def recovered(queue: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """queue (started_at, processed_at, error and more) with rows that were started too long ago and never ended free again."""
+    stale = F.coalesce(F.col("processed_at").isNull() & (F.col("started_at") < now - F.make_dt_interval(mins=F.lit(minutes))), F.lit(False))
+    put = {"started_at": F.when(~stale, F.col("started_at")), "error": F.when(stale, F.lit(RECOVERED)).otherwise(F.col("error"))}
+    return queue.select(*(put.get(c, F.col(c)).alias(c) for c in queue.columns))
+
+
 def sparse_update(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Values of new where they are not null, else those of df."""
     fields = [c for c in new.columns if c != key and c in df.columns]

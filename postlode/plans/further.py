@@ -332,3 +332,21 @@ def correlated_orders(t: Tables) -> DataFrame:
         return rows.withColumns({"verdict": verdict, "confidence": F.round(F.col("price").cast("double") / 1000, 2)}).drop("price", "mode")
 
     return resolution.correlate(t.orders.select(F.col("o_orderkey").alias("id")), ranked, verify)
+
+
+@query("""WITH q AS (SELECT event_id, CASE WHEN event_type <> 'view' THEN ts END AS started_at, CASE WHEN value > 20 THEN ts END AS processed_at, CASE WHEN event_type = 'error' THEN props END AS error,
+(SELECT max(ts) FROM events) - INTERVAL 1 DAY AS now FROM events)
+SELECT event_id, CASE WHEN processed_at IS NULL AND started_at < now - INTERVAL 30 MINUTE THEN NULL ELSE epoch_us(started_at) END AS started_at,
+CASE WHEN processed_at IS NULL AND started_at < now - INTERVAL 30 MINUTE THEN 'RECOVERED_AFTER_STALE_PROCESS' ELSE error END AS error FROM q""")
+def recovered_queue(t: Tables) -> DataFrame:
+    """Events as a queue: those started before a time and never ended are free again, all others as they are."""
+    # One row in all, broadcast.
+    now = t.events.agg((F.max(F.col("ts").cast("timestamp")) - F.expr("INTERVAL 1 DAY")).alias("now"))
+    rows = t.events.select(
+        "event_id",
+        F.when(F.col("event_type") != "view", F.col("ts").cast("timestamp")).alias("started_at"),
+        F.when(F.col("value") > 20, F.col("ts").cast("timestamp")).alias("processed_at"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+    )
+    found = state.recovered(rows.join(F.broadcast(now)), F.col("now"))
+    return found.select("event_id", F.unix_micros("started_at").alias("started_at"), "error")

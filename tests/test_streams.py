@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from postlode.operators import state
 from postlode.staging import new_folder
 from postlode.streaming import presence, streams
 
@@ -50,3 +51,10 @@ def test_alerts_are_sent_once(spark):
         streams.alerts(stream, F.col("score") >= 75, "url", f"{folder}/sent", f"{folder}/checkpoint").awaitTermination()
     sent = sorted(r["url"] for r in spark.read.parquet(f"{folder}/sent").collect())
     assert sent == ["", "", "u1", "u3"]
+
+
+def test_stale_leases_are_recovered(spark):
+    rows = [(1, at(0), None, None), (2, at(1), None, "old"), (3, at(0), at(0.1), "kept"), (4, None, None, None)]
+    queue = spark.createDataFrame(rows, "id long, started_at timestamp, processed_at timestamp, error string")
+    found = {r["id"]: (r["started_at"], r["error"]) for r in state.recovered(queue, F.lit(at(1)) + F.expr("INTERVAL 30 MINUTE")).collect()}
+    assert found == {1: (None, state.RECOVERED), 2: (at(1), "old"), 3: (at(0), "kept"), 4: (None, None)}
