@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlode.functions import text, urls, values
-from postlode.operators import classify, dedup, discovery, resolution, signals, state
+from postlode.operators import classify, dedup, discovery, phrases, resolution, signals, state
 from postlode.plans.queries import Tables, query
 from postlode.sources import planning, readers, writers
 from postlode.streaming import presence
@@ -350,3 +350,63 @@ def recovered_queue(t: Tables) -> DataFrame:
     )
     found = state.recovered(rows.join(F.broadcast(now)), F.col("now"))
     return found.select("event_id", F.unix_micros("started_at").alias("started_at"), "error")
+
+
+# Many phrases, scans below a cap
+
+
+@query("""WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark), i AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w),
+p AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS phrase FROM i)
+SELECT phrase, count(*) AS n_docs FROM p JOIN documents ON contains(lower(text), phrase) GROUP BY phrase""")
+def phrase_occurrences(t: Tables) -> DataFrame:
+    """In how many documents each run of three words of the benchmark's items occurs."""
+    w = F.split(F.lower("text"), " ")
+    runs = F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i + 2 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    lexicon = t.benchmark.select(w.alias("w")).select(F.explode(runs).alias("phrase"))
+    rows = t.documents.select(F.lower("text").alias("text"))
+    pairs = phrases.occurrences(rows, "text", lexicon, "phrase")
+    return rows.join(pairs, "text").groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+_FACETS = {"year": "year(o_orderdate)", "quarter": "quarter(o_orderdate)", "third": "(month(o_orderdate) - 1) % 3", "status": "nullif(o_orderstatus, 'P')", "part": "o_custkey % 5"}
+_CAP = 40
+
+
+def _levels_sql() -> str:
+    """The rounds of the subdivision, one after another, over rows."""
+    shown = ", ".join(f"{{facet: '{f}', value: CAST({e} AS VARCHAR)}}" for f, e in sorted(_FACETS.items()))
+    parts = [f"r0 AS (SELECT o_orderpriority AS query, '' AS path, true AS whole, [{shown}] AS f FROM orders)"]
+    ends = []
+    for i in range(len(_FACETS)):
+        parts += [
+            f"t{i} AS (SELECT query, path, whole, count(*) AS expected FROM r{i} GROUP BY ALL)",
+            f"l{i} AS (SELECT r.* FROM r{i} r JOIN t{i} t USING (query, path) WHERE t.expected >= {_CAP})",
+            f"u{i} AS (SELECT query, path, unnest(f) AS s FROM l{i})",
+            f"c{i} AS (SELECT query, path, s.facet AS facet, s.value AS value, count(*) AS n FROM u{i} WHERE NOT contains(path, '/' || s.facet || '=') GROUP BY ALL)",
+            f"g{i} AS (SELECT query, path, facet, max(n) FILTER (value IS NOT NULL) AS most, coalesce(sum(n) FILTER (value IS NULL), 0) > 0 AS hidden FROM c{i} GROUP BY ALL)",
+            f"b{i} AS (SELECT *, row_number() OVER (PARTITION BY query, path ORDER BY hidden, most, facet) AS rn FROM g{i} WHERE most IS NOT NULL)",
+            f"m{i} AS (SELECT l.query, l.path, l.whole AND NOT b.hidden AS whole, l.f, b.facet, list_filter(l.f, lambda x: x.facet = b.facet)[1].value AS value FROM l{i} l JOIN b{i} b ON l.query = b.query AND l.path = b.path AND b.rn = 1)",
+            f"r{i + 1} AS (SELECT query, path || '/' || facet || '=' || value AS path, whole, f FROM m{i} WHERE value IS NOT NULL)",
+        ]
+        ends.append(f"SELECT query, path, expected, whole FROM t{i} WHERE expected < {_CAP}")
+        ends.append(f"SELECT query, path, expected, false FROM t{i} WHERE expected >= {_CAP} AND NOT EXISTS (SELECT 1 FROM b{i} b WHERE b.query = t{i}.query AND b.path = t{i}.path)")
+    ends.append(f"SELECT query, path, count(*), whole AND count(*) < {_CAP} FROM r{len(_FACETS)} GROUP BY query, path, whole")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(ends)
+
+
+@query(_levels_sql())
+def recursive_scans(t: Tables) -> DataFrame:
+    """Priorities as queries, cut by as many facets as it takes; one facet hides some orders and comes last."""
+    rows = t.orders.select(F.col("o_orderpriority").alias("query"), *(F.expr(e).alias(f) for f, e in _FACETS.items()))
+    scans = planning.subdivide(rows, "query", list(_FACETS), _CAP)
+    steps = F.transform("path", lambda s: F.concat(F.lit("/"), s["facet"], F.lit("="), s["value"]))
+    return scans.select("query", F.array_join(steps, "").alias("path"), "expected", "whole")
+
+
+@query("""SELECT o_orderpriority AS query, count(*) AS expected, count(*) FILTER (o_orderstatus <> 'P' OR o_custkey % 2 = 0) AS found,
+count(*) = count(*) FILTER (o_orderstatus <> 'P' OR o_custkey % 2 = 0) AS complete FROM orders GROUP BY o_orderpriority""")
+def scan_completeness(t: Tables) -> DataFrame:
+    """Orders fetched by two overlapping scans, by status and by customer: what both give counts once, what neither gives is told."""
+    totals = t.orders.groupBy(F.col("o_orderpriority").alias("query")).agg(F.count(F.lit(1)).alias("total"))
+    scans = t.orders.where("o_orderstatus <> 'P'").unionByName(t.orders.where("o_custkey % 2 = 0"))
+    return planning.completeness(totals, scans, "o_orderpriority", "o_orderkey")
