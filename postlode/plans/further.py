@@ -410,3 +410,22 @@ def scan_completeness(t: Tables) -> DataFrame:
     totals = t.orders.groupBy(F.col("o_orderpriority").alias("query")).agg(F.count(F.lit(1)).alias("total"))
     scans = t.orders.where("o_orderstatus <> 'P'").unionByName(t.orders.where("o_custkey % 2 = 0"))
     return planning.completeness(totals, scans, "o_orderpriority", "o_orderkey")
+
+
+@query("""SELECT j.ats_type, n_jobs, n_loaded, n_companies FROM
+(SELECT CASE c_custkey % 2 WHEN 0 THEN 'lever' ELSE 'seek' END AS ats_type, count(*) AS n_jobs, count(*) AS n_loaded FROM customer GROUP BY 1) j
+JOIN (SELECT CASE s_suppkey % 2 WHEN 0 THEN 'lever' ELSE 'seek' END AS ats_type, count(*) AS n_companies FROM supplier GROUP BY 1) c USING (ats_type)""")
+def shared_manifest(t: Tables) -> DataFrame:
+    """Jobs and companies published by writers of their own into one manifest, companies twice; slices loaded by it."""
+    folder = f"{shared_folder(t.spark)}/shared"
+    k = F.col("c_custkey")
+    jobs = t.customer.select(k.alias("row_order"), pick(k, "lever", "seek").alias("ats_type"), k.cast("string").alias("ats_id"), F.concat(F.lit("https://x.org/"), k.cast("string")).alias("url"), F.col("c_name").alias("title"), F.lit("Paris").alias("location"))
+    companies = t.supplier.select(pick(F.col("s_suppkey"), "lever", "seek").alias("ats_type"), F.col("s_name").alias("name"))
+    writers.publish_companies(companies.where("ats_type = 'lever'"), folder, "c1")
+    writers.publish(jobs, folder, "t1")
+    told = writers.publish_companies(companies, folder, "c2")
+    data = readers.Dataset(t.spark, folder)
+    loaded = data.load("lever").select(F.lit("lever").alias("ats_type")).unionByName(data.load("seek").select(F.lit("seek").alias("ats_type")))
+    entries = [(s, e["jobs"]["rows"], told["by_ats_companies"].get(s, {}).get("rows")) for s, e in told["by_ats"].items()]
+    named = t.spark.createDataFrame(entries, "ats_type string, n_jobs long, n_companies long")
+    return loaded.groupBy("ats_type").agg(F.count(F.lit(1)).alias("n_loaded")).join(named, "ats_type").select("ats_type", "n_jobs", "n_loaded", "n_companies")

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlode.functions import values
+from postlode.sources import manifest
 from postlode.sources.schema import COLUMNS, POSTING
 
 #: Column names under which registries give a company's name.
 NAME_ALIASES = ("company", "company_name", "name", "employer", "organization")
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A small file, read by Spark, so from any store it knows."""
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-
-
 def postings(spark: SparkSession, folder: str, file: str = "jobs.csv", skip: tuple[str, ...] = ("custom",)) -> DataFrame:
     """folder/<source>/<file> of all sources but those to skip, as text columns of the posting schema, with ats_type from the path.
 
@@ -87,7 +81,9 @@ class Dataset:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.manifest = json.loads(read_text(spark, f"{folder}/manifest.json"))
+        self.manifest = manifest.latest(spark, folder)[1]
+        if not self.manifest:
+            raise ValueError(f"{folder} has no manifest")
 
     def load(self, source: str | None = None, date: str | None = None) -> DataFrame:
         """All rows, or one source's, or one date's; Parquet before CSV."""
