@@ -8,7 +8,9 @@ taken from a source differ from its target by about one document.
 The order inside a source is never computed in one task: counts by (source, size, salt) are pre-aggregated and summed
 up, and only the rank within such a group is a window over documents. The number of salts follows the number of a
 source's documents of one size, so that no group grows with the input even if a third of all rows are alike, and a
-source has no more groups to sum up than sizes and GROUP_ROWS-th parts of its documents.
+source has no more groups to sum up than sizes and GROUP_ROWS-th parts of its documents. Salts come from doc_id; where
+that leaves a group of more than UNEVEN times GROUP_ROWS (rows without a doc_id, or that share one), the group is split
+again by its rows' texts and places in their files.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from postlode.llm._tables import cut, read_from_files
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 GROUP_ROWS = 10_000
+UNEVEN = 8
 #: Large groups that are broadcast at most, of about 50 bytes each.
 BROADCAST_GROUPS = 100_000
 SEED = 17
@@ -63,7 +66,7 @@ def with_copies(sized: DataFrame, seed: int = SEED, ties: tuple[str, ...] = ())
 
     sized is narrow and read more than once, so it should be a written table. A size of 0 is taken 0 times. A null source
     is a source of its own, the last. Repeated rows count each; rows that tie in doc_id are told apart by the columns
-    of ties, and where these tie too they are alike.
+    of ties, and where these tie too they are alike. Without ties, rows that share a doc_id, a source and a size are one group.
     """
     # Written down, the counts and the sources' table have a known size, so that the planner broadcasts them only if small.
     counts = cut(sized.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n")), "counts")
@@ -76,9 +79,14 @@ def with_copies(sized: DataFrame, seed: int = SEED, ties: tuple[str, ...] = ())
     salt = F.pmod(F.pmod(number, F.lit(2147483648)) * 2654435761, F.lit(4294967296)) % F.coalesce("__salts", F.lit(1))
     place = ["__source", "__size", "__salt"]
     keyed = sized.withColumn("__source", source(F.col("source"))).join(many, ["__source", "__size"], "left").withColumn("__salt", salt)
-    groups = keyed.where("__size > 0").groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("__source").orderBy("__size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    groups = cut(keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), "groups")
+    uneven = groups.where(F.col("n") > UNEVEN * GROUP_ROWS).select(*place, F.ceil(F.col("n") / GROUP_ROWS).alias("__parts"))
+    if ties and not uneven.isEmpty():
+        keyed = keyed.join(uneven, place, "left").withColumn("__part", F.pmod(F.xxhash64(*ties), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+        place.append("__part")
+        groups = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__source").orderBy(*place[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.where("__size > 0").select(*place, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*place).orderBy("doc_id", *ties)
     # Dealt by all of the place: a join's deal by source and size would serve the window, but hold a large group's salts together.
     ranked = keyed.join(by, "__source").repartition(*place).withColumn("__rank", F.row_number().over(within)).join(groups, place, "left")
@@ -89,10 +97,28 @@ def with_copies(sized: DataFrame, seed: int = SEED, ties: tuple[str, ...] = ())
     return ranked.withColumn("__copies", copies).select(*sized.columns, "__source_size", "__target", "__copies")
 
 
+#: What tells rows of one doc_id apart.
+TIES = ("__text", "__file", "__row")
+
+
+def _place(docs: DataFrame) -> tuple[F.Column, F.Column]:
+    """A row's file and its place in it; docs is a plain reading of files."""
+    file = docs.metadataColumn("_metadata")
+    return F.xxhash64(file["file_path"]).alias("__file"), file["row_index"].alias("__row")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """Narrow rows of docs, a plain reading of files: source, doc_id, size and what tells them apart."""
+    return cut(docs.select("source", "doc_id", n_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__text"), *_place(docs)), "sizes")
+
+
 def mix_report(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs; the texts stay at the scan."""
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("__size")), "sizes")
-    out = with_copies(sized, seed)
+    """doc_id, size, source_size, target, taken for every row of docs; the texts stay at the scan.
+
+    Ordered as mix() orders, by the rows' files and places in them; docs that are no plain reading of files are written
+    down first.
+    """
+    out = with_copies(_sized(docs if read_from_files(docs) else cut(docs.select("doc_id", "source", "text"), "mix-input")), seed, TIES)
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
@@ -105,12 +131,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     their place; an empty table gives an empty mix; columns of any name are passed on.
     """
     docs = docs if read_from_files(docs) else cut(docs, "mix-input")
-    file = docs.metadataColumn("_metadata")
-    row = (F.xxhash64(file["file_path"]).alias("__file"), file["row_index"].alias("__row"))
-    sized = cut(docs.select("source", "doc_id", n_words(F.col("text")).alias("__size"), F.xxhash64("text").alias("__text"), *row), "sizes")
-    taken = with_copies(sized, seed, ("__text", "__file", "__row")).where("__copies > 0").select("__file", "__row", "__copies")
+    taken = with_copies(_sized(docs), seed, TIES).where("__copies > 0").select("__file", "__row", "__copies")
     # The few bytes of a taken row are the side that is hashed; the texts stream past and are not sorted.
-    found = docs.select(F.struct(*docs.columns).alias("__doc"), *row).join(cut(taken, "copies").hint("shuffle_hash"), ["__file", "__row"])
+    found = docs.select(F.struct(*docs.columns).alias("__doc"), *_place(docs)).join(cut(taken, "copies").hint("shuffle_hash"), ["__file", "__row"])
     return found.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select("__doc.*")
 
 

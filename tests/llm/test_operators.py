@@ -226,6 +226,27 @@ def test_mixing_splits_large_groups(spark, monkeypatch, most):
     assert sorted(map(tuple, found)) == sorted(told)
 
 
+def test_mixing_splits_rows_without_or_with_one_doc_id(spark, monkeypatch):
+    """Rows that doc_id can't tell apart: no window holds more than UNEVEN groups, and the totals are as before."""
+    texts = [f"w{i % 50} is here" for i in range(600)] + [None] * 300
+    rows = [(None if i % 2 else 7, t, "s") for i, t in enumerate(texts)] + [(i, "one two", "r") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path = new_path(spark, "uneven")
+    docs.write.parquet(path)
+    plain = mixing.mix_report(spark.read.parquet(path)).groupBy("source_size").agg(F.sum("taken").alias("n"), F.count("*").alias("rows")).collect()
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 5)
+    read = spark.read.parquet(path)
+    narrow = mixing._sized(read)
+    placed = mixing.with_copies(narrow, ties=mixing.TIES)
+    assert "__part" in placed._jdf.queryExecution().analyzed().toString()
+    found = mixing.mix_report(read)
+    assert sorted(map(str, found.collect())) == sorted(map(str, mixing.mix_report(read).collect()))
+    told = {r["source_size"]: r for r in plain}
+    for r in found.groupBy("source_size").agg(F.sum("taken").alias("n"), F.count("*").alias("rows")).collect():
+        assert r["rows"] == told[r["source_size"]]["rows"] and abs(r["n"] - told[r["source_size"]]["n"]) <= 3
+    assert mixing.mix(read).count() == found.where("size > 0").select(F.sum(F.expr("taken / size"))).first()[0]
+
+
 # lines
 
 
