@@ -11,13 +11,12 @@ from postlode.staging import written
 RUN = 3
 
 
-def _runs(c: Column, size: Column | int) -> Column:
-    """The distinct runs of size characters of a text. Characters are cut once, so a long text costs its length only."""
-    n = F.lit(size) if isinstance(size, int) else size
+def _runs(c: Column, size: int) -> Column:
+    """The distinct runs of size characters of a text. Characters are cut once and taken by place: a slice would copy them all each time."""
 
     def of(chars: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(chars)), lambda i: i + n <= F.size(chars))
-        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(chars, i + 1, n), "")))
+        at = F.filter(F.sequence(F.lit(0), F.size(chars)), lambda i: i + size <= F.size(chars))
+        return F.array_distinct(F.transform(at, lambda i: F.concat(*(F.get(chars, i + j) for j in range(size)))))
 
     return F.flatten(F.transform(F.array(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), of))
 
@@ -34,8 +33,11 @@ def occurrences(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) ->
     # Runs carry a hash of their text and not the text; two texts of one hash are told apart when pairs are confirmed.
     t = written(t.withColumn("__id", F.xxhash64("__text")), "texts")
     size = F.least(F.length("__phrase"), F.lit(RUN))
+    own = F.when(size == 1, _runs(F.col("__phrase"), 1))
+    for n in range(2, RUN + 1):
+        own = own.when(size == n, _runs(F.col("__phrase"), n))
     p = phrases.select(F.col(phrase).alias("__phrase")).where("__phrase <> ''").distinct()
-    keys = written(p.select("__phrase", size.alias("__size"), F.explode(_runs(F.col("__phrase"), size)).alias("__run")), "phrases")
+    keys = written(p.select("__phrase", size.alias("__size"), F.explode(own).alias("__run")), "phrases")
     # At most RUN numbers: which lengths of runs are asked for.
     sizes = sorted(r[0] for r in keys.select("__size").distinct().collect())
     runs = F.concat(*(_runs(F.col("__text"), n) for n in sizes)) if sizes else F.array().cast("array<string>")
