@@ -733,3 +733,11 @@ def test_repeated_rows_do_not_multiply(spark):
     assert set(results[0]) == set(results[1]) and sum(results[0].values()) == len(rows)
     linked = [collections.Counter(tuple(r) for r in near_dup.near_duplicates(frame(r)).collect()) for r in (rows, once)]
     assert set(linked[0]) == set(linked[1]) and sum(linked[0].values()) == len(rows)
+
+
+def test_exploded_lines_are_never_broadcast(spark):
+    """Their size is judged by the files that they are made of, which a driver can't rely on."""
+    line = "a line of some forty characters, number "
+    frame = spark.createDataFrame([(i, f"{line}{i % 7}\n{line}{i}") for i in range(40)], "doc_id long, text string")
+    plan = line_dedup.line_report(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
