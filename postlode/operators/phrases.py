@@ -21,17 +21,22 @@ def _runs(c: Column, size: int) -> Column:
     return F.flatten(F.transform(F.array(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))), of))
 
 
-def occurrences(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
-    """The distinct pairs (text, phrase) of which the text holds the phrase, as they are written; the caller normalises.
+#: Bits of the bitmap of runs that phrases are looked up by: 4 MB, whatever the number of phrases.
+FILTER_BITS = 1 << 25
 
-    Each phrase is looked up by that one of its runs of RUN characters (its whole, if it is shorter) that the fewest
-    texts hold, so a text meets few phrases that it does not hold; a phrase with a run that no text holds drops out
-    before. Every pair is confirmed. Nothing is broadcast unless Spark finds it small, and neither side has a limit.
-    Null and empty phrases are in no text, null texts hold none; repeated rows count once.
-    """
-    t = texts.select(F.col(text).alias("__text")).where("__text <> ''").distinct()
-    # Runs carry a hash of their text and not the text; two texts of one hash are told apart when pairs are confirmed.
-    t = written(t.withColumn("__id", F.xxhash64("__text")), "texts")
+
+def _among(held: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Rows of held whose run may be one of anchors, so that all other runs of the texts stay out of the shuffle of a join."""
+    slot = F.pmod(F.xxhash64("__run"), F.lit(FILTER_BITS))
+    bucket, bit = F.floor(slot / 32768), F.pmod(slot, F.lit(32768))
+    bits = anchors.groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    found = held.join(F.broadcast(bits), bucket == F.col("__bucket"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(*held.columns)
+
+
+def _found(t: DataFrame, phrases: DataFrame, phrase: str) -> DataFrame:
+    """__id, __text, __phrase: the rows of t (written: __id, __text) and the distinct phrases that they hold."""
     size = F.least(F.length("__phrase"), F.lit(RUN))
     own = F.when(size == 1, _runs(F.col("__phrase"), 1))
     for n in range(2, RUN + 1):
@@ -42,10 +47,31 @@ def occurrences(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) ->
     sizes = sorted(r[0] for r in keys.select("__size").distinct().collect())
     runs = F.concat(*(_runs(F.col("__text"), n) for n in sizes)) if sizes else F.array().cast("array<string>")
     held = t.select("__id", F.explode(runs).alias("__run"))
-    known = keys.select("__run").distinct()
-    often = held.join(known, "__run").groupBy("__run").agg(F.count(F.lit(1)).alias("__n"))
+    # Counted before they meet the phrases: a task sends each of its runs once, not once a text.
+    often = held.groupBy("__run").agg(F.count(F.lit(1)).alias("__n"))
     rated = keys.join(often, "__run", "left").groupBy("__phrase").agg(F.min_by("__run", F.struct("__n", "__run")).alias("__run"), F.count_if(F.col("__n").isNull()).alias("__lost"))
     anchors = written(rated.where("__lost = 0").select("__phrase", "__run"), "anchors")
-    met = held.join(anchors, "__run").select("__id", "__phrase").distinct()
-    found = t.join(met, "__id").where(F.contains("__text", "__phrase"))
-    return found.select(F.col("__text").alias(text), F.col("__phrase").alias(phrase))
+    # A phrase has one run, and a text each run once, so pairs are distinct. They are many more than the size of the
+    # files behind them tells, so neither they nor the texts may be broadcast.
+    met = _among(held, anchors).join(anchors, "__run").select("__id", "__phrase")
+    return t.join(met.hint("merge"), "__id").where(F.contains("__text", "__phrase"))
+
+
+def occurrences(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """The distinct pairs (text, phrase) of which the text holds the phrase, as they are written; the caller normalises.
+
+    Each phrase is looked up by that one of its runs of RUN characters (its whole, if it is shorter) that the fewest
+    texts hold, so a text meets few phrases that it does not hold; a phrase with a run that no text holds drops out
+    before. Every pair is confirmed. Neither side has a limit.
+    Null and empty phrases are in no text, null texts hold none; repeated rows count once. Each pair carries its whole
+    text: where only numbers are asked for, counts() moves a text once.
+    """
+    t = texts.select(F.col(text).alias("__text")).where("__text <> ''").distinct()
+    t = written(t.withColumn("__id", F.monotonically_increasing_id()), "texts")
+    return _found(t, phrases, phrase).select(F.col("__text").alias(text), F.col("__phrase").alias(phrase))
+
+
+def counts(texts: DataFrame, text: str, phrases: DataFrame, phrase: str, name: str) -> DataFrame:
+    """phrase, and by name the number of rows of texts that hold it (phrases that no row holds are not there)."""
+    t = written(texts.select(F.col(text).alias("__text")).where("__text <> ''").withColumn("__id", F.monotonically_increasing_id()), "texts")
+    return _found(t, phrases, phrase).groupBy(F.col("__phrase").alias(phrase)).agg(F.count(F.lit(1)).alias(name))

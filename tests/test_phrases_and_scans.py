@@ -36,6 +36,15 @@ def test_one_phrase_in_a_third_of_all_texts(spark):
     assert held(spark, texts, lexicon) == plainly(texts, lexicon)
 
 
+def test_counts_of_rows_move_a_text_once(spark):
+    texts = ["engineer and cook", "cook", "cook", None, "", "baker", "engineer"] * 5
+    lexicon = ["engineer", "cook", "cook", "ook", "baker x", "and", None, ""]
+    found = phrases.counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(p,) for p in lexicon], "p string"), "p", "n")
+    assert sorted(tuple(r) for r in found.collect()) == sorted((p, sum(bool(t) and p in t for t in texts)) for p in ("engineer", "cook", "ook", "and"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan")[0].count("SortMergeJoin") == 1  # of texts with their candidates; no pair carries a text to another join
+
+
 def cut(rows, facets, cap, path=(), whole=True):
     """The rule of planning.subdivide() for the rows of one query."""
     left = [f for f in facets if f not in dict(path)]
