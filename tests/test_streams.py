@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from postlode.operators import state
@@ -43,6 +44,50 @@ def test_presence_over_restarts(spark):
     assert state == {"a": (at(0), at(9.5), 5, "ACTIVE"), "b": (at(0), at(3), 2, "UNCERTAIN"), "d": (at(3), at(9), 2, "ACTIVE")}
 
 
+class Handle:
+    """Counts the messages of one key, in place of Spark's state store."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def _called(self, out=None):
+        self.calls += 1
+        return out
+
+    def exists(self):
+        return self._called(self.value is not None)
+
+    def get(self):
+        return self._called(self.value)
+
+    def update(self, value):
+        self.value = self._called(value)
+
+    def listTimers(self):  # noqa: N802
+        return self._called(iter(self.timers))
+
+    def deleteTimer(self, at):  # noqa: N802
+        self._called(self.timers.remove(at))
+
+    def registerTimer(self, at):  # noqa: N802
+        self._called(self.timers.add(at))
+
+
+def test_messages_of_a_key(spark):
+    """A key has one timer, that of its last row, and needs few messages to the state store."""
+    handle, gap = Handle(), 86_400_000_000
+    p = presence.Presence("k", "t", gap)
+    p.init(handle)
+    for days, most in ((0, 3), (0.5, 4), (0.2, 2), (5, 4)):
+        handle.calls = 0
+        list(p.handleInputRows(("a",), iter([pd.DataFrame({"t": [at(days)]})]), None))
+        assert handle.calls <= most and handle.timers == {(handle.value[1] + gap) // 1000}
+    assert handle.value[2:] == (4, "ACTIVE")
+
+
 def test_alerts_are_sent_once(spark):
     folder = new_folder(spark, "test")
     for rows in ([("u1", 90), ("u1", 95), ("u2", 10)], [("u1", 99), ("u3", 80), ("", 80)], [("u3", 80), ("", 85)]):
