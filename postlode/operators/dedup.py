@@ -134,14 +134,15 @@ def fuzzy(df: DataFrame, block: list[str], threshold: float = 90.0, cap: int | N
     return out.unionByName(large.join(near_titles.dropped(large, block, threshold), ["source", "row_order"], "left_anti").select(*df.columns))
 
 
-def _alone() -> Column:
-    return F.concat_ws(":", F.col("source"), F.col("row_order").cast("string"))
-
-
 def _pass(k: DataFrame, keys: list[str], valid: Column, order: list[Column], cross: bool, within: tuple[str, ...] = ()) -> DataFrame:
-    """First of each valid key (cross: only of keys that two sources have), over columns of within and the keys."""
+    """First of each valid key (cross: only of keys that two sources have), over columns of within and the keys.
+
+    A hash stands before the keys, so that sorts compare numbers and turn to the texts only within a group.
+    """
     ok = F.coalesce(valid, F.lit(False))
-    w = Window.partitionBy(*within, *(F.when(ok, F.col(c)) for c in keys), F.when(~ok, _alone()))
+    own = ("source", "row_order")
+    mark = F.when(ok, F.xxhash64(*keys)).otherwise(F.xxhash64(*own))
+    w = Window.partitionBy(*within, mark, *(F.when(ok, F.col(c)) for c in keys), *(F.when(~ok, F.col(c)) for c in own))
     stays = F.row_number().over(w.orderBy(*order)) == 1
     if cross:
         stays = stays | (F.min("source").over(w) == F.max("source").over(w))
@@ -153,19 +154,23 @@ def survivor_keys(df: DataFrame, threshold: float = 90.0, cap: int | None = None
 
     df: source, row_order (unique within a source), url, title, company, location, country_iso, ats_id; any of the
     last six may be absent, and null counts as empty. One scan of these thin columns, a shuffle for each of the first
-    three passes, and one more that the last two share. cap: see fuzzy(); of 1 or less, there is no fuzzy pass.
+    three passes, and one more that the last two share. Normal forms that a pass needs are made in front of it, of the
+    rows that the passes before have kept. cap: see fuzzy(); of 1 or less, there is no fuzzy pass.
     """
     ship(df.sparkSession)
-    own = {c: text.key_text(F.col(c)) if c in df.columns else F.lit("") for c in ("url", "title", "company", "location", "country_iso", "ats_id")}
-    k = df.select("source", "row_order", priority(F.col("source")).alias("priority"), *(v.alias(c) for c, v in own.items()))
-    k = k.select("source", "row_order", "priority", "url", "ats_id", F.col("title").alias("title_raw"), *(F.lower(c).alias(c) for c in ("title", "company", "location")), text.company_key(F.col("company")).alias("key"), F.coalesce(text.title_core(F.col("title")), F.lit("")).alias("core"), F.coalesce(F.nullif(F.upper("country_iso"), F.lit("")), values.country_of(F.col("location"))).alias("country"))
+    given = {c: F.col(c).cast("string") if c in df.columns else F.lit("") for c in ("url", "title", "company", "location", "country_iso", "ats_id")}
+    k = df.select("source", "row_order", priority(F.col("source")).alias("priority"), *(v.alias(c) for c, v in given.items()))
     order = [F.col("priority"), F.col("row_order"), F.col("source")]
-    k = _pass(k, ["url"], F.col("url") != "", order, cross=False)
-    k = _pass(k, ["company", "title", "location"], (F.col("company") != "") & (F.col("title") != ""), order, cross=True)
+    k = _pass(k.withColumn("url", text.key_text(F.col("url"))), ["url"], F.col("url") != "", order, cross=False)
+    k = k.withColumns({c: text.key_text(F.col(c)) for c in ("title", "company", "location")})
+    k = k.withColumns({"title_raw": F.col("title"), "place": F.lower("location"), **{c: F.lower(c) for c in ("title", "company")}})
+    k = _pass(k, ["company", "title", "place"], (F.col("company") != "") & (F.col("title") != ""), order, cross=True)
+    k = k.withColumns({"key": text.company_key(F.col("company")), "ats_id": text.key_text(F.col("ats_id"))})
     k = _pass(k, ["key", "ats_id"], (F.col("key") != "") & (F.col("ats_id") != ""), order, cross=True)
+    k = k.withColumns({"core": F.coalesce(text.title_core(F.col("title_raw")), F.lit("")), "country": F.coalesce(F.nullif(F.upper(text.key_text(F.col("country_iso"))), F.lit("")), values.country_of(F.col("location")))})
     blocked = (F.col("key") != "") & (F.col("country") != "")
     block = ["__key", "__country", "__salt"]
-    k = k.withColumns({"__key": F.when(blocked, F.col("key")).otherwise(""), "__country": F.when(blocked, F.col("country")).otherwise(""), "__salt": F.when(blocked, 0).otherwise(F.pmod(F.xxhash64(_alone()), F.lit(1_000)).cast("int"))}).repartition(*block)
+    k = k.withColumns({"__key": F.when(blocked, F.col("key")).otherwise(""), "__country": F.when(blocked, F.col("country")).otherwise(""), "__salt": F.when(blocked, 0).otherwise(F.pmod(F.xxhash64("source", "row_order"), F.lit(1_000)).cast("int"))}).repartition(*block)
     k = _pass(k, ["core"], blocked & (F.col("core") != ""), order, cross=True, within=tuple(block))
     thin = k.select("source", "row_order", "priority", "title_raw", *block)
     if cap is not None and cap <= 1:
