@@ -142,6 +142,15 @@ def test_normal_forms_are_made_of_what_is_left(spark, tmp_path):
     assert "[^a-z0-9]" not in first + second and "regexp_extract_all" not in first + second + third
 
 
+def test_normal_forms_in_front_of_the_fuzzy_pass(spark, monkeypatch):
+    plans, write = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    texts = (f"concat('{c[0]}', id) {c}" for c in ("source", "url", "title", "company", "location", "country_iso", "ats_id"))
+    dedup.survivors(spark.range(3).selectExpr("id row_order", *texts))
+    *_, third, second, first = plans[0].split("Exchange")
+    assert "RLIKE" in plans[0] and "RLIKE" not in first + second + third
+
+
 def test_passes_over_keys_against_plain_python(spark):
     import random
     import re
