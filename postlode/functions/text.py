@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html.entities import name2codepoint
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +26,13 @@ def collapse(c: Column) -> Column:
 
 
 def key_text(c: Column) -> Column:
-    """A key column: text, null as the empty string, stripped."""
-    return F.coalesce(strip(c.cast("string")), F.lit(""))
+    """A key column: text, null as the empty string, stripped.
+
+    The pattern is left to texts that begin with a space or less, or end with what it takes for a space or a line's end.
+    """
+    x = c.cast("string")
+    ends = reduce(or_, (F.endswith(x, F.lit(end)) for end in " \t\n\x0b\f\r\x85\u2028\u2029"))
+    return F.coalesce(F.when((x < "!") | ends, strip(x)).otherwise(x), F.lit(""))
 
 
 def match_text(c: Column) -> Column:

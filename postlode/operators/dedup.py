@@ -6,6 +6,9 @@ Rows without a valid key are groups of their own within a window, so blank keys
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,8 @@ OWN_KEYS = {"oracle": "ats_id", "icims": "url"}
 
 
 def priority(source: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for item in PRIORITY.items() for x in item))
-    return F.coalesce(F.try_element_at(known, source), F.lit(2))
+    of = lambda rank: source.isin(*(s for s, r in PRIORITY.items() if r == rank))
+    return F.coalesce(*(F.when(of(rank), rank) for rank in sorted({*PRIORITY.values()})), F.lit(2))
 
 
 def scan_key(source: Column, tenant: Column, ats_id: Column, url: Column) -> Column:
@@ -134,19 +137,31 @@ def fuzzy(df: DataFrame, block: list[str], threshold: float = 90.0, cap: int | N
     return out.unionByName(large.join(near_titles.dropped(large, block, threshold), ["source", "row_order"], "left_anti").select(*df.columns))
 
 
-def _pass(k: DataFrame, keys: list[str], valid: Column, order: list[Column], cross: bool, within: tuple[str, ...] = ()) -> DataFrame:
-    """First of each valid key (cross: only of keys that two sources have), over columns of within and the keys.
+def _pass(k: DataFrame, keys: dict[str, Column], needed: list[str], order: list[Column], cross: bool, within: tuple[str, ...] = ()) -> DataFrame:
+    """First of each key whose needed parts are not empty (cross: only of keys that two sources have); other rows stay.
 
-    A hash stands before the keys, so that sorts compare numbers and turn to the texts only within a group.
+    Rows are dealt by a hash of the key, with its parts made behind the shuffle; sorts compare that number and turn to
+    the texts only within a group. Dealt before, not by the window, so that nothing is sorted in front of the shuffle
+    either. within: columns by which k is dealt already; keys are told apart within them.
     """
-    ok = F.coalesce(valid, F.lit(False))
     own = ("source", "row_order")
-    mark = F.when(ok, F.xxhash64(*keys)).otherwise(F.xxhash64(*own))
-    w = Window.partitionBy(*within, mark, *(F.when(ok, F.col(c)) for c in keys), *(F.when(~ok, F.col(c)) for c in own))
-    stays = F.row_number().over(w.orderBy(*order)) == 1
+    valid = lambda parts: F.coalesce(reduce(and_, (parts[c] != "" for c in needed)), F.lit(False))
+    k = k.withColumn("__mark", F.when(valid(keys), F.xxhash64(*keys.values())).otherwise(F.xxhash64(*own)))
+    k = k if within else k.repartition("__mark")
+    # A row without a valid key is told apart by its own name.
+    k = k.withColumns({f"__key_{c}": v for c, v in keys.items()})
+    ok = valid({c: F.col(f"__key_{c}") for c in keys})
+    k = k.withColumns({f"__own_{c}": F.when(~ok, F.col(c)) for c in own})
+    w = Window.partitionBy(*within, "__mark", *(f"__key_{c}" for c in keys), *(f"__own_{c}" for c in own)).orderBy(*order)
+    stays = F.row_number().over(w) == 1
     if cross:
-        stays = stays | (F.min("source").over(w) == F.max("source").over(w))
-    return k.withColumn("__stays", stays).where("__stays").drop("__stays")
+        # Most rows of keys with two sources leave here, so that only those that may stay are numbered; the sort is one.
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        k = k.withColumns({"__single": F.min("source").over(whole) == F.max("source").over(whole), "__leads": F.first("row_order").over(whole).eqNullSafe(F.col("row_order"))})
+        k = k.where("__single or __leads")
+        stays = stays | F.col("__single")
+    k = k.withColumn("__stays", stays).where("__stays")
+    return k.drop("__mark", "__stays", "__single", "__leads", *(f"__key_{c}" for c in keys), *(f"__own_{c}" for c in own))
 
 
 def survivor_keys(df: DataFrame, threshold: float = 90.0, cap: int | None = None, small: int = SMALL) -> DataFrame:
@@ -161,18 +176,19 @@ def survivor_keys(df: DataFrame, threshold: float = 90.0, cap: int | None = None
     given = {c: F.col(c).cast("string") if c in df.columns else F.lit("") for c in ("url", "title", "company", "location", "country_iso", "ats_id")}
     k = df.select("source", "row_order", priority(F.col("source")).alias("priority"), *(v.alias(c) for c, v in given.items()))
     order = [F.col("priority"), F.col("row_order"), F.col("source")]
-    k = _pass(k.withColumn("url", text.key_text(F.col("url"))), ["url"], F.col("url") != "", order, cross=False)
+    k = _pass(k.withColumn("url", text.key_text(F.col("url"))), {"url": F.col("url")}, ["url"], order, cross=False)
     k = k.withColumns({c: text.key_text(F.col(c)) for c in ("title", "company", "location")})
-    k = k.withColumns({"title_raw": F.col("title"), "place": F.lower("location"), **{c: F.lower(c) for c in ("title", "company")}})
-    k = _pass(k, ["company", "title", "place"], (F.col("company") != "") & (F.col("title") != ""), order, cross=True)
+    k = _pass(k, {c: F.lower(c) for c in ("company", "title", "location")}, ["company", "title"], order, cross=True)
     k = k.withColumns({"key": text.company_key(F.col("company")), "ats_id": text.key_text(F.col("ats_id"))})
-    k = _pass(k, ["key", "ats_id"], (F.col("key") != "") & (F.col("ats_id") != ""), order, cross=True)
-    k = k.withColumns({"core": F.coalesce(text.title_core(F.col("title_raw")), F.lit("")), "country": F.coalesce(F.nullif(F.upper(text.key_text(F.col("country_iso"))), F.lit("")), values.country_of(F.col("location")))})
-    blocked = (F.col("key") != "") & (F.col("country") != "")
+    k = _pass(k, {c: F.col(c) for c in ("key", "ats_id")}, ["key", "ats_id"], order, cross=True)
+    # Without a company there is no block, and without a block no core: the costly forms are not made of such rows.
+    country = F.coalesce(F.nullif(F.upper(text.key_text(F.col("country_iso"))), F.lit("")), values.country_of(F.col("location")))
+    k = k.withColumn("country", F.when(F.col("key") != "", country).otherwise(""))
+    blocked = F.col("country") != ""
     block = ["__key", "__country", "__salt"]
-    k = k.withColumns({"__key": F.when(blocked, F.col("key")).otherwise(""), "__country": F.when(blocked, F.col("country")).otherwise(""), "__salt": F.when(blocked, 0).otherwise(F.pmod(F.xxhash64("source", "row_order"), F.lit(1_000)).cast("int"))}).repartition(*block)
-    k = _pass(k, ["core"], blocked & (F.col("core") != ""), order, cross=True, within=tuple(block))
-    thin = k.select("source", "row_order", "priority", "title_raw", *block)
+    k = k.withColumns({"core": F.when(blocked, F.coalesce(text.title_core(F.col("title")), F.lit(""))).otherwise(""), "__key": F.when(blocked, F.col("key")).otherwise(""), "__country": F.col("country"), "__salt": F.when(blocked, 0).otherwise(F.pmod(F.xxhash64("source", "row_order"), F.lit(1_000)).cast("int"))}).repartition(*block)
+    k = _pass(k, {"core": F.col("core")}, ["core"], order, cross=True, within=tuple(block))
+    thin = k.select("source", "row_order", "priority", F.col("title").alias("title_raw"), *block)
     if cap is not None and cap <= 1:
         return thin.select("source", "row_order")
     thin = written(thin)

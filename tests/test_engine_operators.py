@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from postlode.functions import text
 from postlode.operators import classify, dedup, frames, search, signals, state
+from postlode.plans import catalog
 from postlode.sources import adapters, readers, writers
 
 POSTING = "source string, row_order long, url string, title string, company string, location string, country_iso string, ats_id string"
@@ -151,6 +153,44 @@ def test_normal_forms_in_front_of_the_fuzzy_pass(spark, monkeypatch):
     assert "RLIKE" in plans[0] and "RLIKE" not in first + second + third
 
 
+def test_nothing_is_sorted_in_front_of_the_first_shuffle(spark, tmp_path):
+    spark.createDataFrame([("lever", 1, "u", "T", "C", "x", None, "1")], POSTING).write.parquet(f"{tmp_path}/rows")
+    executed = dedup.survivor_keys(spark.read.parquet(f"{tmp_path}/rows"), cap=0)._jdf.queryExecution().executedPlan().toString()
+    *_, third, second, first = executed.split("Exchange")
+    assert "Sort [" not in first and "WindowGroupLimit" not in first
+    # The texts of a key are sent once; their forms and the windows' other columns are made behind the shuffle.
+    assert "__key_" not in first and "__own_" not in first and "lower(" in third.split("Window [")[0]
+
+
+def test_queries_of_keys_do_not_read_the_rows_again(spark, tmp_path):
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string"
+    rows = [(1, 5, 1, 1, 2.5, "A", "O"), (1, 5, 2, 1, 3.5, "A", "O"), (2, 22, 3, 3, 1.0, "N", "F")]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("dedup_survivors", "dedup_five_passes"):
+        found = catalog.QUERIES[name](spark, str(tmp_path))
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == [("eures", 220_000_350), ("usajobs", 460_000_100)]
+
+
+def test_key_text_is_what_the_pattern_makes(spark):
+    ends = ["", " ", "\t", "\n", "\r\n", "\x0b\f", " \x85", "\x85 ", "\n\u2028", " \u2029", "\xa0", "\x00", "\x1f ", "!", "\u3000"]
+    rows = spark.createDataFrame([(a + x + b,) for a in ends for b in ends for x in ("", "a", "a  b", "é\n中")] + [(None,)], "t string")
+    both = rows.select(text.key_text(F.col("t")).alias("a"), F.coalesce(text.strip(F.col("t")), F.lit("")).alias("b")).collect()
+    assert len(both) == 901 and all(r["a"] == r["b"] for r in both)
+
+
+def test_priority_of_every_source(spark):
+    rows = spark.createDataFrame([(s,) for s in [*dedup.PRIORITY, "other", "", None]], "source string")
+    assert {r["source"]: r["p"] for r in rows.select("source", dedup.priority(F.col("source")).alias("p")).collect()} == dedup.PRIORITY | {"other": 2, "": 2, None: 2}
+
+
+def test_rows_that_tie_in_one_key(spark):
+    """The same row_order in several sources, and in one source more than once: one row of each key stays, whole keys of one source do."""
+    rows = [("gem", 1, "", "T", "C"), ("eures", 1, "", "T", "C"), ("eures", 1, "", "t", "c"), ("lever", 2, "", "T", "D"), ("lever", 3, "", "T", "D"), ("other", 4, "", "", "C"), ("gem", 4, "", "", "C")]
+    found = dedup.survivor_keys(spark.createDataFrame(rows, "source string, row_order long, url string, title string, company string"), cap=0)
+    assert sorted(map(tuple, found.collect())) == [("eures", 1), ("gem", 4), ("lever", 2), ("lever", 3), ("other", 4)]
+
+
 def test_passes_over_keys_against_plain_python(spark):
     import random
     import re
