@@ -89,3 +89,17 @@ def test_completeness_counts_keys_once(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", None), (None, 5), ("d", 1)], "q string, k long")
     found = {r["query"]: (r["expected"], r["found"], r["complete"]) for r in planning.completeness(totals, rows, "q", "k").collect()}
     assert found == {"a": (2, 2, True), "b": (1, 0, False), "c": (1, 0, False), None: (1, 1, True)}
+
+
+def test_phrases_in_texts_of_any_length(spark):
+    """Counts move no text: they write none down, and take time by the length of the texts; phrases lie across all borders of steps."""
+    word = lambda i: f"w{i * 7919 % 100_003}"
+    texts = [" ".join(word(i) for i in range(start, start + n)) for start, n in ((0, 60_000), (60_000, 3), (50_000, 1), (59_000, 25_000))]
+    lexicon = [" ".join(word(i) for i in range(start, start + n)) for start in range(0, 84_000, 3) for n in (1, 2)]
+    lexicon += [texts[1], texts[3][5:140_000], texts[3][5:140_000] + "x", texts[0][-9:], texts[0][-9:] + " "]
+    found = phrases.counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(p,) for p in lexicon], "p string"), "p", "n")
+    told = {r["p"]: r["n"] for r in found.collect()}
+    some = random.Random(3).sample(lexicon, 600) + lexicon[-5:]
+    assert all(told.get(p, 0) == sum(p in t for t in texts) for p in some)
+    assert set(told) <= set(lexicon) and len(told) > 50_000
+    assert "/texts/" not in found._jdf.queryExecution().executedPlan().toString()
