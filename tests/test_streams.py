@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from postlode.operators import state
+from postlode.plans.catalog import QUERIES
 from postlode.staging import new_folder
 from postlode.streaming import presence, streams
 
@@ -44,6 +45,14 @@ def test_presence_over_restarts(spark):
     assert state == {"a": (at(0), at(9.5), 5, "ACTIVE"), "b": (at(0), at(3), 2, "UNCERTAIN"), "d": (at(3), at(9), 2, "ACTIVE")}
 
 
+def test_changes_of_events_without_a_time(spark, tmp_path):
+    rows = [(1, at(0)), (1, at(3)), (2, None), (2, None), (3, at(2.5)), (3, None), (3, None), (4, at(3)), (4, None), (None, at(1)), (None, None)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = [(r["user_id"], r["at"] and (r["at"] / 1e6 - DAY.replace(tzinfo=datetime.UTC).timestamp()) / 86_400, r["status"]) for r in QUERIES["stream_presence_changes"](spark, str(tmp_path)).collect()]
+    timed = [(1, 0, "ACTIVE"), (1, 1, "UNCERTAIN"), (1, 3, "ACTIVE"), (3, 2.5, "ACTIVE"), (4, 3, "ACTIVE")]
+    assert sorted(found, key=str) == sorted([*timed, (2, None, "ACTIVE"), (2, None, "ACTIVE"), (3, None, "ACTIVE")], key=str)
+
+
 class Handle:
     """Counts the messages of one key, in place of Spark's state store."""
 
